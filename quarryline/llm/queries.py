@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules, secret_scan
+from . import line_dedup, packing, piece_codec, quality_rules, secret_scan
 from .common import table
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file; the module lies beside the interpreter of driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack(docs, vocabulary("byte_bpe_50k.json"), length=2048, end_id=1, keep_ids=False)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_codec.encode_documents(docs, vocabulary("piece_bpe_32k.model"), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     judged = quality_rules.apply_policy(quality_rules.apply_policy(entries, "v2"), "base", "base_passed")
@@ -29,6 +47,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op5_piece_codec": op5_piece_codec,
     "op2_quality_rules": op2_quality_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scan": op10_secret_scan,
