@@ -14,3 +14,57 @@ def secrets(text):
     joined = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
     n = lambda kind: sum(s[3] == kind for s in spans)
     return n("assign"), n("access"), n("hex"), hashlib.sha256(joined.encode()).hexdigest()
+
+
+def shingles(text, size=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[i : i + size]) for i in range(len(words) - size + 1)) if len(words) >= size else frozenset([tuple(words)])
+
+
+def closed(ids, links):
+    """Smallest id reachable from each."""
+    up = {i: i for i in ids}
+
+    def top(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return {i: top(i) for i in ids}
+
+
+def jaccard(docs, percent=75):
+    """docs: id to text. Gives id to (set size, component)."""
+    sets = {i: shingles(t) for i, t in docs.items()}
+    holds = {}
+    for i, s in sets.items():
+        for g in s:
+            holds.setdefault(g, []).append(i)
+    both = {}
+    for ids in holds.values():
+        for k, a in enumerate(ids):
+            for b in ids[k + 1 :]:
+                both[a, b] = both.get((a, b), 0) + 1
+    links = [(a, b) for (a, b), n in both.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)]
+    return {i: (len(sets[i]), c) for i, c in closed(list(docs), links).items()}
+
+
+def near(vectors, threshold=0.93):
+    """vectors: (id, vector, label) rows with different ids. Gives id to (links, component)."""
+    import numpy as np
+
+    good = [(i, np.array(v, dtype=float), lab) for i, v, lab in vectors if lab is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    links, n = [], {i: 0 for i, _, _ in vectors}
+    for k, (i, v, lab) in enumerate(good):
+        for j, w, other in good[k + 1 :]:
+            if lab == other and len(v) == len(w) and v @ w / (np.linalg.norm(v) * np.linalg.norm(w)) >= threshold:
+                links.append((i, j))
+                n[i] += 1
+                n[j] += 1
+    return {i: (n[i], c) for i, c in closed([i for i, _, _ in vectors], links).items()}
