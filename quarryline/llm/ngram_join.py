@@ -66,23 +66,32 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str], size: int = 5) -> list[np.ndarray]:
-    """For each text the sorted set of its ``size``-word n-grams as 64-bit hashes; one for the whole of a shorter text, none without words.
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts as 64-bit hashes, where each starts and ends among the bytes of all, and where each text starts (and the next would).
 
-    A-Z count as a-z; words end at blanks. All bytes are hashed at once: a word's hash is the
-    difference of two prefix sums of a polynomial over its bytes.
+    A-Z count as a-z; words end at blanks, and a blank stands before and after each text.
     """
     raw = [t.encode() for t in texts]
     data = np.frombuffer(b" " + b" ".join(raw) + b" ", dtype=np.uint8)
     blank = _BLANK[data]
     edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     start, end = edges[0::2], edges[1::2]
-    first = np.cumsum([1, *(len(r) + 1 for r in raw)])
-    bounds = np.searchsorted(start, first)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=sums[1:])
         word = _mixed((sums[end] - sums[start]) * _power(pow(_BASE, -1, 1 << 64), len(data))[start] + (end - start).astype(np.uint64))
+    return word, start, end, np.cumsum([1, *(len(r) + 1 for r in raw)])
+
+
+def shingle_sets(texts: list[str], size: int = 5) -> list[np.ndarray]:
+    """For each text the sorted set of its ``size``-word n-grams as 64-bit hashes; one for the whole of a shorter text, none without words.
+
+    All bytes are hashed at once: a word's hash is the difference of two prefix sums of a polynomial
+    over its bytes.
+    """
+    word, start, _, first = words_of(texts)
+    bounds = np.searchsorted(start, first)
+    with np.errstate(over="ignore"):
         n = max(0, len(word) - size + 1)
         grams = np.zeros(n, dtype=np.uint64)
         for k in range(size):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, metric_join, ngram_join, packing, piece_codec, quality_rules, secret_scan
+from . import line_crf, line_dedup, metric_join, ngram_join, packing, piece_codec, quality_rules, secret_scan
 from .common import table
 
 
@@ -33,6 +33,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_passed")).alias("base_failed"), "kept", "failed_bits")
 
 
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~line_crf.held_out())
+    scored = line_crf.score(docs, line_crf.train(docs, labels, most=3000))
+    return scored.select("doc_id", line_crf.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), threshold=0.93)
 
@@ -58,6 +65,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op5_piece_codec": op5_piece_codec,
     "op2_quality_rules": op2_quality_rules,
+    "op3_line_crf": op3_line_crf,
     "op4_metric_join": op4_metric_join,
     "op7_ngram_join": op7_ngram_join,
     "op9_line_dedup": op9_line_dedup,
