@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_crf, line_dedup, metric_join, ngram_join, packing, piece_codec, quality_rules, secret_scan
+from . import line_crf, line_dedup, metric_join, ngram_join, packing, piece_codec, quality_rules, secret_scan, style_tree
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), size=5, percent=75)
 
 
+def op8_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -68,6 +72,7 @@ QUERIES = {
     "op3_line_crf": op3_line_crf,
     "op4_metric_join": op4_metric_join,
     "op7_ngram_join": op7_ngram_join,
+    "op8_style_tree": op8_style_tree,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scan": op10_secret_scan,
 }
