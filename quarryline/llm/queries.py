@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_crf, line_dedup, metric_join, ngram_join, packing, piece_codec, quality_rules, secret_scan, style_tree
+from . import license_scan, line_crf, line_dedup, metric_join, ngram_join, packing, piece_codec, quality_rules, secret_scan, style_tree
 from .common import table
 
 
@@ -44,6 +44,13 @@ def op4_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), threshold=0.93)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    places = F.col("places")
+    base = F.transform(F.filter(places, lambda x: ~x["template"]), lambda x: x["first"])
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(base).alias("first_word"), F.array_max(base).alias("last_word"), license_scan.labels_of(places, False).alias("base_labels"), license_scan.labels_of(places, True).alias("labels"), license_scan.confidence(places).alias("score"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), size=5, percent=75)
 
@@ -71,6 +78,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_line_crf": op3_line_crf,
     "op4_metric_join": op4_metric_join,
+    "op6_license_scan": op6_license_scan,
     "op7_ngram_join": op7_ngram_join,
     "op8_style_tree": op8_style_tree,
     "op9_line_dedup": op9_line_dedup,

@@ -68,3 +68,14 @@ def near(vectors, threshold=0.93):
                 n[i] += 1
                 n[j] += 1
     return {i: (n[i], c) for i, c in closed([i for i, _, _ in vectors], links).items()}
+
+
+PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+
+
+def licenses(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    at = [(k, label) for p, label in PHRASES.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+    starts = [k for k, _ in at]
+    return len(words), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({label for _, label in at}))
