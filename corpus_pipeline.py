@@ -1,6 +1,61 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline over ``documents``: good documents, without repeated lines, near copies and secrets, packed for training."""
+
 from __future__ import annotations
-STAGES = []
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarryline.llm import line_crf, line_dedup, ngram_join, packing, secret_scan
+from quarryline.llm.common import table, written
+from quarryline.llm.queries import vocabulary
+
+
+def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of documents, n_chars counted anew."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is 0.7 or more; the field learns from labelled rows of ``docs`` that aren't held out."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~line_crf.held_out())
+    return line_crf.accepted(docs, line_crf.train(docs, labels, most=3000), least=0.7)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that five documents or more share stay in one of them."""
+    return _counted(line_dedup.drop_repeated_lines(docs, min_chars=40, min_docs=5), docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest id."""
+    return ngram_join.one_of_each(docs, size=5, percent=75)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets replaced by a mark."""
+    return _counted(secret_scan.redact(secret_scan.find_secrets(docs)), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document stands in the training sequences."""
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), length=2048, end_id=1, keep_ids=False)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup_stage),
+    ("ngram_join", near_duplicates),
+    ("secret_scan", secrets),
+    ("packing", pack),
+]
+
+#: The trained classifier has no SQL form.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of ``documents``; each stage's result is written to the shared folder, for the next to read."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

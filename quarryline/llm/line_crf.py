@@ -198,6 +198,23 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
+def accepted(docs: DataFrame, field: Field, least: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores ``least`` or more; null and empty texts are scored as one empty line."""
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = pa.array(range(batch.num_rows), type=pa.int64())
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for rows, texts, _ in _in_groups([pa.RecordBatch.from_arrays([place, batch.column(at)], ["place", "text"])]):
+                features, length, first = line_features(texts)
+                chance, _ = field.marginals(features, first)
+                keep[rows] = np.add.reduceat(chance * length, first[:-1]) / np.add.reduceat(length, first[:-1]) >= least
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that no model learns from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
