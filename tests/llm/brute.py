@@ -79,3 +79,38 @@ def licenses(text):
     at = [(k, label) for p, label in PHRASES.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
     starts = [k for k, _ in at]
     return len(words), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({label for _, label in at}))
+
+
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def line_dedup(docs, min_chars=40, min_docs=5):
+    """docs: id to text. Gives id to (lines, dropped, kept text)."""
+    lines = {i: (t or "").split("\n") for i, t in docs.items()}
+    holders = {}
+    for i, ls in lines.items():
+        for x in ls:
+            if len(k := lower(x.strip(BLANKS))) >= min_chars:
+                holders.setdefault(k, set()).add(i)
+    gone = {k: max(ids) for k, ids in holders.items() if len(ids) >= min_docs}
+    out = {}
+    for i, ls in lines.items():
+        kept = [x for x in ls if gone.get(lower(x.strip(BLANKS)), i) == i]
+        out[i] = (len(ls), len(ls) - len(kept), "\n".join(kept))
+    return out
+
+
+def measures(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = {}
+    for i in range(len(words) - 2):
+        windows.setdefault(tuple(words[i : i + 3]), []).append(i)
+    covered = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(3)}
+    lines = [x for x in text.split("\n") if x.strip(BLANKS)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
