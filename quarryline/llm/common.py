@@ -60,3 +60,22 @@ def without(df: DataFrame, *names: str) -> list[str]:
     """The columns of ``df`` but for ``names``, compared as Spark does, without regard to case."""
     drop = {n.lower() for n in names}
     return [f"`{c}`" for c in df.columns if c.lower() not in drop]
+
+
+class Recent(dict):
+    """What a Python worker remembers: two generations of at most ``most`` entries, so that frequent keys outlive rare ones."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= 64:  # long keys hardly come again
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found

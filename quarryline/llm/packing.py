@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Recent, written
 
 #: Length classes; a class is this share of a sequence.
 CLASSES = 256
-#: Words whose ids a Python worker keeps.
-MOST_WORDS = 300_000
+#: Words whose ids a Python worker keeps, in each of two generations.
+MOST_WORDS = 350_000
 END_ID = 1
 
 _EDGE = re.compile(r" \s|\s ")
@@ -37,8 +37,8 @@ BYTE_LETTERS = {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if
 _WORD_START = re.compile(r"(?<=\S)(?= \S)")
 
 
-class WordIds(dict):
-    """Ids, as little-endian 32-bit bytes, of a word with a space before it.
+class WordIds:
+    """Ids of texts as little-endian 32-bit bytes; ``words`` has those of words with a space before them.
 
     The tokenizer starts a new token at a single space between two other characters, so the ids of
     a text are those of its words. Pieces of text where blanks meet are never cut apart. Words of
@@ -47,38 +47,27 @@ class WordIds(dict):
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.runs: dict[str, bytes] = {}
+        self.runs = Recent(self.run, MOST_WORDS)
+        self.words = Recent(self.word, MOST_WORDS)
 
     def raw(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def run(self, text: str) -> bytes:
-        found = self.runs.get(text)
-        if found is None:
-            ids = [t.id for t in self.model.tokenize(text if text.isascii() and text.isalpha() else text.encode().decode("latin-1").translate(BYTE_LETTERS))]
-            found = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self.runs) >= MOST_WORDS:
-                self.runs.clear()
-            self.runs[text] = found
-        return found
-
-    def __missing__(self, word: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(text if text.isascii() and text.isalpha() else text.encode().decode("latin-1").translate(BYTE_LETTERS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def word(self, word: str) -> bytes:
         runs = _RUN.findall(word)
         if "".join(runs) == word and runs and "\n\n" not in word and all(r.isalpha() or r in _LINE_END or r[0] in _PLAIN for r in runs):
-            found = b"".join(map(self.run, [" " + runs[0], *runs[1:]]))
-        else:
-            found = self.raw(" " + word)
-        if len(word) <= 64:
-            if len(self) >= MOST_WORDS:
-                self.clear()
-            self[word] = found
-        return found
+            known = self.runs
+            return b"".join([known[" " + runs[0]], *[known[r] for r in runs[1:]]])
+        return self.raw(" " + word)
 
     def text(self, text: str) -> bytes:
         if _EDGE.search(text):
@@ -86,7 +75,7 @@ class WordIds(dict):
             rest = [x[1:] for x in rest]
         else:
             first, *rest = text.split(" ")
-        return (self.raw(first) if first else b"") + b"".join(map(self.__getitem__, rest))
+        return (self.raw(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))
 
 
 _loaded: dict[str, WordIds] = {}

@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Recent
+
 #: How the model writes a space.
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words, and pairs of pieces, that a Python worker remembers.
+#: Words in each of two generations, and pairs of pieces, that a Python worker remembers.
 MOST_WORDS = 250_000
 MOST_PAIRS = 400_000
 _NEVER = float("inf")
@@ -100,7 +102,7 @@ class PieceModel:
         self.plain = set(self.ids.values())
         self.neighbours = {t[k : k + 2] for t in self.ids for k in range(len(t) - 1)}
         self._shorter: dict[str, str | None] = {}
-        self._fragments: dict[str, list[int]] = {}
+        self._fragments = Recent(self._backtrack, MOST_WORDS)
 
     def merged(self, text: str) -> tuple[list[str], list[tuple[int, str, str]]]:
         """The pieces of ``text`` by merging the best pair again and again, the leftmost first; and the merges made."""
@@ -185,14 +187,7 @@ class PieceModel:
         """Ids of a word; characters that are no pieces become their bytes."""
         out: list[int] = []
         for part in self.fragments(word):
-            known = self._fragments.get(part)
-            if known is None:
-                if len(self._fragments) >= MOST_WORDS:
-                    self._fragments.clear()
-                known = self._backtrack(part)
-                if len(part) <= 64:
-                    self._fragments[part] = known
-            out += known
+            out += self._fragments[part]
         return out
 
     def _backtrack(self, word: str) -> list[int]:
@@ -262,28 +257,24 @@ def words(text: str) -> list[str]:
     return text.split(" ")
 
 
-class WordMemory(dict):
-    """For a word: its ids joined by commas. ``odd`` has what a word decodes to where that isn't a space and the word."""
+class WordMemory:
+    """``ids`` has a word's ids joined by commas. ``odd``: some word's ids decode to other text than a space and the word."""
 
     def __init__(self, model: PieceModel):
-        super().__init__()
         self.model = model
-        self.odd: dict[str, str] = {}
+        self.odd = False
+        self.ids = Recent(self.encoded, MOST_WORDS)
 
-    def __missing__(self, word: str) -> str:
+    def encoded(self, word: str) -> str:
         ids = self.model.word(SPACE + word.replace(" ", SPACE))
-        found = ",".join(map(str, ids))
-        if (back := self.model.pieces_text(ids)) != " " + word:
-            self.odd[word] = back
-        if len(word) <= 64:
-            if len(self) >= MOST_WORDS:
-                self.clear()
-            self[word] = found
-        return found
+        self.odd = self.odd or self.model.pieces_text(ids) != " " + word
+        return ",".join(map(str, ids))
 
     def decoded(self, split: list[str]) -> str:
         """What the ids of these words decode to."""
-        return "".join([self.odd.get(w, " " + w) for w in split]) if self.odd else " " + " ".join(split)
+        if not self.odd:
+            return " " + " ".join(split)
+        return self.model.pieces_text([int(i) for w in split for i in self.ids[w].split(",")])
 
 
 _loaded: dict[str, WordMemory] = {}
@@ -318,7 +309,7 @@ def encode_documents(docs: DataFrame, model: str, outputs: tuple[str, ...] = ("i
             columns: dict[str, list] = {o: [] for o in outputs}
             for text in batch.column(1):
                 split = words(text.as_py() or "")
-                ids = ",".join(map(known.__getitem__, split))
+                ids = ",".join(map(known.ids.__getitem__, split))
                 if "ids" in columns:
                     columns["ids"].append(np.fromstring(ids, dtype=np.int32, sep=","))
                 if "n_tokens" in columns:
