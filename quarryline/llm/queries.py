@@ -120,3 +120,47 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGI
 FROM j GROUP BY doc_id
 """,
 }
+
+_UP_LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+ORACLE_SQL["op7_ngram_join"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_UP_LOW}), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' '))) END AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n + b.n) AS n, count(*) AS o FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * o >= 75 * (n - o)),
+two AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT two.b, r.c FROM r JOIN two ON r.doc_id = two.a)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, (SELECT min(c) FROM r WHERE r.doc_id = s.doc_id) AS component_id FROM s
+"""
+
+ORACLE_SQL["op4_metric_join"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+good AS (SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.93),
+r(vec_id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON r.vec_id = l.a),
+m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id)
+SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM m
+"""
+
+
+def _secret_sql() -> str:
+    """Spans of each rule from its matches and the text between them, as the operator finds them."""
+    parts = []
+    for k, r in enumerate(secret_scan.RULES):
+        pattern = r.pattern.replace("'", "''")
+        least = f"length(regexp_extract(m, '{pattern}', {r.group})) >= {r.least}"
+        parts.append(f"""SELECT doc_id, {k} AS kind_at, '{r.kind}' AS kind, g_sum + m_sum - length(m) AS first, g_sum + m_sum AS last FROM (
+  SELECT doc_id, m, sum(length(g)) OVER o AS g_sum, sum(length(m)) OVER o AS m_sum FROM (
+    SELECT doc_id, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(len(ms))) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS ms, string_split_regex(t, '{pattern}') AS gs FROM d))
+  WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE {least}""")
+    base = [r.kind for r in secret_scan.BASE_RULES]
+    count = ", ".join(f"(count(*) FILTER (WHERE kind = '{b}'))::BIGINT AS n_{b}" for b in base)
+    joined = "string_agg(kind || ':' || first::BIGINT || ':' || last::BIGINT, ',' ORDER BY first, kind_at)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({" UNION ALL ".join(parts)})
+SELECT doc_id, {count}, sha256(coalesce({joined} FILTER (WHERE kind_at < {len(base)}), '')) AS base_sha256, coalesce({joined} FILTER (WHERE kind IS NOT NULL), '') AS spans
+FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id"""
+
+
+ORACLE_SQL["op10_secret_scan"] = _secret_sql()
