@@ -6,12 +6,14 @@ product of the matrix with its transpose counts what two sets share, and it is n
 1. Columns are put in an order, the less frequent first by counts over all documents. Two sets that
    share enough must meet in the first columns of each, so only those entries are multiplied at
    first, column block by column block.
-2. Pairs whose sizes, in all or by column block, bound the overlap below the threshold are discarded.
+2. Pairs whose sizes bound the overlap below the threshold are discarded: the sizes of the sets, less
+   the column blocks in which only one of the two has entries.
 3. For the pairs left, overlaps are counted block by block over all columns and added up.
 
-Only components are asked for, so a column's pairs are not all made: each set is first compared
-with the column's leader that shares most, the pairs found are contracted, and only pairs of
-different components remain to be compared.
+Only components are asked for, so not all pairs of a long column are made. Columns with few rows
+give all their pairs at once. In longer ones each set is first compared with the column's leader
+that shares most, the pairs found are contracted, and then only pairs of sets in different
+components remain to be compared; no pair is left out.
 """
 
 from __future__ import annotations
@@ -28,12 +30,14 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import components
 
-#: Column blocks by which sizes are kept, and by which overlaps are added up.
-SIZE_BLOCKS, COUNT_BLOCKS = 128, 4
+#: Column blocks of which a bit says whether a set has entries there (64 to a word), and those by which overlaps are added up.
+BIT_BLOCKS, COUNT_BLOCKS = 1024, 4
 #: Counters of n-grams for the order of columns; a fixed size, so it may go to every task.
 COUNTERS = 1 << 18
 #: Entries that are packed together, and entries in a block of columns.
 PACK, BLOCK = 500_000, 400_000
+#: Columns with up to so many rows give all their pairs at once.
+FEW_ROWS = 8
 #: Sets up to this number are looked up by a broadcast of their ids (8 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -114,6 +118,25 @@ def node_of(grams: np.ndarray) -> int:
         return int(_mixed(np.array([_mixed(grams ^ _MIX[63]).sum() + np.uint64(len(grams))], dtype=np.uint64)).view(np.int64)[0])
 
 
+def _bits(grams: np.ndarray) -> np.ndarray:
+    """Which blocks of columns a set has entries in."""
+    has = np.zeros(BIT_BLOCKS, dtype=bool)
+    has[(grams >> np.uint64(64 - 10)).astype(np.int64)] = True
+    return np.packbits(has).view(np.int64)
+
+
+def _only_in(x: str, y: str):
+    """At least so many entries of set ``x`` are not in ``y``: blocks where it alone has some."""
+    return sum((F.bit_count(F.get(x, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(k))))) for k in range(1, BIT_BLOCKS // 64)), F.bit_count(F.get(x, F.lit(0)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(0))))))
+
+
+def _may_link(percent: int):
+    """Whether sets a and b (n_a, bits_a, n_b, bits_b) can share enough: their overlap is bounded by what each size leaves."""
+    most = F.least(F.col("n_a") - _only_in("bits_a", "bits_b"), F.col("n_b") - _only_in("bits_b", "bits_a"))
+    sized = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+    return sized & ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
+
+
 def _in_groups(batches: Iterator[pa.RecordBatch], size: int, most_chars: int = 400_000) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Keys and n-gram sets of a few texts at a time; a very long text comes alone."""
     for batch in batches:
@@ -131,18 +154,18 @@ def _in_groups(batches: Iterator[pa.RecordBatch], size: int, most_chars: int = 4
 
 
 def _profile(docs: DataFrame, size: int) -> DataFrame:
-    """A row for each document (id, n, node, sizes by column block), and rows with parts of the task's n-gram counters."""
+    """A row for each document (id, n, node, bits of its column blocks), and rows with parts of the task's n-gram counters."""
     key = docs.schema.fields[0].dataType.simpleString()
     parts = 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, dtype=np.int64)
         waiting: list[np.ndarray] = []
-        names = ["id", "n", "node", "sizes", "part", "salt", "counts"]
+        names = ["id", "n", "node", "bits", "part", "salt", "counts"]
         kind = None
 
-        def rows(ids, n, node, sizes, part, salt, counts):
-            return pa.RecordBatch.from_arrays([pa.array(ids, type=kind), pa.array(n, type=pa.int64()), pa.array(node, type=pa.int64()), pa.array(sizes, type=pa.binary()), pa.array(part, type=pa.int32()), pa.array(salt, type=pa.int32()), pa.array(counts, type=pa.binary())], names)
+        def rows(ids, n, node, bits, part, salt, counts):
+            return pa.RecordBatch.from_arrays([pa.array(ids, type=kind), pa.array(n, type=pa.int64()), pa.array(node, type=pa.int64()), pa.array(bits, type=pa.list_(pa.int64())), pa.array(part, type=pa.int32()), pa.array(salt, type=pa.int32()), pa.array(counts, type=pa.binary())], names)
 
         def typed():
             nonlocal kind
@@ -155,9 +178,8 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
             if sum(map(len, waiting)) > 500_000:
                 counters += np.bincount(np.concatenate(waiting) & np.uint64(COUNTERS - 1), minlength=COUNTERS)
                 waiting = []
-            blocks = [np.bincount(s >> np.uint64(57), minlength=SIZE_BLOCKS) if len(s) else None for s in sets]
             none = [None] * len(keys)
-            yield rows(keys, [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets], [b.astype(np.uint8).tobytes() if b is not None and b.max() < 256 else None for b in blocks], none, none, none)
+            yield rows(keys, [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets], [_bits(s) if len(s) else None for s in sets], none, none, none)
         if kind is not None:
             if waiting:
                 counters += np.bincount(np.concatenate(waiting) & np.uint64(COUNTERS - 1), minlength=COUNTERS)
@@ -165,7 +187,7 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
             none = [None] * parts
             yield rows(none, none, none, none, list(range(parts)), [salt] * parts, [c.tobytes() for c in np.split(counters, parts)])
 
-    return docs.mapInArrow(run, f"id {key}, n long, node long, sizes binary, part int, salt int, counts binary")
+    return docs.mapInArrow(run, f"id {key}, n long, node long, bits array<long>, part int, salt int, counts binary")
 
 
 def _counters(profile: DataFrame) -> np.ndarray:
@@ -185,10 +207,20 @@ def _counters(profile: DataFrame) -> np.ndarray:
     return out
 
 
+def _least(n_a, n_b, percent: int):
+    """What sets of these sizes must share: |A and B| * (100 + p) >= p * (|A| + |B|)."""
+    return -(-percent * (n_a + n_b) // (100 + percent))
+
+
 def _first_entries(docs: DataFrame, size: int, percent: int, counters: np.ndarray, total: int) -> DataFrame:
-    """Entries (h, node, n) of the matrix in the first columns of each row, for columns with two rows or more.
+    """The first product of the matrix, by column block: rows (pair, x, y, n, pos).
+
+    Only the first columns of each row take part, and only columns with two rows or more. A column
+    with few rows gives pairs of nodes (x, y) whose sizes and places allow a link: sets that must
+    share s entries meet within the first n - s + 1 columns of each. A longer column gives its
+    entries: column x, node y, the set's size n, and the column's place ``pos`` in the row.
 
-    Tasks pack entries by column block, 20 bytes an entry; each block is sorted by itself. A column
+    Tasks pack entries by column block, 24 bytes an entry; each block is sorted by itself. A column
     whose counter is far above the mean may be too long for that: its entries are kept as they are.
     """
     blocks = max(1, total * (100 - percent) // 100 // BLOCK)
@@ -197,19 +229,19 @@ def _first_entries(docs: DataFrame, size: int, percent: int, counters: np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.random.default_rng(TaskContext.get().taskAttemptId())
 
-        def packed(h, node, n):
-            h, node, n = np.concatenate(h), np.concatenate(node), np.concatenate(n)
+        def packed(h, node, n, pos):
+            h, node, n, pos = np.concatenate(h), np.concatenate(node), np.concatenate(n), np.concatenate(pos)
             block = ((h >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
             block[counters[(h & np.uint64(COUNTERS - 1)).astype(np.int64)] > hot] = blocks + int(salt.integers(0, 1 << 40))
             order = np.argsort(block, kind="stable")
-            h, node, n, block = h[order], node[order], n[order], block[order]
+            h, node, n, pos, block = h[order], node[order], n[order], pos[order], block[order]
             cut = np.flatnonzero(np.diff(block)) + 1
             ends = [*cut, len(block)]
             begins = [0, *cut]
             spans = list(zip(begins, ends, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(block[begins], type=pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in spans], type=pa.binary()) for x in (h, node, n))], ["block", "h", "node", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(block[begins], type=pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in spans], type=pa.binary()) for x in (h, node, n, pos))], ["block", "h", "node", "n", "pos"])
 
-        held, n_held = ([], [], []), 0
+        held, n_held = ([], [], [], []), 0
         for _, sets in _in_groups(batches, size):
             for s in sets:
                 if not len(s):
@@ -219,42 +251,46 @@ def _first_entries(docs: DataFrame, size: int, percent: int, counters: np.ndarra
                 held[0].append(first)
                 held[1].append(np.full(len(first), node_of(s), dtype=np.int64))
                 held[2].append(np.full(len(first), len(s), dtype=np.int32))
+                held[3].append(np.arange(len(first), dtype=np.int32))
                 n_held += len(first)
             if n_held >= PACK:
                 yield packed(*held)
-                held, n_held = ([], [], []), 0
+                held, n_held = ([], [], [], []), 0
         if n_held:
             yield packed(*held)
 
     def shared(rows: pd.DataFrame) -> pd.DataFrame:
-        h, node, n = (np.frombuffer(b"".join(rows[c]), dtype=t) for c, t in (("h", np.uint64), ("node", np.int64), ("n", np.int32)))
+        h, node, n, pos = (np.frombuffer(b"".join(rows[c]), dtype=t) for c, t in (("h", np.uint64), ("node", np.int64), ("n", np.int32), ("pos", np.int32)))
         order = np.lexsort((node, h))
-        h, node, n = h[order], node[order], n[order]
+        h, node, n, pos = h[order], node[order], n[order], pos[order]
         new = np.ones(len(h), dtype=bool)
         new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-        h, node, n = h[new], node[new], n[new]
-        if rows["block"].iloc[0] < blocks:
-            twin = h[1:] == h[:-1]
-            keep = np.append(twin, False) | np.insert(twin, 0, False) if len(h) else np.zeros(0, dtype=bool)
-            h, node, n = h[keep], node[keep], n[keep]
-        return pd.DataFrame({"h": h.view(np.int64), "node": node, "n": n.astype(np.int64)})
-
-    entries = docs.mapInArrow(run, "block long, h binary, node binary, n binary")
-    return entries.groupBy("block").applyInPandas(shared, "h long, node long, n long")
+        h, node, n, pos = h[new], node[new], n[new], pos[new]
+        _, rank, count = np.unique(h, return_inverse=True, return_counts=True)
+        count = count[rank]
+        cold = rows["block"].iloc[0] < blocks
+        pairs = [np.zeros((0, 2), dtype=np.int64)]
+        for d in range(1, FEW_ROWS if cold else 0):
+            i = np.flatnonzero((h[d:] == h[:-d]) & (count[d:] <= FEW_ROWS))
+            j = i + d
+            least = _least(n[i].astype(np.int64), n[j].astype(np.int64), percent)
+            i, j = (x[(pos[i] <= n[i] - least) & (pos[j] <= n[j] - least)] for x in (i, j))
+            pairs.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
+        found = np.unique(np.concatenate(pairs), axis=0)
+        long = count > FEW_ROWS if cold else np.ones(len(h), dtype=bool)
+        zeros = np.zeros(len(found), dtype=np.int64)
+        return pd.DataFrame({"pair": np.repeat([True, False], [len(found), long.sum()]), "x": np.concatenate([found[:, 0], h[long].view(np.int64)]), "y": np.concatenate([found[:, 1], node[long]]), "n": np.concatenate([zeros, n[long]]), "pos": np.concatenate([zeros, pos[long]])})
+
+    entries = docs.mapInArrow(run, "block long, h binary, node binary, n binary, pos binary")
+    return entries.groupBy("block").applyInPandas(shared, "pair boolean, x long, y long, n long, pos long")
 
 
 def _overlaps(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b: nodes) whose sets share enough, by adding up overlaps over column blocks."""
-    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sizes").alias(f"sizes_{x}"), F.col("doc").alias(f"doc_{x}")) for x in "ab")
-
-    @F.pandas_udf("long")
-    def most_shared(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([int(np.minimum(np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)).sum()) if p is not None and q is not None else 1 << 40 for p, q in zip(x, y, strict=True)], dtype="int64")
-
-    # |A and B| * (100 + p) >= p * (|A| + |B|), put for a bound of the overlap.
+    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"), F.col("doc").alias(f"doc_{x}")) for x in "ab")
+    # |A and B| * (100 + p) >= p * (|A| + |B|)
     enough = f"{100 + percent} * overlap >= {percent} * (n_a + n_b)"
-    sized = pairs.join(a, "a").join(b, "b").where(f"100 * n_a >= {percent} * n_b AND 100 * n_b >= {percent} * n_a")
-    likely = written(sized.withColumn("overlap", most_shared("sizes_a", "sizes_b")).where(enough).select("a", "b", "n_a", "n_b", "doc_a", "doc_b"), "likely")
+    likely = written(pairs.join(a, "a").join(b, "b").where(_may_link(percent)).select("a", "b", "n_a", "n_b", "doc_a", "doc_b"), "likely")
     asked = likely.select(F.col("doc_a").alias("__ql_doc")).union(likely.select("doc_b")).distinct()
     some = F.broadcast(asked) if likely.count() * 2 <= MOST_BROADCAST else asked
     key, text = docs.columns
@@ -287,30 +323,37 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col
 
     ``component_id`` is the smallest id reachable by links. Texts with equal sets link; a null text,
     or one without words, has an empty set and links with nothing. Every row keeps a result: rows
-    that repeat an id are compared like others; where no row of a component has an id, the
-    component's id is null. Other columns aren't read. Sets and n-grams are
+    that repeat an id are compared like others; a text that only rows without id have links with its
+    copies alone, and their component's id is null. Other columns aren't read. Sets and n-grams are
     compared by 64-bit hashes.
     """
     slim = docs.select(id_col, text_col)
     profile = written(_profile(slim, size), "profile")
-    rows = profile.where("part IS NULL").select("id", "n", "node", "sizes")
-    nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("doc"), F.min("n").alias("n"), F.max("sizes").alias("sizes")), "nodes")
+    rows = profile.where("part IS NULL").select("id", "n", "node", "bits")
+    nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("doc"), F.min("n").alias("n"), F.first("bits").alias("bits")), "nodes")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    posts = written(_first_entries(slim, size, percent, _counters(profile), total), "entries")
-
-    # First product: each row with the leader of a column; of a row's leaders, the one that shares most columns.
-    leaders = posts.groupBy("h").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most").select("h", "b")
-    shared = posts.join(leaders, "h").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"))
-    best = written(shared.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b")), "pairs")
-    linked = written(_overlaps(best, nodes, slim, size, percent), "links")
-
-    # Second product: pairs of rows in different components that meet in a column.
+    met = written(_first_entries(slim, size, percent, _counters(profile), total), "met")
+    near = written(_overlaps(met.where("pair").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), nodes, slim, size, percent), "links")
+
+    # Long columns: each row with a leader, one that is in most columns; of a row's leaders, the one that shares most.
+    entries = met.where("NOT pair").select(F.col("x").alias("h"), F.col("y").alias("node"), "n", "pos")
+    degree = entries.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    posts = written(entries.join(degree, "node"), "entries")
+    leaders = posts.groupBy("h").agg(F.max(F.struct("degree", F.col("node").alias("b"))).alias("top")).select("h", "top.b", F.col("top.degree").alias("of_b"))
+    shared = posts.join(leaders, "h").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"), F.max("of_b").alias("of_b"))
+    best = written(shared.groupBy("a").agg(F.max_by("b", F.struct("c", "of_b", "b")).alias("b")), "pairs")
+    linked = near.unionByName(written(_overlaps(best, nodes, slim, size, percent), "links"))
+
+    # Pairs of rows in different components that meet in a long column.
     label = components(linked)
     named = posts.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("component", "node"))
     open_ = named.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
-    mixed = written(named.join(open_, "h").select("h", "node", "n", "label"), "mixed")
-    a, b = (mixed.select("h", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
-    cross = a.join(b, "h").where(f"a < b AND la <> lb AND 100 * na >= {percent} * nb AND 100 * nb >= {percent} * na").select("a", "b").distinct()
+    bits = nodes.select("node", "bits")
+    mixed = written(named.join(open_, "h").select("h", "node", "n", "pos", "label").join(bits, "node"), "mixed")
+    a, b = (mixed.select("h", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("pos").alias(f"pos_{x}"), F.col("label").alias(f"label_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    least = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) DIV {100 + percent}")
+    meet = (F.col("pos_a") <= F.col("n_a") - least) & (F.col("pos_b") <= F.col("n_b") - least)
+    cross = a.join(b, "h").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & meet & _may_link(percent)).select("a", "b").distinct()
     tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = written(_overlaps(cross.join(tested, ["a", "b"], "left_anti"), nodes, slim, size, percent), "links")
 
