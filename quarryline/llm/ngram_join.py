@@ -10,10 +10,10 @@ product of the matrix with its transpose counts what two sets share, and it is n
    the column blocks in which only one of the two has entries.
 3. For the pairs left, overlaps are counted block by block over all columns and added up.
 
-Only components are asked for, so not all pairs of a long column are made. Columns with few rows
-give all their pairs at once. In longer ones each set is first compared with the column's leader
-that shares most, the pairs found are contracted, and then only pairs of sets in different
-components remain to be compared; no pair is left out.
+Only components are asked for, so not all pairs need their overlap. Columns with few rows give all
+their pairs; in longer ones each set is paired with the column's leader. Each set is first compared
+with one partner, the pairs found are contracted, and then only pairs of sets in different
+components remain to be compared; no such pair is left out.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ BIT_BLOCKS, COUNT_BLOCKS = 1024, 4
 COUNTERS = 1 << 18
 #: Entries that are packed together, and entries in a block of columns.
 PACK, BLOCK = 500_000, 400_000
-#: Columns with up to so many rows give all their pairs at once.
-FEW_ROWS = 8
+#: Columns with up to so many rows give all their pairs at once; pairs that meet so often are likely to link.
+FEW_ROWS, OFTEN = 8, 4
 #: Sets up to this number are looked up by a broadcast of their ids (8 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -216,8 +216,8 @@ def _first_entries(docs: DataFrame, size: int, percent: int, counters: np.ndarra
     """The first product of the matrix, by column block: rows (pair, x, y, n, pos).
 
     Only the first columns of each row take part, and only columns with two rows or more. A column
-    with few rows gives pairs of nodes (x, y) whose sizes and places allow a link: sets that must
-    share s entries meet within the first n - s + 1 columns of each. A longer column gives its
+    with few rows gives pairs of nodes (x, y), with how often they meet (n), whose sizes and places
+    allow a link: sets that must share s entries meet within the first n - s + 1 columns of each. A longer column gives its
     entries: column x, node y, the set's size n, and the column's place ``pos`` in the row.
 
     Tasks pack entries by column block, 24 bytes an entry; each block is sorted by itself. A column
@@ -276,10 +276,9 @@ def _first_entries(docs: DataFrame, size: int, percent: int, counters: np.ndarra
             least = _least(n[i].astype(np.int64), n[j].astype(np.int64), percent)
             i, j = (x[(pos[i] <= n[i] - least) & (pos[j] <= n[j] - least)] for x in (i, j))
             pairs.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
-        found = np.unique(np.concatenate(pairs), axis=0)
+        found, times = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
         long = count > FEW_ROWS if cold else np.ones(len(h), dtype=bool)
-        zeros = np.zeros(len(found), dtype=np.int64)
-        return pd.DataFrame({"pair": np.repeat([True, False], [len(found), long.sum()]), "x": np.concatenate([found[:, 0], h[long].view(np.int64)]), "y": np.concatenate([found[:, 1], node[long]]), "n": np.concatenate([zeros, n[long]]), "pos": np.concatenate([zeros, pos[long]])})
+        return pd.DataFrame({"pair": np.repeat([True, False], [len(found), long.sum()]), "x": np.concatenate([found[:, 0], h[long].view(np.int64)]), "y": np.concatenate([found[:, 1], node[long]]), "n": np.concatenate([times, n[long]]), "pos": np.concatenate([0 * times, pos[long]])})
 
     entries = docs.mapInArrow(run, "block long, h binary, node binary, n binary, pos binary")
     return entries.groupBy("block").applyInPandas(shared, "pair boolean, x long, y long, n long, pos long")
@@ -333,19 +332,23 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col
     nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("doc"), F.min("n").alias("n"), F.first("bits").alias("bits")), "nodes")
     total = rows.agg(F.sum("n")).first()[0] or 0
     met = written(_first_entries(slim, size, percent, _counters(profile), total), "met")
-    near = written(_overlaps(met.where("pair").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), nodes, slim, size, percent), "links")
+    near = written(met.where("pair").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("n").alias("c")), "near")
 
-    # Long columns: each row with a leader, one that is in most columns; of a row's leaders, the one that shares most.
+    # Long columns: each row with a leader, one that is in most columns.
     entries = met.where("NOT pair").select(F.col("x").alias("h"), F.col("y").alias("node"), "n", "pos")
     degree = entries.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     posts = written(entries.join(degree, "node"), "entries")
     leaders = posts.groupBy("h").agg(F.max(F.struct("degree", F.col("node").alias("b"))).alias("top")).select("h", "top.b", F.col("top.degree").alias("of_b"))
     shared = posts.join(leaders, "h").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"), F.max("of_b").alias("of_b"))
-    best = written(shared.groupBy("a").agg(F.max_by("b", F.struct("c", "of_b", "b")).alias("b")), "pairs")
-    linked = near.unionByName(written(_overlaps(best, nodes, slim, size, percent), "links"))
+    # Each row is first compared with one partner: a leader or else the smallest node, if they meet often; so groups of copies become stars.
+    offers = shared.unionByName(near.withColumn("of_b", F.lit(0).cast("long"))).unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "c", F.lit(0).cast("long").alias("of_b")))
+    best = written(offers.groupBy("a").agg(F.max_by("b", F.struct(F.col("c") >= OFTEN, "of_b", F.bitwise_not("b"))).alias("b")), "pairs")
+    linked = written(_overlaps(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, slim, size, percent), "links")
 
-    # Pairs of rows in different components that meet in a long column.
+    # All other pairs that meet, of rows in different components.
     label = components(linked)
+    of = lambda x: label.select(F.col("id").alias(x), F.col("component").alias(f"label_{x}"))
+    apart = near.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b")
     named = posts.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("component", "node"))
     open_ = named.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
     bits = nodes.select("node", "bits")
@@ -354,8 +357,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col
     least = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) DIV {100 + percent}")
     meet = (F.col("pos_a") <= F.col("n_a") - least) & (F.col("pos_b") <= F.col("n_b") - least)
     cross = a.join(b, "h").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & meet & _may_link(percent)).select("a", "b").distinct()
-    tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(_overlaps(cross.join(tested, ["a", "b"], "left_anti"), nodes, slim, size, percent), "links")
+    tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = written(_overlaps(apart.unionByName(cross).distinct().join(tested, ["a", "b"], "left_anti"), nodes, slim, size, percent), "links")
 
     final = components(linked.unionByName(more)) if more.take(1) else label
     rooted = nodes.select("node", "doc").join(final.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("component", "node"))
