@@ -98,7 +98,8 @@ def candidates(docs: DataFrame, rules: Sequence[SecretRule]) -> DataFrame:
     # A filter that is always true would go; a projection that many conditions read stays below them.
     postings = low.select("__ql_key", F.explode(F.array_compact(F.array(*[F.when(F.contains("__ql_low", F.lit(t)), F.lit(t)) for t in asks]))).alias("gram"))
     lists = F.create_map(*[x for t, who in asks.items() for x in (F.lit(t), F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("alt"), F.lit(need[kind, k]).alias("need")) for kind, k in who]))])
-    asked = postings.select("__ql_key", F.inline(lists[F.col("gram")]))
+    # Equal rows share a key; each trigram of a text counts once.
+    asked = postings.distinct().select("__ql_key", F.inline(lists[F.col("gram")]))
     full = asked.groupBy("__ql_key", "kind", "alt", "need").agg(F.count(F.lit(1)).alias("n")).where("n = need")
     return full.groupBy("__ql_key").agg(F.collect_set("kind").alias("__ql_kinds"))
 
