@@ -221,18 +221,20 @@ def _first_entries(docs: DataFrame, size: int, percent: int, counters: np.ndarra
     entries: column x, node y, the set's size n, and the column's place ``pos`` in the row.
 
     Tasks pack entries by column block, 24 bytes an entry; each block is sorted by itself. A column
-    whose counter is far above the mean may be too long for that: its entries are kept as they are.
+    whose counter is far above the mean may be too long for that: its entries are kept as they are,
+    in blocks by the node's hash, so that a task that runs again gives every entry the same block.
+    Copies of a set are packed once, so no block gets a group of them whole.
     """
     blocks = max(1, total * (100 - percent) // 100 // BLOCK)
     hot = max(100_000, 8 * int(counters.mean()))
+    salts = 1 + int(counters[counters > hot].sum()) // BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = np.random.default_rng(TaskContext.get().taskAttemptId())
-
         def packed(h, node, n, pos):
             h, node, n, pos = np.concatenate(h), np.concatenate(node), np.concatenate(n), np.concatenate(pos)
             block = ((h >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
-            block[counters[(h & np.uint64(COUNTERS - 1)).astype(np.int64)] > hot] = blocks + int(salt.integers(0, 1 << 40))
+            is_hot = counters[(h & np.uint64(COUNTERS - 1)).astype(np.int64)] > hot
+            block[is_hot] = blocks + (node[is_hot].view(np.uint64) % np.uint64(salts)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             h, node, n, pos, block = h[order], node[order], n[order], pos[order], block[order]
             cut = np.flatnonzero(np.diff(block)) + 1
@@ -241,21 +243,23 @@ def _first_entries(docs: DataFrame, size: int, percent: int, counters: np.ndarra
             spans = list(zip(begins, ends, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(block[begins], type=pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in spans], type=pa.binary()) for x in (h, node, n, pos))], ["block", "h", "node", "n", "pos"])
 
-        held, n_held = ([], [], [], []), 0
+        held, n_held, seen = ([], [], [], []), 0, set()
         for _, sets in _in_groups(batches, size):
             for s in sets:
-                if not len(s):
+                node = node_of(s) if len(s) else None
+                if node is None or node in seen:
                     continue
+                seen.add(node)
                 order = np.argsort(counters[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
                 first = s[order[: len(s) + (-percent * len(s) // 100) + 1]]
                 held[0].append(first)
-                held[1].append(np.full(len(first), node_of(s), dtype=np.int64))
+                held[1].append(np.full(len(first), node, dtype=np.int64))
                 held[2].append(np.full(len(first), len(s), dtype=np.int32))
                 held[3].append(np.arange(len(first), dtype=np.int32))
                 n_held += len(first)
             if n_held >= PACK:
                 yield packed(*held)
-                held, n_held = ([], [], [], []), 0
+                held, n_held, seen = ([], [], [], []), 0, set()
         if n_held:
             yield packed(*held)
 

@@ -1,0 +1,20 @@
+"""Entries of hot columns go to the same block from whichever task attempt they come."""
+
+import numpy as np
+import pytest
+
+pytest.importorskip("quarryline.llm")
+from quarryline.llm import ngram_join  # noqa: E402
+
+
+def test_hot_entries_have_one_block(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    grams = ngram_join.shingle_sets([text])[0]
+    counters = np.zeros(ngram_join.COUNTERS, dtype=np.int64)
+    counters[(grams & np.uint64(ngram_join.COUNTERS - 1)).astype(np.int64)] = 10**6  # hot
+    docs = spark.createDataFrame([(i, text) for i in range(40)] + [(40, text + " end")], "doc_id long, text string").repartition(8)
+    met = ngram_join._first_entries(docs, 5, 75, counters, 60 * 41)
+    entries = [(r.x, r.y) for r in met.where("NOT pair").collect()]
+    # Tasks have attempt numbers of their own: in blocks by these, an entry of several tasks came several times.
+    assert len(entries) == len(set(entries)) and len({y for _, y in entries}) == 2
+    assert {x for x, y in entries if y == ngram_join.node_of(grams)} <= set(grams.view(np.int64).tolist())
