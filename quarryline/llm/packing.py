@@ -210,18 +210,24 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = END_
     ``docs`` has a piece; repeated rows are packed as often as they come, null ids stay null; other
     columns aren't read. An empty table gives no rows. A piece is never cut for a better fit, only
     at multiples of ``length``; padding comes from rounding lengths up to classes
-    (``length / 256``) and from the last few sequences.
+    (``length / 256``) and from the last few sequences. If classes don't divide ``length``, longer
+    pieces than its whole units have a class of their own and a sequence each.
     """
     spark = docs.sparkSession
     pieces = written(tokenised_pieces(docs, tokenizer, length, end_id, keep_ids, id_col, text_col), "pieces")
     unit = -(-length // CLASSES)
     classed = pieces.withColumn("__ql_class", F.ceil(F.col("length") / unit).cast("int"))
     counts = {r[0]: r[1] for r in classed.groupBy("__ql_class").count().collect()}
-    histogram = np.array([counts.get(k + 1, 0) for k in range(length // unit)])
-    rows = places(patterns(histogram))
+    room = length // unit
+    histogram = np.array([counts.get(k + 1, 0) for k in range(room)])
+    found = [(np.append(column, 0), times) for column, times in patterns(histogram)]
+    alone = counts.get(room + 1, 0)
+    if alone:
+        found.append((np.eye(room + 1, dtype=int)[room], alone))
+    rows = places(found)
     plan = spark.createDataFrame(rows or [(0, 0, 0, 1, 0)], "__ql_class int, __ql_from long, __ql_to long, __ql_each long, __ql_first long")
     # Ranks within a class: its pieces are dealt into buckets, ranked there, and moved up by the buckets before.
-    buckets = int(histogram.sum()) // bucket_rows + 1
+    buckets = (int(histogram.sum()) + alone) // bucket_rows + 1
     dealt = classed.withColumn("__ql_bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
     before = dealt.groupBy("__ql_class", "__ql_bucket").agg(F.count(F.lit(1)).alias("__ql_n"))
     upto = Window.partitionBy("__ql_class").orderBy("__ql_bucket").rowsBetween(Window.unboundedPreceding, -1)
