@@ -3,16 +3,17 @@
 The incidence matrix has a row for each distinct set of n-grams and a column for each n-gram. The
 product of the matrix with its transpose counts what two sets share, and it is never made whole:
 
-1. Columns are put in an order, the less frequent first by counts over all documents. Two sets that
-   share enough must meet in the first columns of each, so only those entries are multiplied at
-   first, column block by column block.
-2. Pairs whose sizes bound the overlap below the threshold are discarded: the sizes of the sets, less
-   the column blocks in which only one of the two has entries.
-3. For the pairs left, overlaps are counted block by block over all columns and added up.
-
-Only components are asked for, so not all pairs need their overlap. Columns with few rows give all
-their pairs; in longer ones each set is paired with the column's leader. Each set is first compared
-with one partner, the pairs found are contracted, and then only pairs of sets in different
+1. Over the first half of the columns, block by block, it is counted how many of a row's entries are
+   in columns that other rows have too. That bounds what the row can share with any other: rows
+   with more entries alone than their size allows are discarded, and with them all their pairs.
+2. For the rows left all columns are counted, block by block. Rows are discarded by what is alone in
+   them, and the others' columns are put in order, the least frequent first.
+3. Rows that share enough meet in the first columns of each. These entries are multiplied, overlap
+   counts are added up by pair, and pairs are discarded that the sizes of their rows and ranges rule out.
+4. For the pairs left the overlap over all columns is counted.
+
+Only components are asked for, so not all pairs need their overlap: each row is first compared with
+a leader of its columns, the pairs found are contracted, and then only pairs of rows in different
 components remain to be compared; no such pair is left out.
 """
 
@@ -27,18 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 from .components import components
 
-#: Column blocks of which a bit says whether a set has entries there (64 to a word), and those by which overlaps are added up.
-BIT_BLOCKS, COUNT_BLOCKS = 1024, 4
-#: Counters of n-grams for the order of columns; a fixed size, so it may go to every task.
-COUNTERS = 1 << 18
-#: Entries that are packed together, and entries in a block of columns.
-PACK, BLOCK = 500_000, 400_000
-#: Columns with up to so many rows give all their pairs at once; pairs that meet so often are likely to link.
-FEW_ROWS, OFTEN = 8, 4
-#: Sets up to this number are looked up by a broadcast of their ids (8 bytes each); more are joined by a shuffle.
+#: The first half of the columns.
+HALF = np.uint64(1 << 63)
+#: Ranges of columns of which a bit says whether a row has entries there.
+BIT_BLOCKS = 1024
+#: Entries that are packed together, entries in a block of columns, and rows of a column that are paired in one task.
+PACK, BLOCK, ROWS = 2_000_000, 4_000_000, 512
+#: Sets up to this number are looked up by a broadcast of their documents' ids; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
 _rng = np.random.default_rng(20240229)
@@ -153,20 +152,19 @@ def _in_groups(batches: Iterator[pa.RecordBatch], size: int, most_chars: int = 4
             yield keys, shingle_sets(texts, size)
 
 
+def _cut(values: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal values begin and end."""
+    at = np.flatnonzero(values[1:] != values[:-1]) + 1
+    return list(zip([0, *at], [*at, len(values)], strict=True)) if len(values) else []
+
+
 def _profile(docs: DataFrame, size: int) -> DataFrame:
-    """A row for each document (id, n, node, bits of its column blocks), and rows with parts of the task's n-gram counters."""
+    """A row for each document: id, n (its set's size), node, and half (its entries in the first half of the columns)."""
     key = docs.schema.fields[0].dataType.simpleString()
-    parts = 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(COUNTERS, dtype=np.int64)
-        waiting: list[np.ndarray] = []
-        names = ["id", "n", "node", "bits", "part", "salt", "counts"]
         kind = None
 
-        def rows(ids, n, node, bits, part, salt, counts):
-            return pa.RecordBatch.from_arrays([pa.array(ids, type=kind), pa.array(n, type=pa.int64()), pa.array(node, type=pa.int64()), pa.array(bits, type=pa.list_(pa.int64())), pa.array(part, type=pa.int32()), pa.array(salt, type=pa.int32()), pa.array(counts, type=pa.binary())], names)
-
         def typed():
             nonlocal kind
             for b in batches:
@@ -174,151 +172,213 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
                 yield b
 
         for keys, sets in _in_groups(typed(), size):
-            waiting += sets
-            if sum(map(len, waiting)) > 500_000:
-                counters += np.bincount(np.concatenate(waiting) & np.uint64(COUNTERS - 1), minlength=COUNTERS)
-                waiting = []
-            none = [None] * len(keys)
-            yield rows(keys, [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets], [_bits(s) if len(s) else None for s in sets], none, none, none)
-        if kind is not None:
-            if waiting:
-                counters += np.bincount(np.concatenate(waiting) & np.uint64(COUNTERS - 1), minlength=COUNTERS)
-            salt = TaskContext.get().partitionId() % 256
-            none = [None] * parts
-            yield rows(none, none, none, none, list(range(parts)), [salt] * parts, [c.tobytes() for c in np.split(counters, parts)])
-
-    return docs.mapInArrow(run, f"id {key}, n long, node long, bits array<long>, part int, salt int, counts binary")
-
-
-def _counters(profile: DataFrame) -> np.ndarray:
-    """The n-gram counters of all tasks added up: ``COUNTERS`` numbers."""
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(c, dtype=np.int64) for c in rows["counts"]], axis=0)
-        return pd.DataFrame({"part": rows["part"][:1], "salt": rows["salt"][:1], "counts": [total.tobytes()]})
-
-    shape = "part int, salt int, counts binary"
-    some = profile.where("part IS NOT NULL").select("part", "salt", "counts").groupBy("part", "salt").applyInPandas(add, shape)
-    rows = some.groupBy("part").applyInPandas(add, shape).collect()
-    out = np.zeros(COUNTERS, dtype=np.int64)
-    for r in rows:
-        step = COUNTERS // 64
-        out[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(bytes(r["counts"]), dtype=np.int64)
-    return out
+            columns = [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets], [int(np.searchsorted(s, HALF)) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, type=kind), *(pa.array(c, type=pa.int64()) for c in columns)], ["id", "n", "node", "half"])
 
+    return docs.mapInArrow(run, f"id {key}, n long, node long, half long")
 
-def _least(n_a, n_b, percent: int):
-    """What sets of these sizes must share: |A and B| * (100 + p) >= p * (|A| + |B|)."""
-    return -(-percent * (n_a + n_b) // (100 + percent))
 
+def _short(node: np.ndarray) -> np.ndarray:
+    """48 bits of a node, never 0."""
+    return np.maximum(node.view(np.uint64) >> np.uint64(16), np.uint64(1))
 
-def _first_entries(docs: DataFrame, size: int, percent: int, counters: np.ndarray, total: int) -> DataFrame:
-    """The first product of the matrix, by column block: rows (pair, x, y, n, pos).
 
-    Only the first columns of each row take part, and only columns with two rows or more. A column
-    with few rows gives pairs of nodes (x, y), with how often they meet (n), whose sizes and places
-    allow a link: sets that must share s entries meet within the first n - s + 1 columns of each. A longer column gives its
-    entries: column x, node y, the set's size n, and the column's place ``pos`` in the row.
+def _shared_entries(docs: DataFrame, size: int, total: int) -> DataFrame:
+    """For the first half of the columns, block by block: how many of a row's entries are in columns that another row has too.
 
-    Tasks pack entries by column block, 24 bytes an entry; each block is sorted by itself. A column
-    whose counter is far above the mean may be too long for that: its entries are kept as they are,
-    in blocks by the node's hash, so that a task that runs again gives every entry the same block.
-    Copies of a set are packed once, so no block gets a group of them whole.
+    Rows are ``short`` (48 bits of a node) and ``n``, to be added up. Tasks pack many sets and sort
+    their entries. A column that two sets of a pack have is counted there and then, and sent on as
+    one mark; so no block gets more of a column than one entry from each pack, however many
+    documents have it. Other entries go to their column's block in 10 bytes each.
     """
-    blocks = max(1, total * (100 - percent) // 100 // BLOCK)
-    hot = max(100_000, 8 * int(counters.mean()))
-    salts = 1 + int(counters[counters > hot].sum()) // BLOCK
+    blocks = max(1, total // 2 // BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(h, node, n, pos):
-            h, node, n, pos = np.concatenate(h), np.concatenate(node), np.concatenate(n), np.concatenate(pos)
-            block = ((h >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
-            is_hot = counters[(h & np.uint64(COUNTERS - 1)).astype(np.int64)] > hot
-            block[is_hot] = blocks + (node[is_hot].view(np.uint64) % np.uint64(salts)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            h, node, n, pos, block = h[order], node[order], n[order], pos[order], block[order]
-            cut = np.flatnonzero(np.diff(block)) + 1
-            ends = [*cut, len(block)]
-            begins = [0, *cut]
-            spans = list(zip(begins, ends, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(block[begins], type=pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in spans], type=pa.binary()) for x in (h, node, n, pos))], ["block", "h", "node", "n", "pos"])
-
-        held, n_held, seen = ([], [], [], []), 0, set()
+        def packed(sets: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+            h = np.concatenate(sets)
+            own = np.repeat(_short(np.array(nodes, dtype=np.int64)), [len(s) for s in sets])
+            order = np.argsort(h, kind="stable")
+            h, own = h[order], own[order]
+            again = np.zeros(len(h), dtype=bool)
+            again[1:] = h[1:] == h[:-1]
+            several = again.copy()
+            several[:-1] |= again[1:]
+            known, times = np.unique(own[several], return_counts=True)
+            sent = ~again
+            own[several] = 0
+            h, own = h[sent], own[sent]
+            block = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(31)).astype(np.int64)
+            spans = _cut(block)
+            parts = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), (own & np.uint64(0xFFFFFFFF)).astype(np.uint32), (own >> np.uint64(32)).astype(np.uint16)
+            first = [True, *[False] * (len(spans) - 1)]
+            extra = [[x.tobytes() if f else b"" for f in first] for x in (known, times.astype(np.int64))]
+            return pa.RecordBatch.from_arrays([pa.array([block[a] for a, _ in spans], type=pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in spans], type=pa.binary()) for x in parts), *(pa.array(x, type=pa.binary()) for x in extra)], ["block", "h", "low", "high", "known", "times"])
+
+        held, nodes, n_held, seen = [], [], 0, set()
         for _, sets in _in_groups(batches, size):
             for s in sets:
-                node = node_of(s) if len(s) else None
+                s_half = s[: np.searchsorted(s, HALF)]
+                node = node_of(s) if len(s_half) else None
                 if node is None or node in seen:
                     continue
                 seen.add(node)
-                order = np.argsort(counters[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
-                first = s[order[: len(s) + (-percent * len(s) // 100) + 1]]
-                held[0].append(first)
-                held[1].append(np.full(len(first), node, dtype=np.int64))
-                held[2].append(np.full(len(first), len(s), dtype=np.int32))
-                held[3].append(np.arange(len(first), dtype=np.int32))
-                n_held += len(first)
+                held.append(s_half)
+                nodes.append(node)
+                n_held += len(s_half)
             if n_held >= PACK:
-                yield packed(*held)
-                held, n_held, seen = ([], [], [], []), 0, set()
+                yield packed(held, nodes)
+                held, nodes, n_held, seen = [], [], 0, set()
         if n_held:
-            yield packed(*held)
-
-    def shared(rows: pd.DataFrame) -> pd.DataFrame:
-        h, node, n, pos = (np.frombuffer(b"".join(rows[c]), dtype=t) for c, t in (("h", np.uint64), ("node", np.int64), ("n", np.int32), ("pos", np.int32)))
-        order = np.lexsort((node, h))
-        h, node, n, pos = h[order], node[order], n[order], pos[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-        h, node, n, pos = h[new], node[new], n[new], pos[new]
-        _, rank, count = np.unique(h, return_inverse=True, return_counts=True)
-        count = count[rank]
-        cold = rows["block"].iloc[0] < blocks
-        pairs = [np.zeros((0, 2), dtype=np.int64)]
-        for d in range(1, FEW_ROWS if cold else 0):
-            i = np.flatnonzero((h[d:] == h[:-d]) & (count[d:] <= FEW_ROWS))
-            j = i + d
-            least = _least(n[i].astype(np.int64), n[j].astype(np.int64), percent)
-            i, j = (x[(pos[i] <= n[i] - least) & (pos[j] <= n[j] - least)] for x in (i, j))
-            pairs.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
-        found, times = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
-        long = count > FEW_ROWS if cold else np.ones(len(h), dtype=bool)
-        return pd.DataFrame({"pair": np.repeat([True, False], [len(found), long.sum()]), "x": np.concatenate([found[:, 0], h[long].view(np.int64)]), "y": np.concatenate([found[:, 1], node[long]]), "n": np.concatenate([times, n[long]]), "pos": np.concatenate([0 * times, pos[long]])})
-
-    entries = docs.mapInArrow(run, "block long, h binary, node binary, n binary, pos binary")
-    return entries.groupBy("block").applyInPandas(shared, "pair boolean, x long, y long, n long, pos long")
-
-
-def _overlaps(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: nodes) whose sets share enough, by adding up overlaps over column blocks."""
-    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"), F.col("doc").alias(f"doc_{x}")) for x in "ab")
-    # |A and B| * (100 + p) >= p * (|A| + |B|)
-    enough = f"{100 + percent} * overlap >= {percent} * (n_a + n_b)"
-    likely = written(pairs.join(a, "a").join(b, "b").where(_may_link(percent)).select("a", "b", "n_a", "n_b", "doc_a", "doc_b"), "likely")
-    asked = likely.select(F.col("doc_a").alias("__ql_doc")).union(likely.select("doc_b")).distinct()
-    some = F.broadcast(asked) if likely.count() * 2 <= MOST_BROADCAST else asked
-    key, text = docs.columns
-    wanted = docs.join(some, F.col(key) == F.col("__ql_doc")).select(key, text)
+            yield packed(held, nodes)
+
+    def counted(rows: pd.DataFrame) -> pd.DataFrame:
+        read = lambda c, t: np.frombuffer(b"".join(rows[c]), dtype=t)
+        h, own = read("h", np.uint32), read("low", np.uint32).astype(np.uint64) | read("high", np.uint16).astype(np.uint64) << np.uint64(32)
+        order = np.argsort(h, kind="stable")
+        h, own = h[order], own[order]
+        begins = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        column = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(h)]))
+        several = (np.minimum.reduceat(own, begins) != np.maximum.reduceat(own, begins))[column] & (own > 0)
+        column, own = column[several], own[several]
+        order = np.lexsort((column, own))  # copies of a set from several packs count once
+        column, own = column[order], own[order]
+        new = np.ones(len(own), dtype=bool)
+        new[1:] = (own[1:] != own[:-1]) | (column[1:] != column[:-1])
+        short, n = np.unique(own[new], return_counts=True)
+        return pd.DataFrame({"short": np.concatenate([short, read("known", np.uint64)]).view(np.int64), "n": np.concatenate([n, read("times", np.int64)])})
+
+    cells = docs.mapInArrow(run, "block long, h binary, low binary, high binary, known binary, times binary")
+    return cells.groupBy("block").applyInPandas(counted, "short long, n long")
+
+
+def _rows(docs: DataFrame, size: int, percent: int, total: int) -> tuple[DataFrame, DataFrame]:
+    """The matrix rows that may link with some other of ``docs``, and the packs they came from.
+
+    A row is node, n, ``alone`` (entries in columns without another row), ``cols`` (its other
+    columns, the least frequent first), ``weight`` (how frequent its first columns are) and ``bits``
+    (which of 1024 ranges of columns it has entries in). Rows with too many entries alone are left out.
+    Packs of sets are written; each asks, once for each of its columns, the column's block how many
+    sets have it, and is answered once.
+    """
+    blocks = max(1, total // BLOCK)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, task = 0, TaskContext.get().partitionId()
+
+        def packed(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+            nonlocal made
+            made += 1
+            sizes = np.array([len(s) for s in held.values()], dtype=np.int64)
+            blobs = np.array(list(held), dtype=np.int64), sizes, np.concatenate(list(held.values()))
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | made], type=pa.int64()), *(pa.array([b.tobytes()], type=pa.binary()) for b in blobs)], ["pack", "nodes", "sizes", "grams"])
+
+        held, n_held = {}, 0
         for _, sets in _in_groups(batches, size):
-            node, block, cols = [], [], []
             for s in sets:
-                if len(s):
-                    cut = np.searchsorted(s >> np.uint64(62), np.arange(COUNT_BLOCKS + 1))
-                    for k in range(COUNT_BLOCKS):
-                        if cut[k + 1] > cut[k]:
-                            node.append(node_of(s))
-                            block.append(k)
-                            cols.append(s[cut[k] : cut[k + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(node, type=pa.int64()), pa.array(block, type=pa.int32()), pa.array(cols, type=pa.list_(pa.int64()))], ["node", "block", "cols"])
-
-    rows = wanted.mapInArrow(run, "node long, block int, cols array<long>")
-    left = likely.select("a", "b", "n_a", "n_b").join(rows.select(F.col("node").alias("a"), "block", F.col("cols").alias("cols_a")), "a")
-    both = left.join(rows.select(F.col("node").alias("b"), "block", F.col("cols").alias("cols_b")), ["b", "block"])
-    # A node found in rows that repeat an id gives equal parts again: one of them counts.
-    part = both.select("a", "b", "n_a", "n_b", "block", F.size(F.array_intersect("cols_a", "cols_b")).alias("part"))
-    part = part.groupBy("a", "b", "n_a", "n_b", "block").agg(F.max("part").alias("part"))
-    return part.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("overlap")).where(enough).select("a", "b")
+                if len(s) and (node := node_of(s)) not in held:
+                    held[node] = s
+                    n_held += len(s)
+            if n_held >= PACK // 2:
+                yield packed(held)
+                held, n_held = {}, 0
+        if held:
+            yield packed(held)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, blob in zip(batch.column(0), batch.column(1), strict=True):
+                h, n = np.unique(np.frombuffer(blob.as_py(), dtype=np.uint64), return_counts=True)
+                block = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+                spans = _cut(block)
+                yield pa.RecordBatch.from_arrays([pa.array([block[a] for a, _ in spans], type=pa.int64()), pa.array([key.as_py()] * len(spans), type=pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in spans], type=pa.binary()) for x in (h, n.astype(np.int32)))], ["block", "pack", "h", "n"])
+
+    def answer(cells: pd.DataFrame) -> pd.DataFrame:
+        h, n = (np.frombuffer(b"".join(cells[c]), dtype=t) for c, t in (("h", np.uint64), ("n", np.int32)))
+        own = np.repeat(np.arange(len(cells)), cells["n"].str.len() // 4)
+        order = np.argsort(h, kind="stable")
+        h, n, own = h[order], n[order], own[order]
+        begins = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        often = np.repeat(np.add.reduceat(n.astype(np.int64), begins), np.diff(np.r_[begins, len(h)]))
+        keep = often > 1
+        h, often, own = h[keep], np.minimum(often[keep], 1 << 30).astype(np.int32), own[keep]
+        order = np.argsort(own, kind="stable")
+        h, often, own = h[order], often[order], own[order]
+        spans = _cut(own)
+        return pd.DataFrame({"pack": [cells["pack"].iloc[own[a]] for a, _ in spans], "h": [h[a:b].tobytes() for a, b in spans], "often": [often[a:b].tobytes() for a, b in spans]})
+
+    def rows_of(packs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        found: dict[str, list] = {k: [] for k in ("node", "n", "alone", "weight", "cols", "bits")}
+        known, often = (np.frombuffer(b"".join(answers[c]), dtype=t) for c, t in (("h", np.uint64), ("often", np.int32)))
+        order = np.argsort(known)
+        known, often = known[order], often[order]
+        for blobs in packs.itertuples():
+            grams, at = np.frombuffer(blobs.grams, dtype=np.uint64), 0
+            place = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
+            df = np.where(known[place] == grams, often[place], 1) if len(known) else np.ones(len(grams), dtype=np.int32)
+            for node, n in zip(np.frombuffer(blobs.nodes, dtype=np.int64), np.frombuffer(blobs.sizes, dtype=np.int64), strict=True):
+                g, d = grams[at : at + n], df[at : at + n]
+                at += n
+                alone = int((d < 2).sum())
+                first = int(n) - -(-percent * int(n) // 100) + 1 - alone
+                if first > 0:
+                    order = np.lexsort((g, d))[alone:]
+                    for k, x in zip(found, (node, n, alone, int(d[order[:first]].sum()), g[order].view(np.int64), _bits(g)), strict=True):
+                        found[k].append(x)
+        return pd.DataFrame(found)
+
+    packs = written(docs.mapInArrow(pack, "pack long, nodes binary, sizes binary, grams binary"), "packs")
+    answers = packs.select("pack", "grams").mapInArrow(ask, "block long, pack long, h binary, n binary").groupBy("block").applyInPandas(answer, "pack long, h binary, often binary")
+    rows = packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInPandas(rows_of, "node long, n long, alone long, weight long, cols array<long>, bits array<long>")
+    return written(rows, "rows"), packs
+
+
+def _overlaps(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: nodes) whose rows share enough columns. Sizes and ranges discard pairs before any row is fetched."""
+    a, b = (rows.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    likely = written(pairs.join(a, "a").join(b, "b").where(_may_link(percent)).select("a", "b", "n_a", "n_b"), "likely")
+    both = likely.join(rows.select(F.col("node").alias("a"), F.col("cols").alias("cols_a")), "a").join(rows.select(F.col("node").alias("b"), F.col("cols").alias("cols_b")), "b")
+    overlap = F.size(F.array_intersect("cols_a", "cols_b"))
+    # |A and B| * (100 + p) >= p * (|A| + |B|)
+    links = written(both.where((100 + percent) * overlap >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "links")
+    released(likely)
+    return links
+
+
+def _labels(rows: DataFrame, percent: int) -> DataFrame:
+    """The components (id, component: nodes) of rows that share enough; rows without links are left out.
+
+    Rows that share enough meet within the first n - s + 1 columns of each, s being what a row of n
+    columns must share at least. Each row is compared with one of the leaders of these columns; then all pairs that meet
+    in one and are still in different components are, in blocks of rows.
+    """
+    first = F.expr(f"n - ({percent} * n + 99) DIV 100 + 1 - alone").cast("int")
+    posts = written(rows.select("node", "n", "weight", "alone", F.posexplode(F.slice("cols", 1, first)).alias("pos", "h")).select("h", "node", "n", "weight", (F.col("pos") + F.col("alone")).alias("pos")), "posts")
+    leaders = written(posts.groupBy("h").agg(F.max(F.struct("weight", "node")).alias("top"), F.count(F.lit(1)).alias("m")).where("m > 1").select("h", F.col("top.node").alias("b")), "leaders")
+    offers = posts.join(leaders, "h").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"))
+    best = offers.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+    tested = written(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    linked = _overlaps(tested, rows, percent)
+    label = written(components(linked), "labels")
+
+    named = written(posts.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component", "weight"), "named")
+    parts = F.ceil(F.count(F.lit(1)) / ROWS).cast("int")
+    mixed = written(named.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), parts.alias("parts")).where("x <> y").select("h", "parts"), "mixed")
+    dealt = named.join(mixed, "h").withColumn("deal", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    side = lambda x: [F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("pos").alias(f"pos_{x}"), F.col("label").alias(f"label_{x}")]
+    a, b = dealt.select("h", F.col("deal").alias("i"), other.alias("j"), *side("a")), dealt.select("h", other.alias("i"), F.col("deal").alias("j"), *side("b"))
+    least = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) DIV {100 + percent}")
+    meet = (F.col("pos_a") <= F.col("n_a") - least) & (F.col("pos_b") <= F.col("n_b") - least)
+    apart = a.join(b, ["h", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & meet).select("a", "b").distinct()
+    more = _overlaps(apart.join(tested, ["a", "b"], "left_anti"), rows, percent)
+    used = [posts, leaders, tested, named, mixed, linked, more]
+    if more.isEmpty():
+        final = label
+    else:
+        final = written(components(linked.unionByName(more)), "labels")
+        used.append(label)
+    released(*used)
+    return final
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,47 +388,32 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col
     or one without words, has an empty set and links with nothing. Every row keeps a result: rows
     that repeat an id are compared like others; a text that only rows without id have links with its
     copies alone, and their component's id is null. Other columns aren't read. Sets and n-grams are
-    compared by 64-bit hashes.
+    compared by 64-bit hashes. An empty table gives no rows.
     """
-    slim = docs.select(id_col, text_col)
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     profile = written(_profile(slim, size), "profile")
-    rows = profile.where("part IS NULL").select("id", "n", "node", "bits")
-    nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("doc"), F.min("n").alias("n"), F.first("bits").alias("bits")), "nodes")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    met = written(_first_entries(slim, size, percent, _counters(profile), total), "met")
-    near = written(met.where("pair").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("n").alias("c")), "near")
-
-    # Long columns: each row with a leader, one that is in most columns.
-    entries = met.where("NOT pair").select(F.col("x").alias("h"), F.col("y").alias("node"), "n", "pos")
-    degree = entries.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    posts = written(entries.join(degree, "node"), "entries")
-    leaders = posts.groupBy("h").agg(F.max(F.struct("degree", F.col("node").alias("b"))).alias("top")).select("h", "top.b", F.col("top.degree").alias("of_b"))
-    shared = posts.join(leaders, "h").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"), F.max("of_b").alias("of_b"))
-    # Each row is first compared with one partner: a leader or else the smallest node, if they meet often; so groups of copies become stars.
-    offers = shared.unionByName(near.withColumn("of_b", F.lit(0).cast("long"))).unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "c", F.lit(0).cast("long").alias("of_b")))
-    best = written(offers.groupBy("a").agg(F.max_by("b", F.struct(F.col("c") >= OFTEN, "of_b", F.bitwise_not("b"))).alias("b")), "pairs")
-    linked = written(_overlaps(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, slim, size, percent), "links")
-
-    # All other pairs that meet, of rows in different components.
-    label = components(linked)
-    of = lambda x: label.select(F.col("id").alias(x), F.col("component").alias(f"label_{x}"))
-    apart = near.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b")
-    named = posts.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("component", "node"))
-    open_ = named.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
-    bits = nodes.select("node", "bits")
-    mixed = written(named.join(open_, "h").select("h", "node", "n", "pos", "label").join(bits, "node"), "mixed")
-    a, b = (mixed.select("h", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("pos").alias(f"pos_{x}"), F.col("label").alias(f"label_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    least = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) DIV {100 + percent}")
-    meet = (F.col("pos_a") <= F.col("n_a") - least) & (F.col("pos_b") <= F.col("n_b") - least)
-    cross = a.join(b, "h").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & meet & _may_link(percent)).select("a", "b").distinct()
-    tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = written(_overlaps(apart.unionByName(cross).distinct().join(tested, ["a", "b"], "left_anti"), nodes, slim, size, percent), "links")
-
-    final = components(linked.unionByName(more)) if more.take(1) else label
+    nodes = written(profile.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("doc"), F.min("n").alias("n"), F.min("half").alias("half")), "nodes")
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+
+    # A row whose entries so far are alone too often can't share ``percent`` of itself with any other.
+    short = F.greatest(F.shiftrightunsigned("node", 16), F.lit(1)).alias("short")
+    shared = _shared_entries(slim, size, total).groupBy("short").agg(F.sum("n").alias("shared"))
+    may = f"coalesce(shared, 0) >= half - n * {100 - percent} DIV 100 AND doc IS NOT NULL"
+    left = written(nodes.withColumn("short", short).join(shared, "short", "left").where(may).select("doc", "n"), "left")
+    size_left = left.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    asked = left.select(F.col("doc").alias("id")).distinct()
+    rows, packs = _rows(slim.join(F.broadcast(asked) if size_left[0] <= MOST_BROADCAST else asked, "id"), size, percent, size_left[1])
+    counted = rows.agg(F.count(F.lit(1)), F.count_distinct("node")).first()
+    if counted[0] != counted[1]:  # rows that repeat an id gave a set to several packs
+        again, rows = rows, written(rows.dropDuplicates(["node"]), "rows")
+        released(again)
+
+    final = _labels(rows, percent)
+    released(left, packs, rows)
     rooted = nodes.select("node", "doc").join(final.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("component", "node"))
-    smallest = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
-    found = rooted.join(smallest, "root").select("node", "component_id")
-    return rows.join(found, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    smallest = written(rooted.where("component IS NOT NULL").groupBy("root").agg(F.min("doc").alias("least")), "smallest")
+    found = rooted.join(smallest, "root", "left").select("node", F.coalesce("least", "doc").alias("component_id"))
+    return profile.join(found, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
