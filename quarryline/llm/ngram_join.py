@@ -36,7 +36,7 @@ HALF = np.uint64(1 << 63)
 #: Ranges of columns of which a bit says whether a row has entries there.
 BIT_BLOCKS = 1024
 #: Entries that are packed together, entries in a block of columns, and rows of a column that are paired in one task.
-PACK, BLOCK, ROWS = 2_000_000, 4_000_000, 512
+PACK, BLOCK, ROWS = 1_000_000, 500_000, 512
 #: Sets up to this number are looked up by a broadcast of their documents' ids; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -278,7 +278,7 @@ def _rows(docs: DataFrame, size: int, percent: int, total: int) -> tuple[DataFra
                 if len(s) and (node := node_of(s)) not in held:
                     held[node] = s
                     n_held += len(s)
-            if n_held >= PACK // 2:
+            if n_held >= PACK:
                 yield packed(held)
                 held, n_held = {}, 0
         if held:
