@@ -9,17 +9,18 @@ Only the histogram and the patterns are on the driver, and the number of classes
 
 from __future__ import annotations
 
+import json
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Recent, written
+from .common import written
 
 #: Length classes; a class is this share of a sequence.
 CLASSES = 256
@@ -27,55 +28,155 @@ CLASSES = 256
 MOST_WORDS = 350_000
 END_ID = 1
 
-_EDGE = re.compile(r" \s|\s ")
-_PLAIN = '.,!?;:|#$%&*"=()'
-_LINE_END = "\n"
-_RUN = re.compile(r'[^\W\d_]+|[.,!?;:|#$%&*"=()]+|\n')
-#: The letter that byte-level vocabularies write for each byte: itself if it is a visible Latin-1 character, else the next one from U+0100 on.
-_VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-BYTE_LETTERS = {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
-_WORD_START = re.compile(r"(?<=\S)(?= \S)")
+_PLAIN = frozenset('.,!?;:|#$%&*"=()')
+#: White space next to white space, but for two line ends before another character; and the mark of glued units.
+_BLANK = r"\t\x0b\f\r \x1c-\x1f\x{85}\p{Z}"
+ODD = rf"[{_BLANK}][\n{_BLANK}]|\n[{_BLANK}]|\n\n\n|\n\n\z|\x01"
+#: A letter before a character that is neither letter, number nor apostrophe: there a token ends.
+_BREAK = r"(\p{L})([^\s\p{L}\p{N}'\x{85}\p{Z}\x1c-\x1f])"
+#: Units that begin their text, that end it, and that have no space before them.
+FIRST, LAST, GLUED = "\r", "\r\n", "\x01"
+#: Longest unit, in bytes, that is merged along with others.
+MOST_BYTES = 48
+
+
+class Merges:
+    """Byte-pair merges of many words at a time: in each round every word makes its best merge, the leftmost of equal ones."""
+
+    def __init__(self, tokenizer):
+        model = json.loads(tokenizer.to_str())["model"]
+        vocab, self.size = model["vocab"], 1 << 20
+        visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        # The letter that byte-level vocabularies write for a byte: itself if visible, else the next one from U+0100 on.
+        hidden = iter(range(0x100, 0x200))
+        self.of_byte = np.array([vocab[chr(b if b in visible else next(hidden))] for b in range(256)], dtype=np.int64)
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], order
+        self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], len(self.made))
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids as little-endian 32-bit numbers; no word is empty."""
+        never, out = len(self.made), [b""] * len(words)
+        length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        symbol = self.of_byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        word, name = np.repeat(np.arange(len(words)), length), np.arange(len(words))
+        rank = np.full(len(symbol), never)
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        rank[inner] = self.rank(symbol[inner], symbol[inner + 1])
+        while len(symbol):
+            start = np.cumsum(length) - length
+            best = np.minimum.reduceat(rank, start)
+            done = best == never
+            if done.any():
+                gone = np.repeat(done, length)
+                blob, at = symbol[gone].astype("<u4").tobytes(), 0
+                for k, n in zip(name[done].tolist(), (4 * length[done]).tolist(), strict=True):
+                    out[k] = blob[at : at + n]
+                    at += n
+                symbol, rank, word, length, name, best = symbol[~gone], rank[~gone], word[~gone], length[~done], name[~done], best[~done]
+                continue
+            at = np.flatnonzero(rank == np.repeat(best, length))
+            at = at[np.r_[True, word[at[1:]] != word[at[:-1]]]]
+            symbol[at] = self.made[best]
+            keep = np.ones(len(symbol), dtype=bool)
+            keep[at + 1] = False
+            place = at - np.arange(len(at))  # where the merged symbols stand after the others are gone
+            symbol, rank, word, length = symbol[keep], rank[keep], word[keep], length - 1
+            for left in (place[place > 0] - 1, place[place < len(symbol) - 1]):
+                left = left[word[left] == word[left + 1]]
+                rank[left] = self.rank(symbol[left], symbol[left + 1])
+            ends = np.cumsum(length) - 1
+            rank[ends] = never
+        return out
 
 
 class WordIds:
-    """Ids of texts as little-endian 32-bit bytes; ``words`` has those of words with a space before them.
-
-    The tokenizer starts a new token at a single space between two other characters, so the ids of
-    a text are those of its words. Pieces of text where blanks meet are never cut apart. Words of
-    letters, plain punctuation and single line ends are cut into the runs that the tokenizer cuts
-    them into, and each run goes to the tokenizer's model; any other word goes to the tokenizer.
+    """Ids of texts as little-endian 32-bit numbers.
+
+    The tokenizer starts a new token at a single space between two other characters, at each of
+    one or two line ends, and where other signs follow a letter. So where blanks don't meet
+    otherwise a text's ids are those of its units: a word with the space before it, a line end, or
+    what has no space before it. A batch is cut into units, and each that is new is merged along
+    with all others. Units of several tokens, texts in which blanks meet and texts with tokens of
+    their own (such as an end of text) go to the tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        self.runs = Recent(self.run, MOST_WORDS)
-        self.words = Recent(self.word, MOST_WORDS)
+        self.merges = Merges(self.tokenizer)
+        self.added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def raw(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def run(self, text: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(text if text.isascii() and text.isalpha() else text.encode().decode("latin-1").translate(BYTE_LETTERS))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def word(self, word: str) -> bytes:
-        runs = _RUN.findall(word)
-        if "".join(runs) == word and runs and "\n\n" not in word and all(r.isalpha() or r in _LINE_END or r[0] in _PLAIN for r in runs):
-            known = self.runs
-            return b"".join([known[" " + runs[0]], *[known[r] for r in runs[1:]]])
-        return self.raw(" " + word)
-
-    def text(self, text: str) -> bytes:
-        if _EDGE.search(text):
-            first, *rest = _WORD_START.split(text)
-            rest = [x[1:] for x in rest]
-        else:
-            first, *rest = text.split(" ")
-        return (self.raw(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))
+    def units(self, units: list[str]) -> list[bytes]:
+        """The ids of different units. Those asked for last are remembered, in two generations."""
+        known, old, new, whole = self.known, self.old, [], []
+        for u in units:
+            if u not in known:
+                if u in old:
+                    known[u] = old[u]
+                else:
+                    new.append(u)
+        for u in new:
+            head = u[0] if u else ""
+            text = u[1:] if head == FIRST or head == GLUED else u if head == "\n" else " " + u
+            word = text[1:] if text[:1] == " " else text
+            if len(word) <= MOST_BYTES and (word.isalpha() and max(word) < "\u0500" or word and _PLAIN.issuperset(word)):
+                whole.append((u, text.encode()))
+            else:
+                known[u] = self.raw(text)
+        if whole:
+            known.update(zip([u for u, _ in whole], self.merges.ids([t for _, t in whole]), strict=True))
+        found = [known[u] for u in units]
+        if len(known) > MOST_WORDS:
+            self.known, self.old = {}, known
+        return found
+
+    def texts(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no nulls), ``end`` after each, and where each text's ids start (and the next would)."""
+        odd = pc.match_substring_regex(texts, ODD)
+        if self.added:
+            odd = pc.or_(odd, pc.match_substring_regex(texts, self.added))
+        odd = odd.to_numpy(zero_copy_only=False)
+        plain = pc.replace_substring(pc.if_else(pa.array(odd), "", texts), "\n", f" \n {GLUED}")
+        marked = pc.binary_join_element_wise(FIRST, pc.replace_substring_regex(plain, _BREAK, rf"\1 {GLUED}\2"), " " + LAST, "")
+        cut = pc.split_pattern(marked, " ")
+        units = cut.flatten().dictionary_encode()
+        names = units.dictionary.to_pylist()
+        values = self.units([u for u in names if u != LAST])
+        values.insert(names.index(LAST), end)
+        values += [self.raw(texts[k].as_py()) + end for k in np.flatnonzero(odd)]
+        at = units.indices.to_numpy().copy()
+        first = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        # An odd text was cut as an empty one, into its begin and its end.
+        begin, empty = first[:-1][odd], names.index(FIRST) if odd.any() else 0
+        at[begin] = np.arange(len(values) - len(begin), len(values))
+        at[begin + 1] = empty
+        length = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+        flat, start = np.frombuffer(b"".join(values), dtype="<u4"), np.cumsum(length) - length
+        n = length[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(start[at] - ends[:-1], n) + np.arange(ends[-1])]
+        return ids, ends[first]
+
+
+def _groups(texts: pa.Array, most: int = 8_000_000) -> list[tuple[int, int]]:
+    """Cuts a batch into spans of texts with about ``most`` bytes; a longer text comes alone."""
+    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = np.flatnonzero(np.diff(size // most)) + 1
+    return [(a, b) for a, b in zip([0, *at], [*at, len(size)], strict=True) if b > a]
 
 
 _loaded: dict[str, WordIds] = {}
@@ -99,20 +200,21 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id
         words = word_ids(tokenizer)
         last = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            names, rows, blobs = batch.column(0).to_pylist(), [], []
-            for key, text in zip(names, batch.column(1), strict=True):
-                ids = words.text(text.as_py() or "") + last
-                total = len(ids) // 4
-                for at in range(0, total, length):
-                    part = ids[4 * at : 4 * (at + length)]
-                    rows.append((key, at, len(part) // 4, zlib.crc32(part), total))
-                    if keep_ids:
-                        blobs.append(np.frombuffer(part, dtype="<u4").astype(np.int32))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            arrays = [pa.array(columns[0], type=batch.schema.field(0).type), *(pa.array(c, type=pa.int64()) for c in columns[1:])]
-            if keep_ids:
-                arrays.append(pa.array(blobs, type=pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(arrays)])
+            texts = pc.fill_null(batch.column(1), "")
+            for a, b in _groups(texts):
+                ids, first = words.texts(texts.slice(a, b - a), last)
+                total = np.diff(first)
+                pieces = -(-total // length)
+                own = np.repeat(np.arange(b - a), pieces)
+                start = (np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * length
+                size = np.minimum(total[own] - start, length)
+                begin = first[own] + start
+                view = memoryview(ids.tobytes())
+                crc = [zlib.crc32(view[4 * x : 4 * (x + n)]) for x, n in zip(begin.tolist(), size.tolist(), strict=True)]
+                arrays = [batch.column(0).take(pa.array(own + a)), *(pa.array(c, type=pa.int64()) for c in (start, size, crc, total[own]))]
+                if keep_ids:
+                    arrays.append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)), type=pa.int32()), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(arrays)])
 
     schema = f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(cut, schema)
@@ -202,7 +304,7 @@ def places(found: list[tuple[np.ndarray, int]]) -> list[tuple[int, int, int, int
     return rows
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = END_ID, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = END_ID, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 5_000) -> DataFrame:
     """Packs all documents into sequences of at most ``length`` tokens.
 
     Returns one row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and

@@ -296,10 +296,31 @@ def test_patterns_cover_the_histogram():
     assert sum(k for _, k in found) <= 1.005 * (histogram * np.arange(1, 257)).sum() / 256 + 1
 
 
-def test_word_ids_of_odd_texts():
-    words = packing.word_ids(vocabulary("byte_bpe_50k.json"))
-    for t in ["", " ", "a  b", " a b ", "\n a", "a \n\n b", "don't  stop", "x\x1cy z", "é ü z  q", "\t\t a\r\n", "a　 b", "x.\ny it's", "٣ ½ a²b", "a\n\nb c\n", "n.\n"]:
-        assert np.frombuffer(words.text(t), dtype="<u4").tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
+def test_word_ids_equal_the_library():
+    """Against an unaltered tokenizer: where blanks meet, tokens of the vocabulary's own stand, or units touch."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    words, library = packing.WordIds(path), Tokenizer.from_file(path)
+    end = "<|endoftext|>"
+    texts = ["", " ", "a  b", " a b ", "\n a", "a \n\n b", "don't  stop", "x\x1cy z", "é ü z  q", "\t\t a\r\n", "\r", "\x01", "a\u3000 b", "x.\ny it's", "٣ ½ a²b", "a\n\nb c\n", "n.\n", "x\u00a0 y.", "w" * 400]
+    texts += [end, f"{end} a", f"a{end}", f"a {end} b.", f"one\n{end}\ntwo", f"{end}{end}", "<|endoftext", "a <|ENDOFTEXT|> b"]
+    r = random.Random(2)
+    signs = [" ", " ", "\n", "a", "Be", "é", ".", "!(", "'s", "'", "1", "²", "中", "🎉", "\t", "\x85", "-", end]
+    texts += ["".join(r.choice(signs[: 11 if k % 2 else None]) for _ in range(r.randint(1, 12))) for k in range(4000)]
+    for _ in range(2):  # the second time from memory
+        ids, first = words.texts(pa.array(texts, type=pa.string()), np.array([1], dtype="<u4").tobytes())
+        for t, x, y in zip(texts, first[:-1], first[1:], strict=True):
+            assert ids[x:y].tolist() == [*library.encode(t, add_special_tokens=False).ids, 1], t
+
+
+def test_spans_of_a_batch():
+    import pyarrow as pa
+
+    texts = pa.array(["a" * n for n in (3, 0, 50, 9, 9, 1, 30)])
+    spans = packing._groups(texts, 20)
+    assert [a for a, _ in spans] + [7] == [0] + [b for _, b in spans] and (2, 3) in spans and packing._groups(texts.slice(0, 0)) == []
 
 
 def test_nothing_else_imports_these():
