@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..sources.shared import released, written
 
 
 def assemble_ordered(parts: DataFrame, group: str, pos: str, text: str, sep: str = "", wrap: str | None = None, head: str = "", foot: str = "") -> DataFrame:
@@ -24,13 +25,17 @@ def assemble_ordered(parts: DataFrame, group: str, pos: str, text: str, sep: str
 
 def lookup_default(df: DataFrame, dim: DataFrame, key: str, value: str, default) -> DataFrame:
     """Left lookup; ``default`` only where the value is null. ``dim`` has one row for each key."""
-    return df.join(dim.select(key, F.col(value).alias("__value")), key, "left").withColumn(value, S.if_null(F.col("__value"), F.lit(default))).drop("__value")
+    return df.join(dim.select(key, F.col(value).alias("__ql_value")), key, "left").withColumn(value, S.if_null(F.col("__ql_value"), F.lit(default))).drop("__ql_value")
 
 
 def lookup_or_fallback(df: DataFrame, dim: DataFrame, key: str, value: str, render: Column, fallback: Column, out: str = "rendered") -> DataFrame:
-    """Left lookup; where the value is null or empty, ``fallback`` of the left row, else ``render`` of the value."""
+    """Left lookup; where the value is null or empty, ``fallback`` of the left row, else ``render`` of the value.
+
+    ``dim`` has one row for each key; a null key finds nothing. A column of ``df`` named like
+    ``value`` isn't the one looked up: it is left out before the lookup.
+    """
     found = F.col(value).isNotNull() & (F.col(value) != "")
-    return df.join(dim.select(key, value), key, "left").withColumn(out, F.when(found, render).otherwise(fallback)).drop(value)
+    return df.drop(value).join(dim.select(key, value), key, "left").withColumn(out, F.when(found, render).otherwise(fallback)).drop(value)
 
 
 def extract_pairs(pages: DataFrame, tag: str, attr: str, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -98,7 +103,7 @@ def nested_pairs(pages: DataFrame, attr: str, id_col: str = "page_id", html_col:
 
 
 def render_rows(df: DataFrame, row: Column, group: str, order: Sequence[str], between: str = "", twice: bool = False) -> DataFrame:
-    """Each group's rows, rendered by ``row`` and joined in order; ``twice`` writes the whole two times over."""
+    """Each group's rows, rendered by ``row`` and joined in order (ties by what is rendered, nulls first); ``twice`` writes the whole two times over. A row rendered as null counts as empty."""
     ordered = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)], F.coalesce(row, F.lit("")).alias("t"))))
     text = F.array_join(F.transform(ordered, lambda x: x["t"]), between)
     return df.groupBy(group).agg((F.repeat(text, 2) if twice else text).alias("html"))
@@ -110,7 +115,7 @@ def pick_locale(df: DataFrame, lang: str, first: Column, english: Column) -> Dat
 
 
 def match_links(pages: DataFrame, links: DataFrame, id_col: str = "page_id", url_col: str = "url", href_col: str = "value") -> DataFrame:
-    """``links`` with the page's normalised path, the link's, and whether they are the same."""
+    """``links`` with the page's normalised path, the link's, and whether they are the same (null if either is). Links of no page go; a page's id that repeats gives its links again."""
     paths = pages.select(id_col, S.normalise_path(F.col(url_col)).alias("page_path"))
     return links.join(paths, id_col).withColumn("link_path", S.normalise_path(F.col(href_col), strip_index=False)).withColumn("current", F.col("link_path") == F.col("page_path"))
 
@@ -123,12 +128,12 @@ def classify_path(path: Column, prefixes: Sequence[str]) -> tuple[Column, Column
 
 def build_sitemap(pages: DataFrame, rules: DataFrame, key: Column, frequency: str = "monthly", priority: float = 0.5, url_col: str = "url") -> DataFrame:
     """A row for each URL: loc, lastmod, changefreq and priority by the rule for its ``key``, else by default. ``rules`` has one row for each key."""
-    r = rules.select(F.col("key").alias("__key"), "changefreq", "priority", "lastmod")
-    return pages.withColumn("__key", key).join(r, "__key", "left").select(F.col(url_col).alias("loc"), "lastmod", F.coalesce("changefreq", F.lit(frequency)).alias("changefreq"), F.coalesce("priority", F.lit(priority)).alias("priority"))
+    r = rules.select(F.col("key").alias("__ql_key"), "changefreq", "priority", "lastmod")
+    return pages.withColumn("__ql_key", key).join(r, "__ql_key", "left").select(F.col(url_col).alias("loc"), "lastmod", F.coalesce("changefreq", F.lit(frequency)).alias("changefreq"), F.coalesce("priority", F.lit(priority)).alias("priority"))
 
 
 def page_metadata(pages: DataFrame, template: str, defaults: Mapping[str, str], html_col: str = "html") -> DataFrame:
-    """Adds title (the page's own through ``template``, with %s, else the default), description and page language, each by fallback."""
+    """Adds title (the page's own through ``template``, with %s, else the default), description and page language, each by fallback, so for null html too. Input columns of these names are replaced."""
     own = F.regexp_extract(html_col, "<title>([^<]*)</title>", 1)
     found = lambda p: F.regexp_extract(html_col, p, 1)
     return (
@@ -144,19 +149,19 @@ def to_record(df: DataFrame, kind: str, fields: Mapping[str, Column], out: str =
 
 
 def differences(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
-    """Keys whose values differ, or that one side lacks: key, status (changed, left_only, right_only)."""
-    a, b = left.select(key, F.col(value).alias("__a"), F.lit(True).alias("__in_a")), right.select(key, F.col(value).alias("__b"), F.lit(True).alias("__in_b"))
-    both = a.join(b, key, "full_outer").where(F.col("__in_a").isNull() | F.col("__in_b").isNull() | ~F.col("__a").eqNullSafe(F.col("__b")))
-    return both.select(key, F.when(F.col("__in_b").isNull(), "left_only").when(F.col("__in_a").isNull(), "right_only").otherwise("changed").alias("status"))
+    """Keys whose values differ, or that one side lacks: key, status (changed, left_only, right_only). Two nulls are equal. Keys are unique on each side; null keys match nothing, so each is on one side alone."""
+    a, b = left.select(key, F.col(value).alias("__ql_a"), F.lit(True).alias("__ql_in_a")), right.select(key, F.col(value).alias("__ql_b"), F.lit(True).alias("__ql_in_b"))
+    both = a.join(b, key, "full_outer").where(F.col("__ql_in_a").isNull() | F.col("__ql_in_b").isNull() | ~F.col("__ql_a").eqNullSafe(F.col("__ql_b")))
+    return both.select(key, F.when(F.col("__ql_in_b").isNull(), "left_only").when(F.col("__ql_in_a").isNull(), "right_only").otherwise("changed").alias("status"))
 
 
 def unplaced(parts: DataFrame, placements: DataFrame, key: str) -> DataFrame:
-    """Parts that no placement names."""
+    """Parts that no placement names; a part with a null key is never named."""
     return parts.join(placements.select(key).distinct(), key, "left_anti")
 
 
 def missing_targets(links: DataFrame, targets: DataFrame, path: str) -> DataFrame:
-    """Links whose path is no target's."""
+    """Links whose path is no target's; a null path never is."""
     return links.join(targets.select(path).distinct(), path, "left_anti")
 
 
@@ -168,15 +173,25 @@ def price_with_tax(df: DataFrame, text: str, rate: float = 0.15) -> DataFrame:
     return df.withColumn("net", net).withColumn("tax", tax).withColumn("gross", (net + tax).cast("decimal(13,2)")).withColumn("monthly", F.regexp_like(F.col(text), F.lit("/ *(شهري|month)")))
 
 
-def expand_tiers(own: DataFrame, includes: DataFrame, excluded: DataFrame, depth: int = 3) -> DataFrame:
-    """Features of each tier, its own and those of tiers it includes, ``depth`` steps deep; those a tier excludes are left out.
+def expand_tiers(own: DataFrame, includes: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Features of each tier, its own and those of all tiers it includes, directly or through others; those the tier itself excludes are left out.
 
-    ``own`` (tier, feature), ``includes`` (tier, part), ``excluded`` (tier, feature).
+    ``own`` (tier, feature), ``includes`` (tier, part), ``excluded`` (tier, feature). Inclusion is
+    followed until nothing new is reached, in a number of rounds logarithmic in the longest chain;
+    cycles are harmless. Rows with a null name nothing, repeated rows count once, and empty tables
+    give what is left.
     """
-    reach = includes.select("tier", "part").distinct()
-    step = reach
-    for _ in range(depth - 1):
-        step = step.join(includes.select(F.col("tier").alias("part"), F.col("part").alias("next")), "part").select("tier", F.col("next").alias("part")).distinct()
-        reach = reach.unionByName(step)
-    below = reach.distinct().join(own.select(F.col("tier").alias("part"), "feature"), "part").select("tier", "feature")
-    return own.select("tier", "feature").unionByName(below).distinct().join(excluded, ["tier", "feature"], "left_anti")
+    known = lambda df, *names: df.select(*names).dropna().distinct()
+    reach = written(known(includes, "tier", "part"), "reach")
+    n = reach.count()
+    while n:
+        further = reach.join(reach.select(F.col("tier").alias("part"), F.col("part").alias("next")), "part").select("tier", F.col("next").alias("part"))
+        before, reach = reach, written(reach.unionByName(further).distinct(), "reach")
+        released(before)
+        more = reach.count()
+        if more == n:
+            break
+        n = more
+    features = known(own, "tier", "feature")
+    below = reach.join(features.select(F.col("tier").alias("part"), "feature"), "part").select("tier", "feature")
+    return features.unionByName(below).distinct().join(known(excluded, "tier", "feature"), ["tier", "feature"], "left_anti")

@@ -34,11 +34,11 @@ def exclusive_toggle(events: DataFrame, key: str, item: str, initial: str | None
     w = _ordered(key, ts, id_col)
     acts = events.where(F.col(item).isNotNull())
     before = F.lag(item).over(w)
-    runs = acts.withColumn("__run", F.sum(F.when(before.isNull() | (before == F.col(item)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.row_number().over(Window.partitionBy(key, "__run").orderBy(ts, id_col))
+    runs = acts.withColumn("__ql_run", F.sum(F.when(before.isNull() | (before == F.col(item)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.row_number().over(Window.partitionBy(key, "__ql_run").orderBy(ts, id_col))
     if initial is not None:
-        place = place + F.when((F.col("__run") == 0) & (F.col(item) == initial), 1).otherwise(0)
-    return runs.withColumn("open_item", F.when(place % 2 == 1, F.col(item))).drop("__run")
+        place = place + F.when((F.col("__ql_run") == 0) & (F.col(item) == initial), 1).otherwise(0)
+    return runs.withColumn("open_item", F.when(place % 2 == 1, F.col(item))).drop("__ql_run")
 
 
 def first_per_session(events: DataFrame, key: str, gap: str = "30 minutes", ts: str = "ts", id_col: str = "event_id") -> DataFrame:
@@ -59,8 +59,8 @@ def threshold_cross(events: DataFrame, key: str, value: str, cut: float, ts: str
 
 
 def ring_nav(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
-    """Adds ``next`` and ``previous`` in a ring, and the label ``place / count`` with two digits."""
-    w = Window.partitionBy(group).orderBy(order)
+    """Adds ``next`` and ``previous`` in a ring, and the label ``place / count`` with two digits. Rows without ``order`` come first; ties go by name. A lone row is its own neighbour."""
+    w = Window.partitionBy(group).orderBy(order, name)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
         df.withColumn("next", F.coalesce(F.lead(name).over(w), F.first(name).over(whole)))
@@ -70,21 +70,33 @@ def ring_nav(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
 
 
 def rotation_slot(events: DataFrame, n: int, period_ms: int = 6500, ts: str = "ts") -> DataFrame:
-    """Adds ``slot``: which of ``n`` items shows at the event, when they change every ``period_ms`` from the epoch on."""
+    """Adds ``slot``: which of ``n`` items shows at the event, when they change every ``period_ms`` from the epoch on; null without time. Each row is taken by itself, so a stream works as well."""
     ms = F.unix_millis(F.col(ts).cast("timestamp"))
     return events.withColumn("slot", F.pmod(F.floor(ms / period_ms), F.lit(n)))
 
 
-def ema(events: DataFrame, key: str, value: str, alpha: float = 0.2, init: float | None = None, ts: str = "ts", id_col: str = "event_id") -> DataFrame:
-    """The smoothed value of each key after its last event: r += (x - r) * alpha, from ``init`` or the first value. Null values are left out."""
-    ordered = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(id_col).alias("i"), F.col(value).alias("x")))))
-    start = F.lit(init).cast("double") if init is not None else F.get("__s", F.lit(0))["x"]
-    folded = F.aggregate("__s", start, lambda r, e: r + (e["x"] - r) * alpha)
-    return events.groupBy(key).agg(ordered.alias("__s")).select(key, folded.alias("ema"), F.size("__s").cast("long").alias("n"))
+def ema(events: DataFrame, key: str, value: str, alpha: float = 0.2, init: float | None = None, ts: str = "ts", id_col: str = "event_id", bucket: str = "day") -> DataFrame:
+    """The smoothed value of each key after its last event, ``ema``, and ``n`` values: r += (x - r) * alpha, from ``init`` or the first value.
+
+    A value that k others follow weighs alpha * (1 - alpha)^k. Values are weighed within each key and
+    ``bucket`` of time, and each bucket then by the number of values after it, so a key with very
+    many events is spread over tasks. Null values are left out; rows without time come first; a key
+    without values has ``init``, else null. An empty table gives no rows.
+    """
+    x, order = F.col(value).cast("double"), F.struct(ts, id_col)
+    after = Window.partitionBy(key, "__ql_bucket").orderBy(F.desc(ts), F.desc(id_col)).rowsBetween(Window.unboundedPreceding, -1)
+    faded = lambda n: F.pow(F.lit(1.0 - alpha), n)
+    ranked = events.withColumn("__ql_bucket", F.date_trunc(bucket, F.col(ts))).withColumn("__ql_after", F.coalesce(F.count(value).over(after), F.lit(0)))
+    parts = ranked.groupBy(key, "__ql_bucket").agg(F.count(value).alias("__ql_n"), F.sum(x * alpha * faded(F.col("__ql_after"))).alias("__ql_sum"), F.min(F.when(x.isNotNull(), F.struct(order.alias("o"), x.alias("x")))).alias("__ql_first"))
+    later = Window.partitionBy(key).orderBy(F.desc("__ql_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    weighed = parts.withColumn("__ql_sum", F.col("__ql_sum") * faded(F.coalesce(F.sum("__ql_n").over(later), F.lit(0))))
+    whole = weighed.groupBy(key).agg(F.sum("__ql_n").alias("n"), F.sum("__ql_sum").alias("__ql_sum"), F.min("__ql_first").alias("__ql_first"))
+    start = F.lit(init).cast("double") if init is not None else F.col("__ql_first.x")
+    return whole.select(key, (F.coalesce("__ql_sum", F.lit(0.0)) + start * faded(F.col("n"))).alias("ema"), "n")
 
 
 def ramp(value: Column, height: Column) -> tuple[Column, Column, Column]:
-    """Percent of ``height`` (0 unless it is positive), and a ramp of two segments over the same share, from 0 to 1."""
+    """Percent of ``height`` (0 unless it is positive), and a ramp of two segments over the same share, from 0 to 1. A null value gives nulls if the height is positive, else 0."""
     share = F.when(height > 0, value / height).otherwise(0.0)
     early = S.clamp(share / 0.62)
     return share * 100, early, S.clamp((early - 0.22) / 0.5)
@@ -102,3 +114,11 @@ def proximity_pairs(points: DataFrame, id_col: str, x: str, y: str, d_max: float
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
     close = p.join(q, ["cx", "cy"]).where("a < b").withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") < d_max)
     return close.select("a", "b", "distance", (w * (1 - F.col("distance") / d_max)).alias("weight"))
+
+
+def near_point(points: DataFrame, id_col: str, x: str, y: str, at: tuple[float, float], d_max: float, w: float = 0.28) -> DataFrame:
+    """Points closer than ``d_max`` to the point ``at``, their distance and weight w * (1 - d / d_max). Points with a null coordinate are never near. The bounds on each coordinate reach the scan."""
+    dx, dy = F.col(x) - at[0], F.col(y) - at[1]
+    box = F.col(x).between(at[0] - d_max, at[0] + d_max) & F.col(y).between(at[1] - d_max, at[1] + d_max)
+    close = points.where(box).withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") < d_max)
+    return close.select(id_col, "distance", (w * (1 - F.col("distance") / d_max)).alias("weight"))

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import corpus, leads, manifest, sequence
-from ..sources.tables import files, table
+from ..sources.tables import table
 from ..streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 ASSET_PREFIXES = ("_next/", "assets/", "brand/", "clients/", "media/", "projects/", "tours/", "bim/")
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 # SQL for what several queries share.
 _PATH = "regexp_extract({u}, '^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)', 1)"
@@ -211,6 +209,12 @@ _S2 = "CASE WHEN sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PAR
 _S3 = """WITH r AS (SELECT *, sum(CASE WHEN p IS NULL OR p = event_type THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run
   FROM (SELECT user_id, event_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events WHERE event_type IS NOT NULL))
 SELECT event_id, user_id, CASE WHEN row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) % 2 = 1 THEN event_type END AS open_item FROM r"""
+_S4 = """WITH s AS (SELECT event_id, user_id, ts, sum(CASE WHEN ts >= p + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session
+  FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events))
+SELECT event_id, user_id, session::BIGINT AS session, CASE WHEN row_number() OVER (PARTITION BY user_id, session ORDER BY ts, event_id) = 1 THEN 'full' ELSE 'instant' END AS mode FROM s"""
+_S5 = """WITH f AS (SELECT event_id, user_id, ts, coalesce(value > 30, false) AS above FROM events),
+c AS (SELECT *, above AND NOT coalesce(lag(above) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS crossing FROM f)
+SELECT event_id, above, crossing, crossing AND sum(crossing::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 AS first_crossing FROM c"""
 
 
 @query(_S1)
@@ -228,16 +232,12 @@ def s3_exclusive_toggle(spark, d):
     return sequence.exclusive_toggle(table(spark, d, "events"), "user_id", "event_type").select("event_id", "user_id", "open_item")
 
 
-@query("""WITH s AS (SELECT event_id, user_id, ts, sum(CASE WHEN ts >= p + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session
-  FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events))
-SELECT event_id, user_id, session::BIGINT AS session, CASE WHEN row_number() OVER (PARTITION BY user_id, session ORDER BY ts, event_id) = 1 THEN 'full' ELSE 'instant' END AS mode FROM s""")
+@query(_S4)
 def s4_first_per_session(spark, d):
     return sequence.first_per_session(table(spark, d, "events"), "user_id").select("event_id", "user_id", "session", "mode")
 
 
-@query("""WITH f AS (SELECT event_id, user_id, ts, coalesce(value > 30, false) AS above FROM events),
-c AS (SELECT *, above AND NOT coalesce(lag(above) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS crossing FROM f)
-SELECT event_id, above, crossing, crossing AND sum(crossing::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 AS first_crossing FROM c""")
+@query(_S5)
 def s5_threshold_cross(spark, d):
     return sequence.threshold_cross(table(spark, d, "events"), "user_id", "value", 30.0).select("event_id", "above", "crossing", "first_crossing")
 
@@ -254,7 +254,7 @@ def s7_rotation_slot(spark, d):
     return sequence.rotation_slot(table(spark, d, "events"), 4).select("event_id", "slot")
 
 
-@query("SELECT user_id, round(list_reduce(list(value ORDER BY ts, event_id), lambda r, x: r + (x - r) * 0.2), 6) AS ema, count(value)::BIGINT AS n FROM events GROUP BY user_id")
+@query("SELECT user_id, round(list_reduce(list(value ORDER BY ts, event_id) FILTER (WHERE value IS NOT NULL), lambda r, x: r + (x - r) * 0.2), 6) AS ema, count(value)::BIGINT AS n FROM events GROUP BY user_id")
 def s8_ema(spark, d):
     return sequence.ema(table(spark, d, "events"), "user_id", "value").select("user_id", F.round("ema", 6).alias("ema"), "n")
 
@@ -264,23 +264,38 @@ FROM (SELECT *, greatest(0.0, least(1.0, s / 0.62)) AS e FROM (SELECT l_orderkey
 FROM (SELECT *, max(l_extendedprice) OVER (PARTITION BY l_orderkey) AS m FROM lineitem)))""")
 def s9_ramp(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    most = lines.groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("m"))
+    most = F.max("l_extendedprice").over(Window.partitionBy("l_orderkey"))
     percent, early, late = sequence.ramp(F.col("l_extendedprice"), F.col("m"))
-    return lines.join(most, "l_orderkey").select("l_orderkey", "l_linenumber", F.round(percent, 6).alias("percent"), F.round(early, 6).alias("early"), F.round(late, 6).alias("late"))
+    return lines.withColumn("m", most).select("l_orderkey", "l_linenumber", F.round(percent, 6).alias("percent"), F.round(early, 6).alias("early"), F.round(late, 6).alias("late"))
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 9) AS distance, round(0.15 * (1 - sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 0.005), 9) AS weight
+@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 9) AS distance, round(0.15 * (1 - sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 0.02), 9) AS weight
 FROM (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings) a JOIN (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings) b
-ON a.vec_id < b.vec_id AND abs(a.x - b.x) < 0.005 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 0.005""")
+ON a.vec_id < b.vec_id AND abs(a.x - b.x) < 0.02 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 0.02""")
 def s10_proximity_pairs(spark, d):
-    points = table(spark, d, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
-    return sequence.proximity_pairs(points, "vec_id", "x", "y", 0.005).select("a", "b", F.round("distance", 9).alias("distance"), F.round("weight", 9).alias("weight"))
+    pairs = sequence.proximity_pairs(_points(spark, d), "vec_id", "x", "y", 0.02)
+    return pairs.select("a", "b", F.round("distance", 9).alias("distance"), F.round("weight", 9).alias("weight"))
+
+
+def _points(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+
 
+@query("""SELECT vec_id, round(d, 9) AS distance, round(0.28 * (1 - d / 0.1), 9) AS weight FROM (SELECT vec_id, sqrt((x - 0.05) * (x - 0.05) + (y + 0.02) * (y + 0.02)) AS d
+FROM (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)) WHERE d < 0.1""")
+def s10_near_point(spark, d):
+    return sequence.near_point(_points(spark, d), "vec_id", "x", "y", (0.05, -0.02), 0.1).select("vec_id", F.round("distance", 9).alias("distance"), F.round("weight", 9).alias("weight"))
 
-@query()
+
+@query(f"""WITH f AS (SELECT {_page_path('url')} AS name, count(*) AS n_files, sum(octet_length(encode(html))) AS bytes FROM pages GROUP BY 1),
+w AS (SELECT {_page_path('url')} AS name FROM pages UNION SELECT {_link_path('value')} FROM ({_HREFS}))
+SELECT name, coalesce(n_files, 0)::BIGINT AS n_files, CASE WHEN bytes IS NULL THEN '' ELSE floor(bytes / 1024 + 0.5)::BIGINT || ' KB' END AS size,
+CASE WHEN bytes IS NULL THEN 'missing' ELSE 'ok' END AS status FROM w LEFT JOIN f USING (name)""")
 def m1_audit_manifest(spark, d):
-    wanted = spark.createDataFrame([(t,) for t in (*TABLES, "absent")], "name string")
-    return manifest.audit_manifest(wanted, files(spark, d), "name", F.regexp_extract("path", r"/([^/]+)\.parquet(?:/[^/]*)?$", 1))
+    pages = table(spark, d, "pages").select(S.normalise_path(F.col("url")).alias("path"), F.octet_length("html").alias("length"))
+    wanted = pages.select(F.col("path").alias("name")).union(_links(spark, d).select(S.normalise_path(F.col("value"), strip_index=False))).distinct()
+    audited = manifest.audit_manifest(wanted, pages, "name", F.col("path"))
+    return audited.select("name", "n_files", S.if_null(S.with_suffix(F.col("kb"), F.lit(" KB")), F.lit("")).alias("size"), "status")
 
 
 @query("""SELECT p_partkey, p_type, r.pos::INTEGER AS request_pos FROM part JOIN (SELECT unnest(['SMALL', 'ECONOMY', 'SMALL', 'NO SUCH']) AS k, unnest([0, 1, 2, 3]) AS pos) r ON split_part(p_type, ' ', 1) = r.k""")
@@ -289,35 +304,40 @@ def m2_select_jobs(spark, d):
     return manifest.select_jobs(parts, "kind", ["SMALL", "ECONOMY", "SMALL", "NO SUCH"]).select("p_partkey", "p_type", "request_pos")
 
 
-def _folder(spark: SparkSession) -> str:
-    """Where streams keep results and checkpoints: the shared folder; a temporary one only where the session names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/')}/streams" if named else "file://" + tempfile.mkdtemp(prefix="spark-streams-")
-
-
 @query(_S1)
 def s1_latest_stream(spark, d):
     latest = sequence.latest_preference(state.file_stream(spark, d, "events"), "user_id", "event_type", ["click", "view"], "none")
-    return state.drained(latest, _folder(spark), "complete")
+    return state.drained(latest, "complete")
 
 
 @query(f"SELECT event_id, user_id, {_S2} FROM events")
 def s2_toggle_stream(spark, d):
-    return state.drained(state.toggle_stream(state.file_stream(spark, d, "events"), "user_id", "event_type", "click", "dark", "light"), _folder(spark)).select("event_id", "user_id", "state")
+    return state.drained(state.toggle_stream(state.file_stream(spark, d, "events"), "user_id", "event_type", "click", "dark", "light")).select("event_id", "user_id", "state")
 
 
 @query(_S3)
 def s3_exclusive_stream(spark, d):
-    return state.drained(state.exclusive_stream(state.file_stream(spark, d, "events"), "user_id", "event_type"), _folder(spark)).select("event_id", "user_id", "open_item")
+    return state.drained(state.exclusive_stream(state.file_stream(spark, d, "events"), "user_id", "event_type")).select("event_id", "user_id", "open_item")
 
 
-@query("SELECT DISTINCT user_id FROM events")
+@query(_S4)
 def s4_first_stream(spark, d):
-    return state.drained(state.first_stream(state.file_stream(spark, d, "events").select("user_id", "ts"), "user_id", delay="365 days"), _folder(spark)).select("user_id")
+    return state.drained(state.session_stream(state.file_stream(spark, d, "events"), "user_id")).select("event_id", "user_id", "session", "mode")
+
+
+@query("SELECT user_id, count(*)::BIGINT AS n FROM (SELECT DISTINCT user_id FROM events) GROUP BY user_id")
+def s4_once_stream(spark, d):
+    once = state.first_stream(state.file_stream(spark, d, "events").select("user_id", "ts", "event_id"), "user_id", delay="365 days")
+    return state.drained(once).join(table(spark, d, "events").select("event_id", "user_id"), ["event_id", "user_id"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_S5)
+def s5_cross_stream(spark, d):
+    return state.drained(state.cross_stream(state.file_stream(spark, d, "events"), "user_id", "value", 30.0)).select("event_id", "above", "crossing", "first_crossing")
 
 
 @query("SELECT user_id, round(list_reduce(list(value ORDER BY ts, event_id), lambda r, x: r + (x - r) * 0.2), 6) AS ema FROM events GROUP BY user_id")
 def s8_ema_stream(spark, d):
-    steps = state.drained(state.ema_stream(state.file_stream(spark, d, "events"), "user_id", "value"), _folder(spark))
+    steps = state.drained(state.ema_stream(state.file_stream(spark, d, "events"), "user_id", "value"))
     order = table(spark, d, "events").select("event_id", "ts")
     return steps.join(order, "event_id").groupBy("user_id").agg(F.round(F.max_by("ema", F.struct("ts", "event_id")), 6).alias("ema"))

@@ -1,7 +1,12 @@
 """Streaming forms of the jobs that keep state.
 
-Rows of a micro-batch are taken in order of time, then id. A row that is older than the last one
-its key has applied comes too late and is dropped; within order, results are those of the batch jobs.
+Rows of a micro-batch are taken in order of time, then id; a row without time comes before all
+others, as in the batch jobs. A row older than the last one its key has applied comes too late: it
+is returned with ``late`` true and no result, and changes nothing. Within order, results are those of
+the batch jobs. Rows without key are left out. With ``expire``, a key's state is forgotten once
+event time has moved on by so much; rows later than that are dropped by the watermark.
+
+A key's rows of one micro-batch are in one task's memory, so ``files_per_trigger`` bounds them.
 """
 
 from __future__ import annotations
@@ -14,81 +19,129 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.shared import delete, shared_folder
+
+_NO_TIME = -(1 << 63)
+
 
-def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table's file, or files, as a stream; times become instants in UTC."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A table as a stream, be it one file or a folder of files; its ``ts`` becomes an instant in UTC."""
+    path = f"{folder}/{name}.parquet"
+    table = spark.read.parquet(path)
+    reader = spark.readStream.schema(table.schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if any(f.rstrip("/").endswith(f"/{name}.parquet") for f in table.inputFiles()[:1]):
+        stream = reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    else:
+        stream = reader.parquet(path)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _keyed(events: DataFrame, key: str, ts: str, id_col: str, value: str, out: str, state: str, start: tuple, step: Callable) -> DataFrame:
-    """Applies ``step(state, value) -> (state, result)`` to each key's rows in order; result rows are key, id and ``out``."""
+def _keyed(events: DataFrame, key: str, ts: str, id_col: str, value: str, result: str, state: str, start: tuple, step: Callable, expire: str | None) -> DataFrame:
+    """Applies ``step(state, value, time) -> (state, result)`` to each key's rows in order; result rows are key, id, the columns of ``result`` and ``late``. Times are microseconds, or None."""
+    names = [c.strip().split(" ")[0] for c in result.split(",")]
+    columns = ["__ql_key", "__ql_id", *names, "late"]
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        if kept.hasTimedOut:
+            kept.remove()
+            return
         last_ts, last_id, *now = kept.get if kept.exists else (None, None, *start)
-        rows = pd.concat(list(frames)).sort_values(["ts", "id"])
-        out_rows = []
-        for t, i, v in zip(rows["ts"].astype("int64"), rows["id"], rows["value"], strict=True):
+        rows = pd.concat(list(frames))
+        rows["__ql_at"] = [_NO_TIME if pd.isna(t) else t.value // 1000 for t in rows["__ql_ts"]]
+        out = []
+        for t, i, v in rows.sort_values(["__ql_at", "__ql_id"])[["__ql_at", "__ql_id", "__ql_value"]].itertuples(index=False, name=None):
             if last_ts is not None and (t, i) <= (last_ts, last_id):
+                out.append((group[0], i, *[None] * len(names), True))
                 continue
-            last_ts, last_id = int(t), int(i)
-            now, result = step(now, None if pd.isna(v) else v)
-            out_rows.append((group[0], i, result))
+            last_ts, last_id = int(t), i
+            now, found = step(now, None if pd.isna(v) else v, None if t == _NO_TIME else t)
+            out.append((group[0], i, *found, False))
         kept.update((last_ts, last_id, *now))
-        yield pd.DataFrame(out_rows, columns=["key", "id", "result"])
+        if expire and last_ts is not None and last_ts > 0:
+            kept.setTimeoutTimestamp(max(last_ts // 1000 + int(pd.Timedelta(expire).total_seconds() * 1000), kept.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=columns)
 
     kinds = dict(events.dtypes)
-    slim = events.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(id_col).alias("id"), F.col(value).alias("value"))
-    result = "double" if out == "ema" else "string"
-    made = slim.groupBy("key").applyInPandasWithState(run, f"key {kinds[key]}, id {kinds[id_col]}, result {result}", f"last_ts long, last_id long, {state}", "append", GroupStateTimeout.NoTimeout)
-    return made.select(F.col("key").alias(key), F.col("id").alias(id_col), F.col("result").alias(out))
+    dated = events.withWatermark(ts, expire) if expire else events
+    slim = dated.where(F.col(key).isNotNull()).select(F.col(key).alias("__ql_key"), F.col(ts).alias("__ql_ts"), F.col(id_col).alias("__ql_id"), F.col(value).alias("__ql_value"))
+    timeout = GroupStateTimeout.EventTimeTimeout if expire else GroupStateTimeout.NoTimeout
+    made = slim.groupBy("__ql_key").applyInPandasWithState(run, f"__ql_key {kinds[key]}, __ql_id {kinds[id_col]}, {result}, late boolean", f"last_ts long, last_id {kinds[id_col]}, {state}", "append", timeout)
+    return made.select(F.col("__ql_key").alias(key), F.col("__ql_id").alias(id_col), *names, "late")
 
 
-def toggle_stream(events: DataFrame, key: str, action: str, on: str, first: str, second: str, ts: str = "ts", id_col: str = "event_id") -> DataFrame:
+def toggle_stream(events: DataFrame, key: str, action: str, on: str, first: str, second: str, ts: str = "ts", id_col: str = "event_id", expire: str | None = None) -> DataFrame:
     """``state`` after each event; it flips where column ``action`` is ``on``."""
 
-    def step(now, value):
+    def step(now, value, _):
         flips = (now[0] + (value == on)) % 2
-        return (flips,), (second if flips else first)
+        return (flips,), (second if flips else first,)
 
-    return _keyed(events, key, ts, id_col, action, "state", "flips int", (0,), step)
+    return _keyed(events, key, ts, id_col, action, "state string", "flips int", (0,), step, expire)
 
 
-def exclusive_stream(events: DataFrame, key: str, item: str, initial: str | None = None, ts: str = "ts", id_col: str = "event_id") -> DataFrame:
+def exclusive_stream(events: DataFrame, key: str, item: str, initial: str | None = None, ts: str = "ts", id_col: str = "event_id", expire: str | None = None) -> DataFrame:
     """``open_item`` after each event that has an item."""
 
-    def step(now, value):
+    def step(now, value, _):
         item_now = None if now[0] == value else value
-        return (item_now,), item_now
+        return (item_now,), (item_now,)
+
+    return _keyed(events.where(F.col(item).isNotNull()), key, ts, id_col, item, "open_item string", "open_item string", (initial,), step, expire)
+
+
+def session_stream(events: DataFrame, key: str, gap: str = "30 minutes", ts: str = "ts", id_col: str = "event_id", expire: str | None = None) -> DataFrame:
+    """``session`` and ``mode`` of each event: full for a session's first one, instant for later ones."""
+    pause = int(pd.Timedelta(gap).total_seconds() * 1_000_000)
+
+    def step(now, _, time):
+        session, before = now
+        new = session < 0 or before is not None and time is not None and time >= before + pause
+        if new:
+            session += 1
+        return (session, time), (session, "full" if new else "instant")
+
+    return _keyed(events, key, ts, id_col, id_col, "session long, mode string", "session long, before long", (-1, None), step, expire)
+
+
+def cross_stream(events: DataFrame, key: str, value: str, cut: float, ts: str = "ts", id_col: str = "event_id", expire: str | None = None) -> DataFrame:
+    """``above`` (strictly), ``crossing`` (above now and not before) and ``first_crossing`` of each event; a null value is not above."""
+
+    def step(now, x, _):
+        before, crossed = now
+        above = x is not None and bool(x > cut)
+        crossing = above and not before
+        return (above, crossed or crossing), (above, crossing, crossing and not crossed)
 
-    return _keyed(events.where(F.col(item).isNotNull()), key, ts, id_col, item, "open_item", "open_item string", (initial,), step)
+    return _keyed(events, key, ts, id_col, value, "above boolean, crossing boolean, first_crossing boolean", "before boolean, crossed boolean", (False, False), step, expire)
 
 
-def ema_stream(events: DataFrame, key: str, value: str, alpha: float = 0.2, init: float | None = None, ts: str = "ts", id_col: str = "event_id") -> DataFrame:
+def ema_stream(events: DataFrame, key: str, value: str, alpha: float = 0.2, init: float | None = None, ts: str = "ts", id_col: str = "event_id", expire: str | None = None) -> DataFrame:
     """``ema`` after each event with a value."""
 
-    def step(now, x):
+    def step(now, x, _):
         r = now[0]
         r = float(x) if r is None else r + (x - r) * alpha
-        return (r,), r
+        return (r,), (r,)
 
-    return _keyed(events.where(F.col(value).isNotNull()), key, ts, id_col, value, "ema", "r double", (init,), step)
+    return _keyed(events.where(F.col(value).isNotNull()), key, ts, id_col, value, "ema double", "r double", (init,), step, expire)
 
 
 def first_stream(events: DataFrame, key: str, ts: str = "ts", delay: str = "30 minutes") -> DataFrame:
-    """The first event of each key within the watermark: the once-only gate."""
+    """One event of each key within the watermark, the first to arrive, with all its columns: the once-only gate. Its state goes as the watermark moves on."""
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Runs ``stream`` over all that is there and gives what it wrote; results and checkpoint are in ``folder``, which all machines share."""
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs ``stream`` over all that is there and gives what it wrote, in the folder that all machines share. The checkpoint is deleted at the end."""
     spark = stream.sparkSession
-    place = f"{folder}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     writer = stream.writeStream.option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{place}/out").start()
     else:
         query = writer.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{place}/out")).start()
     query.awaitTermination()
+    delete(spark, f"{place}/state")
     return spark.read.schema(stream.schema).parquet(f"{place}/out")

@@ -112,9 +112,9 @@ def test_streams_match_models(spark, tmp_path):
     frame(spark, rows[cut:]).coalesce(1).write.parquet(f"{place}/in/b")
     toggled, opened, smooth = model(rows)
     stream = lambda: spark.readStream.schema(frame(spark, []).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("latestFirst", "false").parquet(f"{place}/in")
-    got = state.drained(state.toggle_stream(stream(), "k", "item", "a", "off", "on"), place).collect()
+    got = state.drained(state.toggle_stream(stream(), "k", "item", "a", "off", "on")).collect()
     assert {r.event_id: r.state for r in got} == toggled
-    got = state.drained(state.exclusive_stream(stream(), "k", "item"), place).collect()
+    got = state.drained(state.exclusive_stream(stream(), "k", "item")).collect()
     assert {r.event_id: r.open_item for r in got} == opened
 
 

@@ -33,9 +33,3 @@ def test_query_matches_sql(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-
-
-def test_manifest_names_the_missing(spark):
-    found = {r["name"]: r["status"] for r in entry.queries()["m1_audit_manifest"](spark, SF).collect()}
-    assert found.pop("absent") == "missing"
-    assert set(found.values()) == {"ok"}
