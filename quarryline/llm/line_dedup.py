@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, lower_ascii, without
+from .common import BLANKS, lower_ascii, released, without, written
+
+#: Shared lines (24 bytes each) that are broadcast.
+MOST_BROADCAST = 200_000
 
 
 def line_key(line: Column) -> Column:
@@ -32,27 +35,33 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
         F.xxhash64(text_col).alias("__ql_row"),
         F.split(F.coalesce(text_col, F.lit("")), "\n").alias("__ql_lines"),
     )
-    keys = (
+    keys = written(
         base.where(F.col("__ql_id").isNotNull())
         .select("__ql_id", "__ql_row", F.posexplode("__ql_lines").alias("__ql_pos", "__ql_line"))
         .where(F.char_length("__ql_line") >= min_chars)
         .withColumn("__ql_key", line_key(F.col("__ql_line")))
         .where(F.char_length("__ql_key") >= min_chars)
-        .select("__ql_id", "__ql_row", "__ql_pos", F.xxhash64("__ql_key").alias("__ql_h1"), F.xxhash64(F.lit("second"), "__ql_key").alias("__ql_h2"))
+        .select("__ql_id", "__ql_row", "__ql_pos", F.xxhash64("__ql_key").alias("__ql_h1"), F.xxhash64(F.lit("second"), "__ql_key").alias("__ql_h2")),
+        "keys",
     )
     # Partial aggregation first reduces a hot line to one row for each task and document.
-    shared = (
+    shared = written(
         keys.groupBy("__ql_h1", "__ql_h2")
         .agg(F.count_distinct("__ql_id").alias("__ql_docs"), F.max("__ql_id").alias("__ql_keeper"))
         .where(F.col("__ql_docs") >= min_docs)
-        .select("__ql_h1", "__ql_h2", "__ql_keeper")
+        .select("__ql_h1", "__ql_h2", "__ql_keeper"),
+        "shared",
     )
-    drops = (
-        keys.join(shared, ["__ql_h1", "__ql_h2"])
+    # Few shared lines go to every task; more are joined by a shuffle, in which Spark can split a hot line, as both sides are plain tables.
+    few = shared.count() <= MOST_BROADCAST
+    drops = written(
+        keys.join(F.broadcast(shared) if few else shared, ["__ql_h1", "__ql_h2"])
         .where(F.col("__ql_id") != F.col("__ql_keeper"))
         .groupBy("__ql_id", "__ql_row")
-        .agg(F.collect_set("__ql_pos").alias("__ql_drop"))
+        .agg(F.collect_set("__ql_pos").alias("__ql_drop")),
+        "drops",
     )
+    released(keys, shared)
     n = F.size("__ql_lines")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("__ql_drop")), lambda i: F.get("__ql_lines", i))
     joined = base.join(drops, ["__ql_id", "__ql_row"], "left")
