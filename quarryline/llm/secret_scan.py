@@ -3,7 +3,8 @@
 Each rule's regex gives a Boolean query over trigrams: the text must hold all trigrams of one of
 the query's alternatives. The index has postings for the trigrams that the rules ask for; the
 postings are intersected per alternative, and the regex verifies the candidates. A rule whose
-regex has no mandatory trigram scans every text.
+regex has no mandatory trigram scans every text. Regexes are read by the parser of Python's re
+module, under the names that it has since Python 3.11.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, without
+from .common import without, written
 
 
 @dataclass(frozen=True)
@@ -44,6 +45,8 @@ MORE_RULES: tuple[SecretRule, ...] = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+#: Candidates (a key and a few kinds each) that are broadcast.
+MOST_BROADCAST = 200_000
 #: Above so many alternatives a part of a regex counts as unknown text.
 MOST_WORDINGS = 32
 
@@ -94,7 +97,8 @@ def candidates(docs: DataFrame, rules: Sequence[SecretRule]) -> DataFrame:
     for kind, k, t in terms:
         need[kind, k] = need.get((kind, k), 0) + 1
         asks.setdefault(t, []).append((kind, k))
-    low = docs.select("__ql_key", lower_ascii(F.col("__ql_text")).alias("__ql_low"))
+    # Lower case of other letters doesn't matter here: it can only add a candidate.
+    low = docs.select("__ql_key", F.lower("__ql_text").alias("__ql_low"))
     # A filter that is always true would go; a projection that many conditions read stays below them.
     postings = low.select("__ql_key", F.explode(F.array_compact(F.array(*[F.when(F.contains("__ql_low", F.lit(t)), F.lit(t)) for t in asks]))).alias("gram"))
     lists = F.create_map(*[x for t, who in asks.items() for x in (F.lit(t), F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("alt"), F.lit(need[kind, k]).alias("need")) for kind, k in who]))])
@@ -129,7 +133,9 @@ def find_secrets(docs: DataFrame, rules: Sequence[SecretRule] = RULES, id_col: s
     ids and repeated rows are scanned like any other row. An input column ``secrets`` is replaced.
     """
     base = docs.select(*without(docs, "secrets"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__ql_text"), F.xxhash64(id_col, text_col).alias("__ql_key"))
-    joined = base.join(candidates(base, rules), "__ql_key", "left")
+    # Few candidates go to every task, so texts stay where they are; more are joined by a shuffle.
+    found_in = written(candidates(base, rules), "candidates")
+    joined = base.join(F.broadcast(found_in) if found_in.count() <= MOST_BROADCAST else found_in, "__ql_key", "left")
     text = F.col("__ql_text")
     spans = []
     for k, r in enumerate(rules):
