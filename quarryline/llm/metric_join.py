@@ -4,7 +4,9 @@ On unit vectors a cosine of at least c is a distance of at most r = sqrt(2 - 2c)
 in the cell of its nearest pivot. It is also shown to every cell whose vectors may be within r: by
 the triangle inequality its distance to that cell's pivot exceeds that to its own by 2r at most,
 and its distance to the plane between the two pivots is r at most. A cell's own vectors then find
-all partners among those shown to the cell. Large cells are joined in blocks.
+all partners among those shown to the cell. Within a cell, vectors lie in rings of width r around
+its pivot, and again by the triangle inequality only equal and neighbouring rings are joined; large
+rings are joined in blocks. Pivots decide how much work that is, never what is found.
 """
 
 from __future__ import annotations
@@ -16,11 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 from .components import components
 
-#: Vectors for each pivot that is wanted, pivots of a label at most, and rows in a block.
-CELL, MOST_PIVOTS, BLOCK = 4000, 64, 2048
+#: Vectors for each pivot that is wanted, pivots of all labels at most (they go to every task), and rows in a block.
+CELL, MOST_PIVOTS, BLOCK = 4000, 2048, 2048
+#: Vectors, for each pivot, among which pivots are chosen.
+DRAWN = 8
 
 
 def _unit(rows: pd.Series) -> np.ndarray:
@@ -44,6 +48,74 @@ def _local(mask: np.ndarray, row_ids: np.ndarray, col_ids: np.ndarray) -> tuple[
             return names[low[r]], names[low[c]]
 
 
+def _spread(x: np.ndarray, n: int) -> np.ndarray:
+    """``n`` of the unit vectors ``x``, each the farthest from those before it."""
+    chosen, near = [0], 1 - x @ x[0]
+    while len(chosen) < min(n, len(x)):
+        k = int(near.argmax())
+        if near[k] <= 1e-12:
+            break
+        chosen.append(k)
+        near = np.minimum(near, 1 - x @ x[k])
+    return x[chosen]
+
+
+def _pivots(classes: DataFrame, total: int) -> dict[int, np.ndarray]:
+    """Pivots of each kind with more vectors than a cell should have: at most MOST_PIVOTS of all, far from each other among a hash's draw of its vectors."""
+    cell = max(CELL, -(-2 * total // MOST_PIVOTS))
+    # At most MOST_PIVOTS / 2 kinds are so large.
+    sizes = classes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).withColumn("wanted", F.ceil(F.col("n") / cell))
+    drawn = classes.join(F.broadcast(sizes), "kind").where(F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.expr(f"n DIV (wanted * {DRAWN})"))) == 0)
+
+    def chosen(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        best = _spread(_unit(rows["vec"]), int(rows["wanted"].iloc[0]))
+        return pd.DataFrame({"kind": rows["kind"].iloc[0], "vec": list(best)})
+
+    found: dict[int, list] = {}
+    for r in drawn.select("kind", "id", "wanted", "vec").groupBy("kind").applyInPandas(chosen, "kind long, vec array<double>").collect():
+        found.setdefault(r["kind"], []).append(r["vec"])
+    return {kind: np.array(rows) for kind, rows in found.items()}
+
+
+def _shown(classes: DataFrame, radius: float, total: int) -> DataFrame:
+    """Each vector once for every cell it is shown to, with its ring there and whether it is the cell's own."""
+    pivots = classes.sparkSession.sparkContext.broadcast(_pivots(classes, total))
+
+    def cells(batches):
+        for df in batches:
+            parts = []
+            for kind, rows in df.groupby("kind"):
+                p = pivots.value.get(kind)
+                if p is None or len(p) < 2:
+                    parts.append(rows[["kind", "id", "weight", "vec"]].assign(cell=0, ring=0, own=True))
+                    continue
+                x = _unit(rows["vec"])
+                dots = x @ p.T
+                own = dots.argmax(axis=1)
+                mine = dots[np.arange(len(x)), own][:, None]
+                apart = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)))[own]
+                far = np.sqrt(np.maximum(0, 2 - 2 * dots))
+                seen = (far <= far[np.arange(len(x)), own][:, None] + 2 * radius) & (mine - dots <= radius * apart + 1e-9)
+                seen[np.arange(len(x)), own] = True
+                k, c = np.nonzero(seen)
+                rings = np.floor((far[k, c] + 1e-9) / (radius + 1e-8)).astype(np.int64)
+                parts.append(rows[["kind", "id", "weight", "vec"]].iloc[k].assign(cell=c, ring=rings, own=own[k] == c))
+            if parts:
+                yield pd.concat(parts)[["kind", "cell", "ring", "id", "weight", "vec", "own"]]
+
+    return written(classes.select("kind", "id", "weight", "vec").mapInPandas(cells, "kind long, cell long, ring long, id long, weight long, vec array<double>, own boolean"), "cells")
+
+
+def _ring_pairs(shown: DataFrame) -> DataFrame:
+    """For each cell the pairs of rings to join: i of own vectors, j of all shown, their sizes and into how many blocks each is dealt."""
+    counted = written(shown.groupBy("kind", "cell", "ring").agg(F.count_if("own").alias("n_own"), F.count(F.lit(1)).alias("n_all")), "rings")
+    i, j = counted.where("n_own > 0").select("kind", "cell", F.col("ring").alias("i"), "n_own"), counted.select("kind", "cell", F.col("ring").alias("j"), "n_all")
+    near = i.withColumn("j", F.explode(F.array(F.col("i") - 1, F.col("i"), F.col("i") + 1))).join(j, ["kind", "cell", "j"])
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    return near.withColumn("as", blocks("n_own")).withColumn("bs", blocks("n_all"))
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Links vectors of the same label whose cosine, in double precision, is at least ``threshold`` (above 0).
 
@@ -62,43 +134,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     classes = base.where("__ql_class IS NOT NULL").groupBy("__ql_class").agg(F.min("__ql_id").alias("doc"), F.count(F.lit(1)).alias("weight"), F.first("__ql_vec").alias("vec"), F.first("__ql_label").alias("label"))
     classes = written(classes.withColumn("kind", F.xxhash64("label", F.size("vec"))).withColumnRenamed("__ql_class", "id").drop("label"), "classes")
 
-    # Pivots: of each label an even share by hash, so that a label has MOST_PIVOTS or so whatever its size.
-    wanted = F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("n") / CELL))
-    sizes = classes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).withColumn("stride", F.greatest(F.lit(1), F.floor(F.col("n") / wanted)))
-    drawn = classes.join(sizes, "kind").where(F.pmod(F.xxhash64("id"), F.col("stride")) == 0)
-    pivots = drawn.groupBy("kind").agg(F.slice(F.sort_array(F.collect_list(F.struct("id", "vec"))), 1, 2 * MOST_PIVOTS).alias("pivots")).select("kind", F.transform("pivots", lambda p: p["vec"]).alias("pivots"))
-    placed = classes.join(pivots, "kind", "left")
-
-    def cells(batches):
-        for df in batches:
-            parts = []
-            for kind, rows in df.groupby("kind"):
-                x = _unit(rows["vec"])
-                first = rows["pivots"].iloc[0]
-                p = _unit(pd.Series(list(first))) if first is not None and len(first) else x[:0]
-                if len(p) < 2:
-                    parts.append(pd.DataFrame({"kind": kind, "cell": 0, "id": rows["id"], "weight": rows["weight"], "vec": rows["vec"], "own": True}))
-                    continue
-                dots = x @ p.T
-                own = dots.argmax(axis=1)
-                mine = dots[np.arange(len(x)), own][:, None]
-                apart = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)))[own]
-                far = lambda d: np.sqrt(np.maximum(0, 2 - 2 * d))
-                seen = (far(dots) <= far(mine) + 2 * radius) & (mine - dots <= radius * apart + 1e-9)
-                seen[np.arange(len(x)), own] = True
-                k, c = np.nonzero(seen)
-                parts.append(pd.DataFrame({"kind": kind, "cell": c, "id": rows["id"].to_numpy()[k], "weight": rows["weight"].to_numpy()[k], "vec": rows["vec"].to_numpy()[k], "own": own[k] == c}))
-            if parts:
-                yield pd.concat(parts)
-
-    shown = written(placed.mapInPandas(cells, "kind long, cell long, id long, weight long, vec array<double>, own boolean"), "cells")
-    # Blocks: a cell's own rows and the rows shown to it are dealt out, and each pair of blocks is a group.
-    counted = shown.groupBy("kind", "cell").agg(F.ceil(F.count_if("own") / BLOCK).alias("n_own"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_all")).where("n_own > 0")
-    dealt = shown.join(counted, ["kind", "cell"])
+    total = classes.count()
+    shown = _shown(classes, radius, total)
+    pairs = written(_ring_pairs(shown), "pairs")
     deal = lambda n: F.pmod(F.xxhash64("id", F.lit("deal")), F.col(n)).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-    left = dealt.where("own").select("kind", "cell", deal("n_own").alias("i"), upto("n_all").alias("j"), "id", "weight", "vec", F.lit(True).alias("left"))
-    right = dealt.select("kind", "cell", upto("n_own").alias("i"), deal("n_all").alias("j"), "id", "weight", "vec", F.lit(False).alias("left"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = ["kind", "cell", "i", "j", "a", "b"]
+    left = shown.where("own").withColumnRenamed("ring", "i").join(pairs, ["kind", "cell", "i"]).withColumn("a", deal("as")).select("kind", "cell", "i", "j", "a", upto("bs").alias("b"), "id", "weight", "vec", F.lit(True).alias("left"))
+    right = shown.withColumnRenamed("ring", "j").join(pairs, ["kind", "cell", "j"]).withColumn("b", deal("bs")).select("kind", "cell", "i", "j", upto("as").alias("a"), "b", "id", "weight", "vec", F.lit(False).alias("left"))
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         a, b = rows[rows["left"]], rows[~rows["left"]]
@@ -113,8 +156,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
         ra, rb = _local(mask[rows_on][:, cols_on], ids_a[rows_on], ids_b[cols_on])
         return pd.DataFrame({"id": np.concatenate([ids_a[rows_on], ids_b[cols_on]]), "n": np.concatenate([n[rows_on], np.zeros(len(rb), dtype=np.int64)]), "root": np.concatenate([ra, rb])})
 
-    found = written(left.unionByName(right).groupBy("kind", "cell", "i", "j").applyInPandas(block, "id long, n long, root long"), "linked")
+    found = written(left.unionByName(right).groupBy(*key).applyInPandas(block, "id long, n long, root long"), "linked")
     near = found.groupBy("id").agg(F.sum("n").alias("n"))
+    released(shown, pairs)
     reach = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     rooted = classes.select("id", "doc", "weight").join(near, "id", "left").join(reach, "id", "left").withColumn("root", F.coalesce("component", "id"))
     smallest = rooted.groupBy("root").agg(F.min("doc").alias("smallest"))
