@@ -150,16 +150,27 @@ def _in_groups(batches: Iterator[pa.RecordBatch], most_chars: int = 400_000) ->
             yield [list(x) for x in zip(*group, strict=True)]
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
-    """Fits the field on at most ``most`` documents of each label, taken by a hash of their ids.
+def train(docs: DataFrame, labels: DataFrame, most: int = 3000, most_lines: int = 200_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
+    """Fits the field on at most ``most`` documents and ``most_lines`` lines of each label.
 
+    Documents are taken by a hash of their ids; one whose lines are more than what is left is passed
+    over, so the driver holds at most ``2 * most_lines`` lines' features whatever texts there are.
     ``labels`` has ids and labels 0 or 1; rows with a null don't count, and an id with several
-    labels takes the highest. Texts with no label at all give a field that scores 0.5.
+    labels takes the highest. Rows that repeat an id are taken together. Texts with no label at all
+    give a field that scores 0.5.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__ql_id")).agg(F.max(label_col).cast("int").alias("__ql_y"))
-    taken = [known.where(f"__ql_y = {y}").orderBy(F.xxhash64("__ql_id"), "__ql_id").limit(most) for y in (0, 1)]
-    # At most 2 * ``most`` ids are broadcast, and as many documents' features come back.
-    chosen = docs.select(id_col, text_col).join(F.broadcast(taken[0].unionByName(taken[1])), F.col(id_col) == F.col("__ql_id")).select(id_col, text_col, "__ql_y")
+    first = [known.where(f"__ql_y = {y}").orderBy(F.xxhash64("__ql_id"), "__ql_id").limit(most) for y in (0, 1)]
+    # At most 2 * ``most`` ids are broadcast, and as many line counts come back.
+    texts_of = docs.select(F.col(id_col).alias("__ql_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__ql_text"))
+    sizes = texts_of.join(F.broadcast(first[0].unionByName(first[1])), "__ql_id").groupBy("__ql_id", "__ql_y").agg(F.sum(F.size(F.split("__ql_text", "\n")).cast("long")).alias("lines"))
+    left, taken = [most_lines, most_lines], []
+    for r in sizes.orderBy(F.xxhash64("__ql_id"), "__ql_id").collect():
+        if r["lines"] <= left[r["__ql_y"]]:
+            left[r["__ql_y"]] -= r["lines"]
+            taken.append((r["__ql_id"], r["__ql_y"]))
+    kind = sizes.schema["__ql_id"].dataType.simpleString()
+    chosen = texts_of.join(F.broadcast(docs.sparkSession.createDataFrame(taken, f"__ql_id {kind}, __ql_y int")), "__ql_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts, ys in _in_groups(batches):
