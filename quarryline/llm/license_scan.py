@@ -1,9 +1,10 @@
 """License scan by template markup.
 
 A template is license wording with markup: ``<<beginOptional>> ... <<endOptional>>`` around words
-that may be missing, and ``<<var;name=holder;words=0-12>>`` where any words may stand, so many of
-them. It is compiled to an automaton over words, and a text matches where all mandatory words stand
-in order with nothing else between them. Short phrases are looked for as well.
+that may be missing; ``<<var;name=holder;words=0-12>>`` where any words may stand, so many of them;
+``<<var;name=act;match=licensed|released>>`` where one of the words named stands. It is compiled to
+an automaton over words, and a text matches where all mandatory words stand in order with nothing
+else between them; one word changed, and it doesn't. Short phrases are looked for as well.
 """
 
 from __future__ import annotations
@@ -20,46 +21,87 @@ from pyspark.sql import functions as F
 #: Phrase to label.
 PHRASES: dict[str, str] = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Label to templates; the wording is that of the licenses and of usual statements.
+# The wording of public licenses and of usual statements.
+_MERCHANTABILITY = "but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+<<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+<<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution. """
+_BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY <<var;name=holder;words=1-24>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;name=liable;words=1-24>> BE LIABLE FOR ANY DIRECT,
+INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA,
+OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ACT = "<<var;name=act;match=licensed|released|distributed|published|available|provided|shared>>"
+
+
+def _gnu(what: str, license_: str, version: str) -> str:
+    """The notice by which a program or library is put under a GNU license."""
+    return f"""This {what} is free software<<beginOptional>>;<<endOptional>> you can redistribute it and/or modify it under the terms of the {license_} as published by the
+Free Software Foundation, either version {version} of the License, or (at your option) any later version. This {what} is distributed in the hope that it will be useful,
+{_MERCHANTABILITY} See the {license_} for more details. <<beginOptional>>You should have received a copy of the {license_} along with this {what}<<beginOptional>>; if not,
+write to the Free Software Foundation<<var;name=address;words=0-16>><<endOptional>><<beginOptional>>. If not, see https://www.gnu.org/licenses/<<endOptional>><<endOptional>>"""
+
+
+#: Label to templates.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "mit-text": (
         """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
         <<beginOptional>>(the "Software")<<endOptional>>, to deal in the Software without restriction, including without limitation the rights to use,
         copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is
         furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
-        <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software.""",
+        <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+        FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;name=holder;words=1-24>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+        LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
+        IN THE SOFTWARE.""",
     ),
     "isc-text": (
         """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby
-        granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND
+        <<var;name=holder;words=1-24>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+        IN NO EVENT SHALL <<var;name=liable;words=1-24>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER
+        RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION
+        WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     ),
-    "bsd-text": (
-        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met""",
+    "bsd-2-clause": (_BSD_HEAD + _BSD_TAIL,),
+    "bsd-3-clause": (
+        _BSD_HEAD
+        + """<<beginOptional>>3.<<endOptional>> Neither the name of <<var;name=organisation;words=1-24>> nor the names of <<beginOptional>>its<<endOptional>> contributors
+        may be used to endorse or promote products derived from this software without specific prior written permission. """
+        + _BSD_TAIL,
     ),
     "apache-2.0": (
         """Licensed under the Apache License, Version 2.0<<beginOptional>> (the "License"); you may not use this file except in compliance with the
+        License. You may obtain a copy of the License at <<beginOptional>>http<<endOptional>><<beginOptional>>s<<endOptional>>://www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+        CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the
         License<<endOptional>>""",
     ),
+    "mpl-2.0": (
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can
+        obtain one at <<var;name=scheme;match=http|https>>://mozilla.org/MPL/2.0/""",
+    ),
     "gpl-3.0": (
-        """<<beginOptional>>This <<var;name=what;words=1-3>> is<<endOptional>> licensed under the <<beginOptional>>terms of the<<endOptional>> GNU General Public
+        f"""<<beginOptional>>This <<var;name=what;words=1-3>> is<<endOptional>> {_ACT} under the <<beginOptional>>terms of the<<endOptional>> GNU General Public
         License<<beginOptional>>,<<endOptional>> version 3""",
-        """redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3
-        of the License, or <<beginOptional>>(at your option)<<endOptional>> any later version""",
+        _gnu("program", "GNU General Public License", "3"),
     ),
     "gpl-2.0": (
-        """licensed under the <<beginOptional>>terms of the<<endOptional>> GNU General Public License, version 2""",
-        """redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2
-        of the License, or <<beginOptional>>(at your option)<<endOptional>> any later version""",
+        f"""<<beginOptional>>This <<var;name=what;words=1-3>> is<<endOptional>> {_ACT} under the <<beginOptional>>terms of the<<endOptional>> GNU General Public License, version 2""",
+        _gnu("program", "GNU General Public License", "2"),
     ),
+    "lgpl-2.1": (_gnu("library", "GNU Lesser General Public License", "2.1"),),
+    "lgpl-3.0": (_gnu("library", "GNU Lesser General Public License", "3"),),
     "cc-by-nc-4.0": (
-        """Licensed under <<beginOptional>>the<<endOptional>> <<beginOptional>>Creative Commons<<endOptional>> CC BY-NC 4.0""",
+        f"""{_ACT} under <<beginOptional>>the<<endOptional>> <<beginOptional>>Creative Commons<<endOptional>> CC BY-NC 4.0""",
         """Creative Commons Attribution-NonCommercial 4.0 International""",
     ),
     "cc-by-4.0": (
-        """Licensed under <<beginOptional>>the<<endOptional>> <<beginOptional>>Creative Commons<<endOptional>> CC BY 4.0""",
+        f"""{_ACT} under <<beginOptional>>the<<endOptional>> <<beginOptional>>Creative Commons<<endOptional>> CC BY 4.0""",
         """Creative Commons Attribution 4.0 International""",
     ),
-    "mit-statement": ("""<<var;name=act;words=1-1>> under the <<beginOptional>>terms of the<<endOptional>> MIT License""",),
+    "mit-statement": (f"""{_ACT} under the <<beginOptional>>terms of the<<endOptional>> MIT License""",),
 }
 
 _MARK = re.compile(r"<<\s*(beginOptional|endOptional|var)\b(.*?)>>", re.S)
@@ -152,6 +194,10 @@ def compiled(label: str, template: str) -> Automaton:
             made.skip(now, end)
             made.skip(opened.pop(), end)
             now = end
+        elif (named := re.search(r"match\s*=\s*([^;>]+)", m[2])) is not None:
+            start, now = now, made.state()
+            for w in named[1].split("|"):
+                made.skip(made.step(start, words_of(w.encode())[0]), now)
         else:
             asked = re.search(r"words\s*=\s*(\d+)-(\d+)", m[2])
             least, most = map(int, asked.groups()) if asked else (0, 20)
@@ -216,6 +262,7 @@ def labels_of(places, templates: bool):
     return F.array_join(F.sort_array(F.array_distinct(F.transform(some, lambda x: x["label"]))), ",")
 
 
-def confidence(places):
-    """1 if a template matches, 0.5 if only phrases are found, else 0."""
-    return F.when(F.exists(places, lambda x: x["template"]), 1.0).when(F.size(places) > 0, 0.5).otherwise(0.0)
+def confidence(places, n_words):
+    """From 0 to 1: 0 if nothing is found, 0.5 if only phrases are, and from 0.75 to 1 if a template matches, by the share of the document's words in the longest match."""
+    longest = F.array_max(F.transform(F.filter(places, lambda x: x["template"]), lambda x: x["n"]))
+    return F.when(longest.isNotNull(), 0.75 + 0.25 * F.least(F.lit(1.0), longest / n_words)).when(F.size(places) > 0, 0.5).otherwise(0.0)

@@ -48,7 +48,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     places = F.col("places")
     base = F.transform(F.filter(places, lambda x: ~x["template"]), lambda x: x["first"])
-    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(base).alias("first_word"), F.array_max(base).alias("last_word"), license_scan.labels_of(places, False).alias("base_labels"), license_scan.labels_of(places, True).alias("labels"), license_scan.confidence(places).alias("score"))
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(base).alias("first_word"), F.array_max(base).alias("last_word"), license_scan.labels_of(places, False).alias("base_labels"), license_scan.labels_of(places, True).alias("labels"), license_scan.confidence(places, F.col("n_words")).alias("score"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 import hashlib
 import random
-import sys
 import zlib
 
 import numpy as np
@@ -135,6 +134,11 @@ def test_classifier(spark, docs, none, nameless):
     assert len(test) > 50 and sum(r.p == r.quality for r in test) / len(test) >= 0.95
     scores = by_id(line_crf.score(docs, field), "score")
     assert len(scores) == len(corpus()) and all(0 <= s <= 1 for s in scores.values()) and scores[0] == scores[1]
+    assert line_crf.train(real, labels.limit(0)).weights.max() == 0
+    twice = real.unionByName(real).withColumn("__ql_y", F.lit(1))
+    some = line_crf.train(twice, labels.unionByName(labels.withColumn("quality", F.lit(0))), most=20, most_lines=300)
+    assert np.isfinite(some.weights).all() and (some.weights != field.weights).any()
+    assert line_crf.train(real, labels, most=20, most_lines=0).weights.max() == 0
     kept = line_crf.accepted(docs, field)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, s in scores.items() if s >= 0.7}
     assert line_crf.score(none, field).count() == 0 and line_crf.score(nameless, field).count() == 6
@@ -162,6 +166,7 @@ def test_forward_backward():
 def test_metric_join(spark, monkeypatch, cell):
     monkeypatch.setattr(metric_join, "CELL", cell)
     monkeypatch.setattr(metric_join, "BLOCK", 16 if cell == 6 else 2048)
+    monkeypatch.setattr(metric_join, "MOST_PIVOTS", 2048 if cell == 4000 else 20)
     rng = np.random.default_rng(5)
     centre = rng.normal(size=(9, 8))
     rows = [(i, (centre[i % 9] + rng.normal(size=8) * 0.3).round(3).tolist(), i % 2) for i in range(90)]
@@ -173,6 +178,22 @@ def test_metric_join(spark, monkeypatch, cell):
     assert metric_join.near_vectors(df.limit(0)).count() == 0
 
 
+def test_pivots_and_rings_save_work(spark, monkeypatch):
+    """On vectors in clusters few of all pairs are compared, and what is found is the same."""
+    monkeypatch.setattr(metric_join, "CELL", 20)
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(25, 16))
+    x = centre.repeat(24, axis=0) + rng.normal(size=(600, 16)) * 0.25
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in metric_join.near_vectors(df).collect()}
+    assert got == brute.near(rows)
+    classes = df.selectExpr("vec_id AS id", "0L AS kind", "1L AS weight", "embedding AS vec")
+    shown = metric_join._shown(classes, np.sqrt(2 - 2 * 0.93) + 1e-9, 600)
+    compared = metric_join._ring_pairs(shown).agg(F.sum(F.col("n_own") * F.col("n_all"))).first()[0]
+    assert compared < 0.25 * 600 * 600 and shown.count() < 4 * 600
+
+
 def test_pieces_equal_the_library(docs, none, nameless):
     import sentencepiece
 
@@ -220,6 +241,64 @@ def test_template_markup():
     assert hits("granted of charge to me forever") == hits("granted to forever") == hits("granted to one two three forever") == []
 
 
+def wording(template):
+    """A template's text with its optional regions, and something for its replaceable ones."""
+    import re
+
+    def filled(m):
+        if m[1] != "var":
+            return ""
+        named = re.search(r"match=([^;>|]+)", m[2])
+        return named[1] if named else "Any Body At All"[: 8 if "words=0-" in m[2] or "1-3" in m[2] else 15]
+
+    return license_scan._MARK.sub(filled, template)
+
+
+def required(template):
+    """A template without its optional regions."""
+    import re
+
+    inner = re.compile(r"<<beginOptional>>(?:(?!<<beginOptional>>|<<endOptional>>).)*<<endOptional>>", re.S)
+    while inner.search(template):
+        template = inner.sub(" ", template)
+    return template
+
+
+def test_whole_license_texts(spark):
+    """Each template's wording is found under its label; with any one mandatory word changed it isn't."""
+    import re
+
+    texts = {label: wording(t[-1]) for label, t in license_scan.TEMPLATES.items()}
+    rows, want = [], {}
+    for label, t in texts.items():
+        want[len(rows)] = label
+        rows.append("Copyright someone\n" + t + "\nThe end.")
+        short = wording(required(license_scan.TEMPLATES[label][-1]))
+        words = [m for m in re.finditer(r"[A-Za-z]{4,}", short) if m[0].lower().encode() in license_scan.compiled(label, license_scan.TEMPLATES[label][-1]).mandatory]
+        for m in words[:: max(1, len(words) // 5)]:
+            want[len(rows)] = None
+            rows.append(short[: m.start()] + "changed" + short[m.end() :])
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = license_scan.find_licenses(df)
+    for r in found.withColumn("score", license_scan.confidence(F.col("places"), F.col("n_words"))).collect():
+        labels = {p.label for p in r.places if p.template}
+        if want[r.doc_id]:
+            assert want[r.doc_id] in labels and 0.75 < r.score <= 1
+            whole = {"bsd-2-clause", "bsd-3-clause", "mit-text", "isc-text", "mpl-2.0", "lgpl-2.1", "lgpl-3.0"}
+            assert len(labels & whole) <= 1
+    changed = {r.doc_id: {p.label for p in r.places if p.template} for r in found.collect() if want[r.doc_id] is None}
+    label = None
+    for i in range(len(rows)):
+        label = want[i] or label
+        assert want[i] or label not in changed[i], rows[i]
+
+
+def test_choices_in_templates():
+    a = license_scan.compiled("x", "<<var;name=act;match=released|licensed>> under it")
+    hits = lambda t: a.matches(license_scan.words_of(t.encode()))
+    assert hits("Released under it, LICENSED under it") == [(0, 3), (3, 3)] and hits("sold under it") == []
+
+
 def test_ngram_join(spark, docs, none, nameless):
     out = by_id(ngram_join.jaccard_components(docs), "n_shingles", "component_id")
     assert out == brute.jaccard(corpus())
@@ -321,7 +400,3 @@ def test_spans_of_a_batch():
     texts = pa.array(["a" * n for n in (3, 0, 50, 9, 9, 1, 30)])
     spans = packing._groups(texts, 20)
     assert [a for a, _ in spans] + [7] == [0] + [b for _, b in spans] and (2, 3) in spans and packing._groups(texts.slice(0, 0)) == []
-
-
-def test_nothing_else_imports_these():
-    assert "quarryline.llm" in sys.modules
