@@ -37,6 +37,8 @@ HALF = np.uint64(1 << 63)
 BIT_BLOCKS = 1024
 #: Entries that are packed together, entries in a block of columns, and rows of a column that are paired in one task.
 PACK, BLOCK, ROWS = 1_000_000, 500_000, 512
+#: Rows whose counts are added up in one task.
+NODES = 100_000
 #: Sets up to this number are looked up by a broadcast of their documents' ids; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -183,15 +185,16 @@ def _short(node: np.ndarray) -> np.ndarray:
     return np.maximum(node.view(np.uint64) >> np.uint64(16), np.uint64(1))
 
 
-def _shared_entries(docs: DataFrame, size: int, total: int) -> DataFrame:
+def _shared_entries(docs: DataFrame, size: int, total: int, n_nodes: int) -> DataFrame:
     """For the first half of the columns, block by block: how many of a row's entries are in columns that another row has too.
 
-    Rows are ``short`` (48 bits of a node) and ``n``, to be added up. Tasks pack many sets and sort
+    A row is ``short`` (48 bits of a node) and ``n``; rows that share nothing have none. Tasks pack many sets and sort
     their entries. A column that two sets of a pack have is counted there and then, and sent on as
     one mark; so no block gets more of a column than one entry from each pack, however many
-    documents have it. Other entries go to their column's block in 10 bytes each.
+    documents have it. Other entries go to their column's block in 10 bytes each. Blocks send their
+    counts, packed again, to the parts that add them up by node.
     """
-    blocks = max(1, total // 2 // BLOCK)
+    blocks, parts = max(1, total // 2 // BLOCK), 1 + n_nodes // NODES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(sets: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
@@ -245,10 +248,21 @@ def _shared_entries(docs: DataFrame, size: int, total: int) -> DataFrame:
         new = np.ones(len(own), dtype=bool)
         new[1:] = (own[1:] != own[:-1]) | (column[1:] != column[:-1])
         short, n = np.unique(own[new], return_counts=True)
-        return pd.DataFrame({"short": np.concatenate([short, read("known", np.uint64)]).view(np.int64), "n": np.concatenate([n, read("times", np.int64)])})
+        short, n = np.concatenate([short, read("known", np.uint64)]), np.concatenate([n, read("times", np.int64)])
+        part = (short % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        short, n, part = short[order], n[order].astype(np.int32), part[order]
+        spans = _cut(part)
+        return pd.DataFrame({"part": [part[a] for a, _ in spans], "short": [short[a:b].tobytes() for a, b in spans], "n": [n[a:b].tobytes() for a, b in spans]})
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        short, n = (np.frombuffer(b"".join(rows[c]), dtype=t) for c, t in (("short", np.int64), ("n", np.int32)))
+        names, place = np.unique(short, return_inverse=True)
+        return pd.DataFrame({"short": names, "n": np.bincount(place, weights=n).astype(np.int64)})
 
     cells = docs.mapInArrow(run, "block long, h binary, low binary, high binary, known binary, times binary")
-    return cells.groupBy("block").applyInPandas(counted, "short long, n long")
+    counts = cells.groupBy("block").applyInPandas(counted, "part long, short binary, n binary")
+    return counts.groupBy("part").applyInPandas(added, "short long, n long")
 
 
 def _rows(docs: DataFrame, size: int, percent: int, total: int) -> tuple[DataFrame, DataFrame]:
@@ -393,11 +407,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     profile = written(_profile(slim, size), "profile")
     nodes = written(profile.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("doc"), F.min("n").alias("n"), F.min("half").alias("half")), "nodes")
-    total = nodes.agg(F.sum("n")).first()[0] or 0
+    n_nodes, total = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
 
     # A row whose entries so far are alone too often can't share ``percent`` of itself with any other.
     short = F.greatest(F.shiftrightunsigned("node", 16), F.lit(1)).alias("short")
-    shared = _shared_entries(slim, size, total).groupBy("short").agg(F.sum("n").alias("shared"))
+    shared = _shared_entries(slim, size, total, n_nodes).withColumnRenamed("n", "shared")
     may = f"coalesce(shared, 0) >= half - n * {100 - percent} DIV 100 AND doc IS NOT NULL"
     left = written(nodes.withColumn("short", short).join(shared, "short", "left").where(may).select("doc", "n"), "left")
     size_left = left.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()

@@ -24,6 +24,7 @@ def texts(n=60, seed=3):
 def test_shared_entries(spark, monkeypatch, pack):
     monkeypatch.setattr(ngram_join, "PACK", pack)
     monkeypatch.setattr(ngram_join, "BLOCK", 2000)
+    monkeypatch.setattr(ngram_join, "NODES", 30)
     rows = texts()
     sets = {ngram_join.node_of(s): s for s in ngram_join.shingle_sets(rows)}
     columns, often = np.unique(np.concatenate(list(sets.values())), return_counts=True)
@@ -33,8 +34,9 @@ def test_shared_entries(spark, monkeypatch, pack):
         if n := int((often[np.searchsorted(columns, half)] > 1).sum()):
             want[int(ngram_join._short(np.array([node]))[0])] = n
     docs = spark.createDataFrame(list(enumerate(rows)), "id long, text string").repartition(8)
-    found = ngram_join._shared_entries(docs, 5, 2 * 9000).groupBy("short").agg({"n": "sum"}).collect()
-    got = {r[0]: r[1] for r in found}
+    found = ngram_join._shared_entries(docs, 5, 2 * 9000, 70).collect()
+    got = {r.short: r.n for r in found}
+    assert len(got) == len(found)
     assert got.keys() == want.keys() and all(got[k] >= n for k, n in want.items())
     copied = int(ngram_join._short(np.array([ngram_join.node_of(ngram_join.shingle_sets(rows[-1:])[0])]))[0])
     assert {k: n for k, n in got.items() if k != copied} == {k: n for k, n in want.items() if k != copied}
