@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import line_crf, line_dedup, ngram_join, packing, secret_scan
-from quarryline.llm.common import table, written
+from quarryline.llm.common import released, table, written
 from quarryline.llm.queries import vocabulary
 
 
-def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of documents, n_chars counted anew."""
-    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
+def _changed(docs: DataFrame, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The columns of ``docs`` after ``job``, n_chars counted anew. All but doc_id and text bear other names meanwhile, so none clashes with what ``job`` makes."""
+    aside = {c: f"own_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    out = job(docs.withColumnsRenamed(aside))
+    counted = F.char_length("text").cast("long")
+    return out.select(*[(counted if c == "n_chars" else F.col(aside.get(c, c))).alias(c) for c in docs.columns])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +28,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that five documents or more share stay in one of them."""
-    return _counted(line_dedup.drop_repeated_lines(docs, min_chars=40, min_docs=5), docs.columns)
+    return _changed(docs, lambda df: line_dedup.drop_repeated_lines(df, min_chars=40, min_docs=5))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets replaced by a mark."""
-    return _counted(secret_scan.redact(secret_scan.find_secrets(docs)), docs.columns)
+    return _changed(docs, lambda df: secret_scan.redact(secret_scan.find_secrets(df)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +60,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of ``documents``; each stage's result is written to the shared folder, for the next to read."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        released(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
