@@ -23,6 +23,8 @@ from .components import components
 
 #: Vectors for each pivot that is wanted, pivots of all labels at most (they go to every task), and rows in a block.
 CELL, MOST_PIVOTS, BLOCK = 4000, 2048, 2048
+#: Distances are taken from cosines, so small ones are true to 2e-8 or so; bounds are wider by this.
+SLACK = 1e-6
 #: Vectors, for each pivot, among which pivots are chosen.
 DRAWN = 8
 
@@ -96,10 +98,10 @@ def _shown(classes: DataFrame, radius: float, total: int) -> DataFrame:
                 mine = dots[np.arange(len(x)), own][:, None]
                 apart = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)))[own]
                 far = np.sqrt(np.maximum(0, 2 - 2 * dots))
-                seen = (far <= far[np.arange(len(x)), own][:, None] + 2 * radius) & (mine - dots <= radius * apart + 1e-9)
+                seen = (far <= far[np.arange(len(x)), own][:, None] + 2 * radius) & (mine - dots <= radius * apart + SLACK)
                 seen[np.arange(len(x)), own] = True
                 k, c = np.nonzero(seen)
-                rings = np.floor((far[k, c] + 1e-9) / (radius + 1e-8)).astype(np.int64)
+                rings = np.floor(far[k, c] / (radius + SLACK)).astype(np.int64)
                 parts.append(rows[["kind", "id", "weight", "vec"]].iloc[k].assign(cell=c, ring=rings, own=own[k] == c))
             if parts:
                 yield pd.concat(parts)[["kind", "cell", "ring", "id", "weight", "vec", "own"]]
@@ -126,7 +128,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     Rows that repeat an id count as vectors of their own; other columns aren't read. Vectors of
     different lengths don't link. An empty table gives an empty one.
     """
-    radius = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+    radius = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
     vec = F.col("__ql_vec")
     base = vectors.select(F.col(id_col).alias("__ql_id"), F.col(vector_col).cast("array<double>").alias("__ql_vec"), F.col(label_col).alias("__ql_label"))
     sound = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
