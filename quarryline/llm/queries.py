@@ -33,6 +33,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_passed")).alias("base_failed"), "kept", "failed_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does, from the ledger's bits alone."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~line_crf.held_out())
@@ -76,6 +81,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op5_piece_codec": op5_piece_codec,
     "op2_quality_rules": op2_quality_rules,
+    "quality_ablations": quality_ablations,
     "op3_line_crf": op3_line_crf,
     "op4_metric_join": op4_metric_join,
     "op6_license_scan": op6_license_scan,
@@ -121,6 +127,20 @@ FROM j GROUP BY doc_id
 """,
 }
 
+
+
+def _ablation_sql() -> str:
+    """Bits of each document by the SQL of op2, counted for each policy and rule."""
+    parts = []
+    for policy, names in quality_rules.POLICIES.items():
+        for rule in names:
+            m, b = quality_rules.mask(names), quality_rules.mask([rule])
+            parts.append(f"SELECT '{policy}' AS policy, '{rule}' AS rule, count(*) FILTER (WHERE failed_bits & {m} & {b} <> 0) AS n_failed, count(*) FILTER (WHERE failed_bits & {m} = {b}) AS n_alone, count(*) FILTER (WHERE failed_bits & {m} = 0) AS n_kept FROM o")
+    return f"WITH o AS ({ORACLE_SQL['op2_quality_rules']}) {' UNION ALL '.join(parts)}"
+
+
+ORACLE_SQL["quality_ablations"] = _ablation_sql()
+
 _UP_LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE_SQL["op7_ngram_join"] = rf"""

@@ -73,6 +73,28 @@ def test_repeated_rows_count_once(spark):
     assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, "")] * 4 + [(2, ""), (3, "x\n" + LINE + "\n" + LINE)]
 
 
+def test_hot_lines_can_be_split(docs, monkeypatch):
+    """Without the broadcast the join's sides are plain tables, so Spark may split a line that very many documents hold."""
+    plans = {}
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name)
+
+    from quarryline.llm.common import written
+
+    monkeypatch.setattr(line_dedup, "written", noted)
+    monkeypatch.setattr(line_dedup, "MOST_BROADCAST", 0)
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert by_id(line_dedup.drop_repeated_lines(docs), "n_lines", "n_dropped", "text") == brute.line_dedup(corpus())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    join = plans["drops"][plans["drops"].index("SortMergeJoin") :]
+    assert join.count("Exchange hashpartitioning(__ql_h1") == 2 and "Aggregate" not in join
+
+
 def test_quality_rules(docs, none, nameless):
     entries = quality_rules.ledger(docs)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -110,6 +132,12 @@ def test_secrets(docs, none, nameless):
     assert sorted(len(r.secrets) for r in secret_scan.find_secrets(nameless).collect()) == [0, 0, 0, 0, 2, 2]
 
 
+def test_candidates_beyond_the_broadcast(docs, monkeypatch):
+    few = by_id(secret_scan.find_secrets(docs), "secrets")
+    monkeypatch.setattr(secret_scan, "MOST_BROADCAST", 0)
+    assert by_id(secret_scan.find_secrets(docs), "secrets") == few
+
+
 def test_more_secret_rules(spark):
     texts = ["-----BEGIN RSA PRIVATE KEY-----\nMIIEow==\n-----END RSA PRIVATE KEY-----", "ghp_" + "a1B2" * 9, "xoxb-1234567890-abc", "eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh12"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
