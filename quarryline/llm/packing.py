@@ -29,13 +29,14 @@ MOST_WORDS = 350_000
 END_ID = 1
 
 _PLAIN = frozenset('.,!?;:|#$%&*"=()')
-#: White space next to white space, but for two line ends before another character; and the mark of glued units.
+#: White space next to white space, but for two line ends before another character.
 _BLANK = r"\t\x0b\f\r \x1c-\x1f\x{85}\p{Z}"
-ODD = rf"[{_BLANK}][\n{_BLANK}]|\n[{_BLANK}]|\n\n\n|\n\n\z|\x01"
+ODD = rf"[{_BLANK}][\n{_BLANK}]|\n[{_BLANK}]|\n\n\n|\n\n\z"
 #: A letter before a character that is neither letter, number nor apostrophe: there a token ends.
 _BREAK = r"(\p{L})([^\s\p{L}\p{N}'\x{85}\p{Z}\x1c-\x1f])"
-#: Units that begin their text, that end it, and that have no space before them.
-FIRST, LAST, GLUED = "\r", "\r\n", "\x01"
+#: Units that begin their text, that end it, and that have no space before them; and what stands between units.
+FIRST, LAST, GLUED, BETWEEN = "\r", "\r\n", "\x01", "\x1f"
+_WORD_START = re.compile(r"(?<=\S) (?=\S)")
 #: Longest unit, in bytes, that is merged along with others.
 MOST_BYTES = 48
 
@@ -104,8 +105,8 @@ class WordIds:
     one or two line ends, and where other signs follow a letter. So where blanks don't meet
     otherwise a text's ids are those of its units: a word with the space before it, a line end, or
     what has no space before it. A batch is cut into units, and each that is new is merged along
-    with all others. Units of several tokens, texts in which blanks meet and texts with tokens of
-    their own (such as an end of text) go to the tokenizer.
+    with all others. Texts in which blanks meet are cut only at single spaces. Units of several
+    tokens, and texts with tokens of their own (such as an end of text), go to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -113,7 +114,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = Merges(self.tokenizer)
-        self.added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.whole = "|".join([GLUED, BETWEEN, *(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())])
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -146,24 +147,27 @@ class WordIds:
 
     def texts(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (no nulls), ``end`` after each, and where each text's ids start (and the next would)."""
-        odd = pc.match_substring_regex(texts, ODD)
-        if self.added:
-            odd = pc.or_(odd, pc.match_substring_regex(texts, self.added))
-        odd = odd.to_numpy(zero_copy_only=False)
-        plain = pc.replace_substring(pc.if_else(pa.array(odd), "", texts), "\n", f" \n {GLUED}")
-        marked = pc.binary_join_element_wise(FIRST, pc.replace_substring_regex(plain, _BREAK, rf"\1 {GLUED}\2"), " " + LAST, "")
-        cut = pc.split_pattern(marked, " ")
+        whole = pc.match_substring_regex(texts, self.whole)
+        rest = pc.if_else(whole, "", texts)
+        odd = pc.match_substring_regex(rest, ODD).to_numpy(zero_copy_only=False)
+        broken = pc.replace_substring_regex(pc.replace_substring(rest, "\n", f" \n {GLUED}"), _BREAK, rf"\1 {GLUED}\2")
+        cuttable = pc.replace_substring(broken, " ", BETWEEN)
+        if odd.any():
+            by_word = pa.array([BETWEEN.join(_WORD_START.split(t)) for t in rest.filter(pa.array(odd)).to_pylist()], type=pa.string())
+            cuttable = pc.replace_with_mask(cuttable, pa.array(odd), by_word)
+        cut = pc.split_pattern(pc.binary_join_element_wise(FIRST, cuttable, BETWEEN + LAST, ""), BETWEEN)
         units = cut.flatten().dictionary_encode()
         names = units.dictionary.to_pylist()
         values = self.units([u for u in names if u != LAST])
         values.insert(names.index(LAST), end)
-        values += [self.raw(texts[k].as_py()) + end for k in np.flatnonzero(odd)]
+        whole = whole.to_numpy(zero_copy_only=False)
+        values += [self.raw(texts[k].as_py()) + end for k in np.flatnonzero(whole)]
         at = units.indices.to_numpy().copy()
         first = cut.offsets.to_numpy() - cut.offsets[0].as_py()
-        # An odd text was cut as an empty one, into its begin and its end.
-        begin, empty = first[:-1][odd], names.index(FIRST) if odd.any() else 0
+        # A text for the tokenizer was cut as an empty one, into its begin and its end.
+        begin = first[:-1][whole]
         at[begin] = np.arange(len(values) - len(begin), len(values))
-        at[begin + 1] = empty
+        at[begin + 1] = names.index(FIRST) if len(begin) else 0
         length = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
         flat, start = np.frombuffer(b"".join(values), dtype="<u4"), np.cumsum(length) - length
         n = length[at]
