@@ -109,13 +109,15 @@ def _shown(classes: DataFrame, radius: float, total: int) -> DataFrame:
     return written(classes.select("kind", "id", "weight", "vec").mapInPandas(cells, "kind long, cell long, ring long, id long, weight long, vec array<double>, own boolean"), "cells")
 
 
-def _ring_pairs(shown: DataFrame) -> DataFrame:
-    """For each cell the pairs of rings to join: i of own vectors, j of all shown, their sizes and into how many blocks each is dealt."""
-    counted = written(shown.groupBy("kind", "cell", "ring").agg(F.count_if("own").alias("n_own"), F.count(F.lit(1)).alias("n_all")), "rings")
-    i, j = counted.where("n_own > 0").select("kind", "cell", F.col("ring").alias("i"), "n_own"), counted.select("kind", "cell", F.col("ring").alias("j"), "n_all")
-    near = i.withColumn("j", F.explode(F.array(F.col("i") - 1, F.col("i"), F.col("i") + 1))).join(j, ["kind", "cell", "j"])
+def _near_rings(shown: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``shown`` with rings only in cells larger than a block; and for each ring i with own vectors their number, that of all shown in i and its neighbours, and into how many blocks each is dealt."""
+    cells = written(shown.groupBy("kind", "cell").agg(F.count(F.lit(1)).alias("size"), F.count_if("own").alias("owned")).where("owned > 0").drop("owned"), "sizes")
+    ringed = shown.join(cells, ["kind", "cell"]).withColumn("ring", F.when(F.col("size") <= BLOCK, 0).otherwise(F.col("ring"))).drop("size")
+    counted = ringed.groupBy("kind", "cell", "ring").agg(F.count_if("own").alias("n_own"), F.count(F.lit(1)).alias("n"))
+    around = counted.withColumn("i", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1))).withColumn("n_own", F.when(F.col("ring") == F.col("i"), F.col("n_own")).otherwise(0))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    return near.withColumn("as", blocks("n_own")).withColumn("bs", blocks("n_all"))
+    near = around.groupBy("kind", "cell", "i").agg(F.sum("n_own").alias("n_own"), F.sum("n").alias("n_near")).where("n_own > 0")
+    return ringed, written(near.withColumn("as", blocks("n_own")).withColumn("bs", blocks("n_near")), "near")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -138,12 +140,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
 
     total = classes.count()
     shown = _shown(classes, radius, total)
-    pairs = written(_ring_pairs(shown), "pairs")
+    ringed, near = _near_rings(shown)
     deal = lambda n: F.pmod(F.xxhash64("id", F.lit("deal")), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    key = ["kind", "cell", "i", "j", "a", "b"]
-    left = shown.where("own").withColumnRenamed("ring", "i").join(pairs, ["kind", "cell", "i"]).withColumn("a", deal("as")).select("kind", "cell", "i", "j", "a", upto("bs").alias("b"), "id", "weight", "vec", F.lit(True).alias("left"))
-    right = shown.withColumnRenamed("ring", "j").join(pairs, ["kind", "cell", "j"]).withColumn("b", deal("bs")).select("kind", "cell", "i", "j", upto("as").alias("a"), "b", "id", "weight", "vec", F.lit(False).alias("left"))
+    key = ["kind", "cell", "i", "a", "b"]
+    left = ringed.where("own").withColumnRenamed("ring", "i").join(near, ["kind", "cell", "i"]).withColumn("a", deal("as")).select("kind", "cell", "i", "a", upto("bs").alias("b"), "id", "weight", "vec", F.lit(True).alias("left"))
+    right = ringed.withColumn("i", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1))).join(near, ["kind", "cell", "i"]).withColumn("b", deal("bs")).select("kind", "cell", "i", upto("as").alias("a"), "b", "id", "weight", "vec", F.lit(False).alias("left"))
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         a, b = rows[rows["left"]], rows[~rows["left"]]
@@ -159,10 +161,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
         return pd.DataFrame({"id": np.concatenate([ids_a[rows_on], ids_b[cols_on]]), "n": np.concatenate([n[rows_on], np.zeros(len(rb), dtype=np.int64)]), "root": np.concatenate([ra, rb])})
 
     found = written(left.unionByName(right).groupBy(*key).applyInPandas(block, "id long, n long, root long"), "linked")
-    near = found.groupBy("id").agg(F.sum("n").alias("n"))
-    released(shown, pairs)
+    linked = found.groupBy("id").agg(F.sum("n").alias("n"))
+    released(shown, near)
     reach = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    rooted = classes.select("id", "doc", "weight").join(near, "id", "left").join(reach, "id", "left").withColumn("root", F.coalesce("component", "id"))
+    rooted = classes.select("id", "doc", "weight").join(linked, "id", "left").join(reach, "id", "left").withColumn("root", F.coalesce("component", "id"))
     smallest = rooted.groupBy("root").agg(F.min("doc").alias("smallest"))
     by_class = rooted.join(smallest, "root").select(F.col("id").alias("__ql_class"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), "smallest")
     out = base.select("__ql_id", "__ql_class").join(by_class, "__ql_class", "left")

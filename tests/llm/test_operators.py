@@ -218,7 +218,8 @@ def test_pivots_and_rings_save_work(spark, monkeypatch):
     assert got == brute.near(rows)
     classes = df.selectExpr("vec_id AS id", "0L AS kind", "1L AS weight", "embedding AS vec")
     shown = metric_join._shown(classes, np.sqrt(2 - 2 * 0.93) + 1e-9, 600)
-    compared = metric_join._ring_pairs(shown).agg(F.sum(F.col("n_own") * F.col("n_all"))).first()[0]
+    monkeypatch.setattr(metric_join, "BLOCK", 16)
+    compared = metric_join._near_rings(shown)[1].agg(F.sum(F.col("n_own") * F.col("n_near"))).first()[0]
     assert compared < 0.25 * 600 * 600 and shown.count() < 4 * 600
 
 
