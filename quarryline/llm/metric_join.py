@@ -127,7 +127,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     ``component_id`` (the smallest id reachable, itself included) and ``kept`` (id = component_id).
     Equal vectors of a label are joined once and weigh what they count. Vectors that are null, zero,
     empty, or hold nulls or values that aren't finite, and rows without label, link with nothing.
-    Rows that repeat an id count as vectors of their own; other columns aren't read. Vectors of
+    Rows that repeat an id count as vectors of their own; a row without id links like any other, and
+    its component has the smallest id of the rest, or null if there is none. Other columns aren't read. Vectors of
     different lengths don't link. An empty table gives an empty one.
     """
     radius = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK

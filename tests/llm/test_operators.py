@@ -206,6 +206,15 @@ def test_metric_join(spark, monkeypatch, cell):
     assert metric_join.near_vectors(df.limit(0)).count() == 0
 
 
+def test_metric_join_of_odd_ids(spark):
+    """Null ids, rows that repeat an id, and equal vectors under several ids."""
+    v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(None, v, 1), (4, v, 1), (2, [0.99, 0.01, 0.0], 1), (7, w, 1), (7, w, 1), (None, [0.0, 0.0, 1.0], 1), (None, None, 1), (3, v, 2)]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "vec_id long, embedding array<double>, label int, n_links int")
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in metric_join.near_vectors(df).collect()))
+    assert got == [(0, 0, 0, True), (0, 0, 0, True), (0, 2, 2, False), (2, 2, 2, True), (3, 0, 3, True), (4, 2, 2, False), (7, 1, 7, True), (7, 1, 7, True)]
+
+
 def test_pivots_and_rings_save_work(spark, monkeypatch):
     """On vectors in clusters few of all pairs are compared, and what is found is the same."""
     monkeypatch.setattr(metric_join, "CELL", 20)
