@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_crf, line_dedup, metric_join, ngram_join, packing, piece_codec, quality_rules, secret_scan, style_tree
+from . import hard_negatives, license_scan, line_crf, line_dedup, metric_join, ngram_join, packing, piece_codec, quality_rules, secret_scan, segment_search, style_tree
 from .common import table
 
 
@@ -77,6 +77,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in base], F.sha2(secret_scan.span_list(own).cast("binary"), 256).alias("base_sha256"), secret_scan.span_list(F.col("secrets")).alias("spans"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = hard_negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), label, F.col("vec_id") % 100 == 0, positives=5, negatives=5, percent=80, scale=256.0)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op12_segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_search.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op5_piece_codec": op5_piece_codec,
@@ -89,6 +99,8 @@ QUERIES = {
     "op8_style_tree": op8_style_tree,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_segment_search": op12_segment_search,
 }
 
 #: The characters that separate words, as SQL.
@@ -184,3 +196,24 @@ FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id"""
 
 
 ORACLE_SQL["op10_secret_scan"] = _secret_sql()
+
+#: The rows that take part, as vectors of whole numbers.
+_GRID = """SELECT vec_id, label, list_transform(embedding, lambda y: floor(256 * y::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0"""
+_SCORE = "list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2]))::BIGINT"
+
+ORACLE_SQL["op11_hard_negatives"] = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, x FROM ({_GRID}) WHERE label IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, {_SCORE} AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5
+"""
+
+ORACLE_SQL["op12_segment_search"] = f"""
+WITH v AS ({_GRID})
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT a.vec_id AS query_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_SCORE} DESC, b.vec_id) AS rank, b.vec_id AS vec_id, {_SCORE} AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 5
+"""
