@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hard_negatives, license_scan, line_crf, line_dedup, metric_join, ngram_join, packing, piece_codec, quality_rules, secret_scan, segment_search, style_tree
+from . import hard_negatives, license_scan, line_crf, line_dedup, metric_join, ngram_join, packing, piece_codec, prefix_trie, quality_rules, secret_scan, segment_search, style_tree
 from .common import table
 
 
@@ -87,6 +87,10 @@ def op12_segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_search.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), family=20, most=4)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op5_piece_codec": op5_piece_codec,
@@ -101,6 +105,7 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_segment_search": op12_segment_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: The characters that separate words, as SQL.
@@ -217,3 +222,19 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
   SELECT a.vec_id AS query_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_SCORE} DESC, b.vec_id) AS rank, b.vec_id AS vec_id, {_SCORE} AS score
   FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 5
 """
+
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({s}, ''), lambda d: ascii(d)::BIGINT)), lambda c, b:
+  list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+
+ORACLE_SQL["op13_prefix_trie"] = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS key FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(key ORDER BY turn NULLS FIRST, key) AS ks, list(len(regexp_extract_all(text, '[^ 	-]+')) ORDER BY turn NULLS FIRST, key) AS ws, any_value({_CRC32.format(s="conv_id::VARCHAR")}) % 4 AS h FROM t GROUP BY conv_id),
+r AS (SELECT o.conv_id, list_concat(coalesce(b.ks, [])[1:o.h], o.ks[o.h + 1:]) AS ks, list_concat(coalesce(b.ws, [])[1:o.h], o.ws[o.h + 1:]) AS ws FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 20),
+m AS (SELECT conv_id, d, array_to_string(ks[1:d], ',') AS node, CASE WHEN d > 0 THEN array_to_string(ks[1:d - 1], ',') END AS parent, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS words, d = len(ks) AS last FROM (SELECT *, unnest(range(len(ks) + 1)) AS d FROM r)),
+n AS (SELECT node, d, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '') AS ends FROM m GROUP BY node, d),
+k AS (SELECT parent AS node, count(*) AS n_children FROM n GROUP BY parent),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node)),
+u AS (SELECT a AS d, CASE WHEN a = 0 THEN '' ELSE left(node, 33 * a - 1) END AS node, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * words) AS saved FROM (SELECT *, unnest(range(d + 1)) AS a FROM v) GROUP BY 1, 2)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, u.n_leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, sha256(v.ends) AS ends_sha256
+FROM v JOIN u ON v.node = u.node AND v.d = u.d LEFT JOIN v p ON v.parent = p.node AND p.d = v.d - 1
+"""

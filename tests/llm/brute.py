@@ -114,3 +114,33 @@ def measures(text):
     covered = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(3)}
     lines = [x for x in text.split("\n") if x.strip(BLANKS)]
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def prefix_trie(rows, family=20, most=4):
+    """rows: (conversation, turn, role, text). Gives the set of nodes' (conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256)."""
+    import zlib
+
+    key = lambda role, text: hashlib.md5(f"{len(role.encode())}:{role}{text}".encode()).hexdigest()
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, key(role or "", text or ""), role or "", text or ""))
+    own = {c: [t[3:] for t in sorted(ts)] for c, ts in own.items()}
+    rebuilt = {}
+    for c, ts in own.items():
+        h = zlib.crc32(str(c).encode()) % most
+        base = c - (abs(c) % family) * (1 if c >= 0 else -1)
+        rebuilt[c] = tuple(own.get(base, [])[:h] + ts[h:])
+    members = {}
+    for c, ts in rebuilt.items():
+        for d in range(len(ts) + 1):
+            members.setdefault(ts[:d], []).append(c)
+    out = set()
+    for node, cs in members.items():
+        below = [n for n in members if n[: len(node)] == node]
+        inner = {n[:-1] for n in members if n}
+        saved = sum((len(members[n]) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", n[-1][1])) for n in below if n)
+        ends = ",".join(str(c) for c in sorted(cs) if len(rebuilt[c]) == len(node))
+        kids = sum(len(n) == len(node) + 1 for n in below)
+        out.add((min(cs), len(node), min(members[node[:-1]]) if node else None, len(cs), kids, sum(n not in inner for n in below), saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return out

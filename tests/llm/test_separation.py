@@ -44,7 +44,7 @@ def test_the_rest_works_without_them(tmp_path):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_operators_match_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     ours, theirs = QUERIES[name](spark, SF).toPandas(), con.execute(ORACLE_SQL[name]).fetchdf()
     columns = sorted(ours.columns)
