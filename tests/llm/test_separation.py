@@ -46,8 +46,8 @@ def test_operators_match_their_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    ours, theirs = QUERIES[name](spark, SF).toPandas(), con.execute(ORACLE_SQL[name]).fetchdf()
-    columns = sorted(ours.columns)
-    assert columns == sorted(theirs.columns)
-    rows = lambda df: sorted(map(str, df[columns].astype(object).where(df[columns].notna(), None).itertuples(index=False, name=None)))
-    assert rows(ours) == rows(theirs)
+    ours, theirs = QUERIES[name](spark, SF), con.execute(ORACLE_SQL[name])
+    columns, named = sorted(ours.columns), [d[0] for d in theirs.description]
+    assert columns == sorted(named)
+    rows = lambda found: sorted(map(str, found))
+    assert rows(tuple(r[c] for c in columns) for r in ours.collect()) == rows(tuple(r[named.index(c)] for c in columns) for r in theirs.fetchall())
