@@ -8,10 +8,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..sources.shared import released, written
+
+
+#: A key with more rows than this is split into so many segments of its time; so many keys at most are split.
+ROWS, SEGMENTS, MOST_HOT = 1_000_000, 256, 1000
+
+
+def _split(events: DataFrame, key: str, ts: str, rows: int) -> tuple[DataFrame, bool]:
+    """Adds ``__ql_seg``, the segment of time of a key with more than ``rows`` rows (else 0), ``__ql_hot``, whether the key is split, and tells whether any is.
+
+    Segments end at quantiles of a key's times, so each has about as many rows; rows of one time stay
+    together, and rows without time are in the first. Beyond the MOST_HOT largest keys, none of which
+    has a MOST_HOT-th of all rows, keys stay whole.
+    """
+    sizes = events.groupBy(F.col(key).alias("__ql_key")).agg(F.count(F.lit(1)).alias("__ql_n"))
+    hot = written(sizes.where(F.col("__ql_n") > rows).orderBy(F.desc("__ql_n")).limit(MOST_HOT), "hot")
+    if not hot.head(1):
+        released(hot)
+        return events.withColumns({"__ql_seg": F.lit(0), "__ql_hot": F.lit(False)}), False
+    same = F.col(key).eqNullSafe(F.col("__ql_key"))
+    shares = [k / SEGMENTS for k in range(1, SEGMENTS)]
+    cuts = events.join(F.broadcast(hot), same).groupBy("__ql_key").agg(F.percentile_approx(ts, shares, 20 * SEGMENTS).alias("__ql_cuts"))
+    cuts = written(cuts.withColumn("__ql_hot", F.lit(True)), "cuts")  # MOST_HOT * SEGMENTS times at most
+    released(hot)
+    seg = F.greatest(F.coalesce(F.size(F.filter("__ql_cuts", lambda c: c < F.col(ts))), F.lit(0)), F.lit(0))
+    found = events.join(F.broadcast(cuts), same, "left").withColumn("__ql_seg", seg)
+    return found.withColumn("__ql_hot", F.coalesce("__ql_hot", F.lit(False))).drop("__ql_key", "__ql_cuts"), True
+
+
+def _summed(split: DataFrame, key: str, **made: Column) -> DataFrame:
+    """Each segment of the keys that are split, as what it does to a state: ``__ql_key``, ``__ql_at`` and the columns ``made``."""
+    return split.where("__ql_hot").groupBy(F.col(key).alias("__ql_key"), F.col("__ql_seg").alias("__ql_at")).agg(*[c.alias(name) for name, c in made.items()])
+
+
+def _entered(split: DataFrame, key: str, entries: DataFrame) -> DataFrame:
+    """Rows with the state at their segment's begin; null where a key isn't split. There are MOST_HOT * SEGMENTS entries at most."""
+    same = F.col(key).eqNullSafe(F.col("__ql_key")) & (F.col("__ql_seg") == F.col("__ql_at"))
+    return split.join(F.broadcast(entries), same, "left").drop("__ql_key", "__ql_at")
 
 
 def _ordered(key: str, ts: str, id_col: str):
-    return Window.partitionBy(key).orderBy(ts, id_col)
+    return Window.partitionBy(key, "__ql_seg").orderBy(ts, id_col)
+
+
+def _upto(window):
+    return window.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _segments():
+    return Window.partitionBy("__ql_key").orderBy("__ql_at")
+
+
+def _before(column: str) -> Column:
+    """The sum over a key's earlier segments."""
+    return F.coalesce(F.sum(column).over(_segments().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 def latest_preference(events: DataFrame, key: str, value: str, allowed: Sequence[str] | None, default: str, ts: str = "ts", id_col: str = "event_id") -> DataFrame:
@@ -23,39 +74,89 @@ def latest_preference(events: DataFrame, key: str, value: str, allowed: Sequence
     return events.groupBy(key).agg(F.coalesce(last, F.lit(default)).alias("preference"))
 
 
-def toggle_state(events: DataFrame, key: str, action: Column, first: str, second: str, ts: str = "ts", id_col: str = "event_id") -> DataFrame:
-    """Adds ``state`` after each event: it starts as ``first`` and flips at each action."""
-    flips = F.sum(F.when(action, 1).otherwise(0)).over(_ordered(key, ts, id_col).rowsBetween(Window.unboundedPreceding, 0))
-    return events.withColumn("state", F.when(flips % 2 == 0, first).otherwise(second))
-
-
-def exclusive_toggle(events: DataFrame, key: str, item: str, initial: str | None = None, ts: str = "ts", id_col: str = "event_id") -> DataFrame:
-    """Adds ``open_item`` after each event: acting on an item opens it and closes any other; acting on the open one closes it. Events without item don't act and are left out."""
-    w = _ordered(key, ts, id_col)
-    acts = events.where(F.col(item).isNotNull())
-    before = F.lag(item).over(w)
-    runs = acts.withColumn("__ql_run", F.sum(F.when(before.isNull() | (before == F.col(item)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.row_number().over(Window.partitionBy(key, "__ql_run").orderBy(ts, id_col))
-    if initial is not None:
-        place = place + F.when((F.col("__ql_run") == 0) & (F.col(item) == initial), 1).otherwise(0)
-    return runs.withColumn("open_item", F.when(place % 2 == 1, F.col(item))).drop("__ql_run")
+def toggle_state(events: DataFrame, key: str, action: Column, first: str, second: str, ts: str = "ts", id_col: str = "event_id", rows: int = ROWS) -> DataFrame:
+    """Adds ``state`` after each event: it starts as ``first`` and flips at each action.
 
+    Keys with more than ``rows`` rows are split by time: a segment's flips are counted, summed up over
+    the segments before, and all segments are then gone through side by side.
+    """
+    split, hot = _split(events.withColumn("__ql_act", F.when(action, 1).otherwise(0)), key, ts, rows)
+    flips = F.sum("__ql_act").over(_upto(_ordered(key, ts, id_col)))
+    if hot:
+        split = _entered(split, key, _summed(split, key, __ql_n=F.sum("__ql_act")).select("__ql_key", "__ql_at", _before("__ql_n").alias("__ql_flips")))
+        flips = flips + F.coalesce("__ql_flips", F.lit(0))
+    return split.withColumn("state", F.when(flips % 2 == 0, first).otherwise(second)).select(*events.columns, "state")
 
-def first_per_session(events: DataFrame, key: str, gap: str = "30 minutes", ts: str = "ts", id_col: str = "event_id") -> DataFrame:
-    """Adds ``session`` (from 0) and ``mode``: full for a session's first event, instant for later ones. A pause of ``gap`` or more ends a session."""
-    w = _ordered(key, ts, id_col)
-    new = F.col(ts) >= F.lag(ts).over(w) + F.expr(f"INTERVAL {gap}")
-    split = events.withColumn("session", F.sum(F.when(new, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return split.withColumn("mode", F.when(F.row_number().over(Window.partitionBy(key, "session").orderBy(ts, id_col)) == 1, "full").otherwise("instant"))
 
+def exclusive_toggle(events: DataFrame, key: str, item: str, initial: str | None = None, ts: str = "ts", id_col: str = "event_id", rows: int = ROWS) -> DataFrame:
+    """Adds ``open_item`` after each event: acting on an item opens it and closes any other; acting on the open one closes it. Events without item don't act and are left out.
 
-def threshold_cross(events: DataFrame, key: str, value: str, cut: float, ts: str = "ts", id_col: str = "event_id") -> DataFrame:
-    """Adds ``above`` (strictly), ``crossing`` (above now and not before) and ``first_crossing`` of the key's events. A null value is not above."""
+    Keys with more than ``rows`` rows are split by time. What a segment of one item does depends on
+    whether that item is open before; after more than one item only the last run of equal ones counts.
+    """
+    split, hot = _split(events.where(F.col(item).isNotNull()), key, ts, rows)
     w = _ordered(key, ts, id_col)
-    flagged = events.withColumn("above", F.coalesce(F.col(value) > cut, F.lit(False)))
-    crossed = flagged.withColumn("crossing", F.col("above") & ~F.coalesce(F.lag("above").over(w), F.lit(False)))
-    count = F.sum(F.col("crossing").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return crossed.withColumn("first_crossing", F.col("crossing") & (count == 1))
+    before = F.lag(item).over(w)
+    split = split.withColumn("__ql_run", F.sum(F.when(before.isNull() | (before == F.col(item)), 0).otherwise(1)).over(_upto(w)))
+    split = split.withColumn("__ql_place", F.row_number().over(Window.partitionBy(key, "__ql_seg", "__ql_run").orderBy(ts, id_col)))
+    opened = (F.col(item) == F.lit(initial)) if initial is not None else F.lit(False)
+    if hot:
+        order = F.struct(ts, id_col)
+        ends = _summed(split, key, __ql_item=F.max_by(item, order), __ql_odd=F.max_by("__ql_place", order) % 2, __ql_single=F.max("__ql_run") == 0)
+        earlier = F.lag("__ql_item").over(_segments())
+        goes_on = F.col("__ql_single") & F.coalesce(earlier == F.col("__ql_item"), F.lit(False))
+        ends = ends.withColumn("__ql_first", F.lag("__ql_at").over(_segments()).isNull()).withColumn("__ql_chain", F.sum(F.when(goes_on, 0).otherwise(1)).over(_upto(_segments())))
+        from_start = F.when(F.col("__ql_first") & F.col("__ql_single") & F.coalesce(F.col("__ql_item") == F.lit(initial), F.lit(False)), 1).otherwise(0)
+        ends = ends.withColumn("__ql_open", F.sum(F.col("__ql_odd") + from_start).over(_upto(Window.partitionBy("__ql_key", "__ql_chain").orderBy("__ql_at"))) % 2 == 1)
+        ends = ends.select("__ql_key", "__ql_at", "__ql_first", F.when(F.lag("__ql_open").over(_segments()), earlier).alias("__ql_entry"))
+        split = _entered(split, key, ends)
+        opened = F.when(F.coalesce("__ql_first", F.lit(True)), opened).otherwise(F.coalesce(F.col("__ql_entry") == F.col(item), F.lit(False)))
+    place = F.col("__ql_place") + F.when((F.col("__ql_run") == 0) & opened, 1).otherwise(0)
+    return split.withColumn("open_item", F.when(place % 2 == 1, F.col(item))).select(*events.columns, "open_item")
+
+
+def first_per_session(events: DataFrame, key: str, gap: str = "30 minutes", ts: str = "ts", id_col: str = "event_id", rows: int = ROWS) -> DataFrame:
+    """Adds ``session`` (from 0) and ``mode``: full for a session's first event, instant for later ones. A pause of ``gap`` or more ends a session.
+
+    Keys with more than ``rows`` rows are split by time; a segment gets the time of the last event
+    before it and the number of sessions begun until then.
+    """
+    split, hot = _split(events, key, ts, rows)
+    w, pause = _ordered(key, ts, id_col), F.expr(f"INTERVAL {gap}")
+    split = split.withColumn("__ql_last", F.lag(ts).over(w)).withColumn("__ql_top", F.row_number().over(w) == 1)
+    carried = F.lit(0)
+    if hot:
+        sums = _summed(split, key, __ql_from=F.min(ts), __ql_to=F.max(ts), __ql_n=F.sum(F.when(F.col(ts) >= F.col("__ql_last") + pause, 1).otherwise(0)))
+        sums = sums.withColumn("__ql_before", F.lag("__ql_to").over(_segments())).withColumn("__ql_later", F.lag("__ql_at").over(_segments()).isNotNull())
+        sums = sums.withColumn("__ql_n", F.col("__ql_n") + F.when(F.col("__ql_from") >= F.col("__ql_before") + pause, 1).otherwise(0))
+        split = _entered(split, key, sums.select("__ql_key", "__ql_at", "__ql_before", "__ql_later", _before("__ql_n").alias("__ql_sessions")))
+        split = split.withColumn("__ql_last", F.coalesce("__ql_last", "__ql_before")).withColumn("__ql_top", F.col("__ql_top") & ~F.coalesce("__ql_later", F.lit(False)))
+        carried = F.coalesce("__ql_sessions", F.lit(0))
+    new = F.coalesce(F.col(ts) >= F.col("__ql_last") + pause, F.lit(False))
+    found = split.withColumn("__ql_new", new).withColumn("session", F.sum(F.col("__ql_new").cast("int")).over(_upto(w)) + carried)
+    return found.withColumn("mode", F.when(F.col("__ql_new") | F.col("__ql_top"), "full").otherwise("instant")).select(*events.columns, "session", "mode")
+
+
+def threshold_cross(events: DataFrame, key: str, value: str, cut: float, ts: str = "ts", id_col: str = "event_id", rows: int = ROWS) -> DataFrame:
+    """Adds ``above`` (strictly), ``crossing`` (above now and not before) and ``first_crossing`` of the key's events. A null value is not above.
+
+    Keys with more than ``rows`` rows are split by time; a segment gets whether the event before it
+    was above, and the number of crossings until then.
+    """
+    split, hot = _split(events.withColumn("above", F.coalesce(F.col(value) > cut, F.lit(False))), key, ts, rows)
+    w, order = _ordered(key, ts, id_col), F.struct(ts, id_col)
+    split = split.withColumn("__ql_was", F.lag("above").over(w))
+    carried = F.lit(0)
+    if hot:
+        sums = _summed(split, key, __ql_from=F.min_by("above", order), __ql_to=F.max_by("above", order), __ql_n=F.sum((F.col("above") & ~F.coalesce("__ql_was", F.lit(False))).cast("int")))
+        sums = sums.withColumn("__ql_before", F.lag("__ql_to").over(_segments()))
+        sums = sums.withColumn("__ql_n", F.col("__ql_n") - (F.col("__ql_from") & F.coalesce("__ql_before", F.lit(False))).cast("int"))
+        split = _entered(split, key, sums.select("__ql_key", "__ql_at", "__ql_before", _before("__ql_n").alias("__ql_crossed")))
+        split = split.withColumn("__ql_was", F.coalesce("__ql_was", "__ql_before"))
+        carried = F.coalesce("__ql_crossed", F.lit(0))
+    crossed = split.withColumn("crossing", F.col("above") & ~F.coalesce("__ql_was", F.lit(False)))
+    count = F.sum(F.col("crossing").cast("int")).over(_upto(w)) + carried
+    return crossed.withColumn("first_crossing", F.col("crossing") & (count == 1)).select(*[c for c in events.columns if c not in ("above", "crossing", "first_crossing")], "above", "crossing", "first_crossing")
 
 
 def ring_nav(df: DataFrame, group: str, order: str, name: str) -> DataFrame:

@@ -1,0 +1,85 @@
+"""Keys with very many rows, gone through in many tasks."""
+
+import datetime
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarryline.operators import sequence
+
+START = datetime.datetime(2024, 1, 1)
+
+
+def events(seed, n=900):
+    """One key with most rows, others with few; ties of time, rows without time, key, item or value."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        key = 1 if r.random() < 0.6 else r.choice([2, 3, 4, None])
+        at = START + datetime.timedelta(minutes=r.choice([r.randrange(20_000), 5000, 5001, 5040]))
+        rows.append((key, None if r.random() < 0.02 else at, i, r.choice("aaab" if r.random() < 0.8 else "abc") if r.random() < 0.95 else None, r.choice([None, 10.0, 29.0, 31.0, 50.0]), i, "x"))
+    return rows
+
+
+def machine(rows, initial):
+    """Every job's results by going through each key's events in order."""
+    out, keys = {}, {}
+    for row in sorted(rows, key=lambda x: (x[1] is not None, x[1] or START, x[2])):
+        keys.setdefault(row[0], []).append(row)
+    for own in keys.values():
+        flips, item, last, session, above, crossed = 0, initial, None, 0, False, False
+        for k, (_, at, i, what, value, *_) in enumerate(own):
+            flips += what == "a"
+            if what is not None:
+                item = None if item == what else what
+            new = last is not None and at is not None and at - last >= datetime.timedelta(minutes=30)
+            session += new
+            up = value is not None and value > 30
+            crossing = up and not above
+            out[i] = ("on" if flips % 2 else "off", (item,) if what is not None else None, session, "full" if new or k == 0 else "instant", up, crossing, crossing and not crossed)
+            last, above, crossed = at, up, crossed or crossing
+    return out
+
+
+@pytest.mark.parametrize("rows, seed, initial", [(100, 1, None), (100, 2, "a"), (5, 3, "b"), (10**6, 1, "a")])
+def test_segments_give_the_same_rows(spark, monkeypatch, rows, seed, initial):
+    monkeypatch.setattr(sequence, "SEGMENTS", 16)
+    data = events(seed)
+    df = spark.createDataFrame(data, "k long, ts timestamp_ntz, event_id long, item string, value double, session long, state string").repartition(4)
+    want = machine(data, initial)
+    got = {r.event_id: r.state for r in sequence.toggle_state(df, "k", F.col("item") == "a", "off", "on", rows=rows).collect()}
+    assert got == {i: w[0] for i, w in want.items()}
+    got = {r.event_id: (r.open_item,) for r in sequence.exclusive_toggle(df, "k", "item", initial, rows=rows).collect()}
+    assert got == {i: w[1] for i, w in want.items() if w[1]}
+    got = {r.event_id: (r.session, r["mode"]) for r in sequence.first_per_session(df.drop("session"), "k", rows=rows).collect()}
+    assert got == {i: w[2:4] for i, w in want.items()}
+    got = {r.event_id: (r.above, r.crossing, r.first_crossing) for r in sequence.threshold_cross(df, "k", "value", 30.0, rows=rows).collect()}
+    assert got == {i: w[4:] for i, w in want.items()}
+
+
+def test_runs_of_one_item_over_many_segments(spark, monkeypatch):
+    monkeypatch.setattr(sequence, "SEGMENTS", 8)
+    for pattern in ("a" * 41, "a" * 20 + "b" * 21, "ab" * 20, "a" * 13 + "c" + "a" * 27):
+        for initial in (None, "a", "b"):
+            data = [(1, START + datetime.timedelta(hours=i), i, x, None, i, "") for i, x in enumerate(pattern)]
+            df = spark.createDataFrame(data, "k long, ts timestamp_ntz, event_id long, item string, value double, n long, s string")
+            got = {r.event_id: r.open_item for r in sequence.exclusive_toggle(df, "k", "item", initial, rows=10).collect()}
+            assert got == {i: w[1][0] for i, w in machine(data, initial).items()}
+
+
+def test_a_key_is_in_many_tasks(spark, monkeypatch):
+    """The rows of one key, split at quantiles, are dealt to more than one task, and each task has but a part of them."""
+    monkeypatch.setattr(sequence, "SEGMENTS", 32)
+    n = 4000
+    df = spark.range(n).select(F.lit(7).alias("k"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("event_id"), F.lit("a").alias("item"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        out = sequence.toggle_state(df, "k", F.col("item") == "a", "off", "on", rows=500)
+        tasks = out.groupBy(F.spark_partition_id().alias("task"), "state").count().groupBy("task").agg(F.sum("count").alias("n")).collect()
+        assert sum(r.n for r in tasks) == n and len(tasks) > 6 and max(r.n for r in tasks) < n / 3
+        assert out.where((F.col("event_id") % 2 == 0) != (F.col("state") == "on")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
