@@ -1,12 +1,18 @@
 """Streaming forms of the jobs that keep state.
 
-Rows of a micro-batch are taken in order of time, then id; a row without time comes before all
-others, as in the batch jobs. A row older than the last one its key has applied comes too late: it
-is returned with ``late`` true and no result, and changes nothing. Within order, results are those of
-the batch jobs. Rows without key are left out. With ``expire``, a key's state is forgotten once
-event time has moved on by so much; rows later than that are dropped by the watermark.
-
-A key's rows of one micro-batch are in one task's memory, so ``files_per_trigger`` bounds them.
+With ``delay``, rows are applied in order of event time, then id, whatever their order of arrival: a
+row waits in its key's state until the watermark, which stands ``delay`` behind the latest time seen,
+has passed it. Results are then those of the batch jobs; only rows behind the watermark on arrival
+are too late, and are dropped and counted by Spark. Waiting rows are on disk, in RocksDB; a key's
+rows that fall due together are sorted in one task. A row without time goes before all that wait.
+
+Without ``delay``, rows are applied as they arrive, those of a micro-batch in order; a row without
+time comes first. A row older than the last one its key has applied comes too late: it is returned
+with ``late`` true and no result, and changes nothing. A key's rows of one micro-batch are in one
+task's memory, so ``files_per_trigger`` bounds them.
+
+Rows without key are left out. With ``expire``, a key's state is forgotten once event time has moved
+on by so much.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.shared import delete, shared_folder
@@ -31,16 +38,102 @@ def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
     reader = spark.readStream.schema(table.schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    if any(f.rstrip("/").endswith(f"/{name}.parquet") for f in table.inputFiles()[:1]):
+    # One file of that name, or a folder of files with names of their own.
+    first = table.select(F.input_file_name().alias("f")).head()
+    if first and first["f"].rstrip("/").endswith(f"/{name}.parquet"):
         stream = reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
     else:
         stream = reader.parquet(path)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _keyed(events: DataFrame, key: str, ts: str, id_col: str, value: str, result: str, state: str, start: tuple, step: Callable, expire: str | None) -> DataFrame:
-    """Applies ``step(state, value, time) -> (state, result)`` to each key's rows in order; result rows are key, id, the columns of ``result`` and ``late``. Times are microseconds, or None."""
+class _Waiting(StatefulProcessor):
+    """Holds a key's rows until the watermark has passed them, then applies ``step`` to them in order."""
+
+    def __init__(self, id_kind: str, value_kind: str, state: str, start: tuple, step: Callable, columns: list[str], expire: str | None, needed: bool):
+        self.schemas = f"at long, id {id_kind}, value {value_kind}", f"last long, {state}"
+        self.start, self.step, self.columns, self.needed = start, step, columns, needed
+        self.keep = int(pd.Timedelta(expire).total_seconds() * 1000) if expire else None
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.rows, self.now = handle.getListState("rows", self.schemas[0]), handle.getValueState("now", self.schemas[1])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for df in rows:
+            df = df.set_axis(["__ql_key", "__ql_ts", "__ql_id", "__ql_value"], axis=1)  # names may be lost on the way
+            # The clock's rows have no key; they may not be left out any earlier, or event time would not move on.
+            df = df[df["__ql_value"].notna()] if self.needed else df
+            if pd.isna(key[0]) or not len(df):
+                continue
+            at = [_NO_TIME if pd.isna(t) else t.value // 1000 for t in df["__ql_ts"]]
+            plain = lambda v: None if pd.isna(v) else v.item() if hasattr(v, "item") else v
+            found = list(zip(at, map(plain, df["__ql_id"]), map(plain, df["__ql_value"]), strict=True))
+            self.rows.appendList(found)
+            first = min(at) if first is None else min(first, *at)
+        if first is not None:
+            self.handle.registerTimer(max(0, -(-first // 1000)))
+        yield pd.DataFrame(columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        due, rest = [], []
+        for row in self.rows.get():
+            (due if row[0] <= mark * 1000 else rest).append(row)
+        last, *now = self.now.get() if self.now.exists() else (None, *self.start)
+        now, out = tuple(now), []
+        for at, i, value in sorted(due, key=lambda r: (r[0], r[1] is not None, r[1])):
+            now, found = self.step(now, value, None if at == _NO_TIME else at)
+            last = at
+            out.append((key[0], i, *found))
+        if due:
+            self.rows.put(rest) if rest else self.rows.clear()
+            self.now.update((last, *now))
+        if rest:
+            self.handle.registerTimer(max(0, -(-min(r[0] for r in rest) // 1000)))
+        elif self.keep is not None and last is not None:
+            end = max(last, 0) // 1000 + self.keep
+            self.handle.registerTimer(end) if end > mark else self.now.clear()
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(events: DataFrame, key: str, ts: str, id_col: str, value: str, result: str, state: str, start: tuple, step: Callable, expire: str | None, delay: str, needed: bool) -> DataFrame:
+    """As ``_keyed``, in order of event time; result rows are key, id and the columns of ``result``."""
+    names, kinds = [c.strip().split(" ")[0] for c in result.split(",")], dict(events.dtypes)
+    slim = events.withWatermark(ts, delay).select(F.col(key).alias("__ql_key"), F.col(ts).alias("__ql_ts"), F.col(id_col).alias("__ql_id"), F.col(value).alias("__ql_value"))
+    held = _Waiting(kinds[id_col], kinds[value], state, start, step, ["__ql_key", "__ql_id", *names], expire, needed)
+    made = slim.groupBy("__ql_key").transformWithStateInPandas(held, f"__ql_key {kinds[key]}, __ql_id {kinds[id_col]}, {result}", "Append", "EventTime")
+    return made.select(F.col("__ql_key").alias(key), F.col("__ql_id").alias(id_col), *names)
+
+
+class Clock:
+    """Rows of time alone, beside a stream's own: they let event time move on where no more rows come, so that all that waits falls due."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.place, self.schema, self.ts = spark, f"{shared_folder(spark)}/streams/clock-{uuid.uuid4().hex}", None, None
+
+    def beside(self, events: DataFrame, ts: str = "ts") -> DataFrame:
+        """``events`` with the clock's rows, in which all but ``ts`` is null."""
+        self.schema, self.ts = events.schema, ts
+        self.spark.createDataFrame([], self.schema).write.parquet(self.place)
+        return events.unionByName(self.spark.readStream.schema(self.schema).parquet(self.place))
+
+    def stop(self) -> None:
+        """Moves event time beyond all rows."""
+        at = lambda f: F.lit("2262-01-01" if f.name == self.ts else None).cast(f.dataType).alias(f.name)
+        self.spark.range(1).select(*[at(f) for f in self.schema]).write.mode("append").parquet(self.place)
+
+
+def _keyed(events: DataFrame, key: str, ts: str, id_col: str, value: str, result: str, state: str, start: tuple, step: Callable, expire: str | None, delay: str | None, needed: bool = False) -> DataFrame:
+    """Applies ``step(state, value, time) -> (state, result)`` to each key's rows in order, if ``needed`` to those with a value; result rows are key, id, the columns of ``result`` and ``late``. Times are microseconds, or None."""
     names = [c.strip().split(" ")[0] for c in result.split(",")]
+    if delay:
+        return _in_order(events, key, ts, id_col, value, result, state, start, step, expire, delay, needed)
+    events = events.where(F.col(value).isNotNull()) if needed else events
     columns = ["__ql_key", "__ql_id", *names, "late"]
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
@@ -71,27 +164,27 @@ def _keyed(events: DataFrame, key: str, ts: str, id_col: str, value: str, result
     return made.select(F.col("__ql_key").alias(key), F.col("__ql_id").alias(id_col), *names, "late")
 
 
-def toggle_stream(events: DataFrame, key: str, action: str, on: str, first: str, second: str, ts: str = "ts", id_col: str = "event_id", expire: str | None = None) -> DataFrame:
+def toggle_stream(events: DataFrame, key: str, action: str, on: str, first: str, second: str, ts: str = "ts", id_col: str = "event_id", expire: str | None = None, delay: str | None = None) -> DataFrame:
     """``state`` after each event; it flips where column ``action`` is ``on``."""
 
     def step(now, value, _):
         flips = (now[0] + (value == on)) % 2
         return (flips,), (second if flips else first,)
 
-    return _keyed(events, key, ts, id_col, action, "state string", "flips int", (0,), step, expire)
+    return _keyed(events, key, ts, id_col, action, "state string", "flips int", (0,), step, expire, delay)
 
 
-def exclusive_stream(events: DataFrame, key: str, item: str, initial: str | None = None, ts: str = "ts", id_col: str = "event_id", expire: str | None = None) -> DataFrame:
+def exclusive_stream(events: DataFrame, key: str, item: str, initial: str | None = None, ts: str = "ts", id_col: str = "event_id", expire: str | None = None, delay: str | None = None) -> DataFrame:
     """``open_item`` after each event that has an item."""
 
     def step(now, value, _):
         item_now = None if now[0] == value else value
         return (item_now,), (item_now,)
 
-    return _keyed(events.where(F.col(item).isNotNull()), key, ts, id_col, item, "open_item string", "open_item string", (initial,), step, expire)
+    return _keyed(events, key, ts, id_col, item, "open_item string", "open_item string", (initial,), step, expire, delay, True)
 
 
-def session_stream(events: DataFrame, key: str, gap: str = "30 minutes", ts: str = "ts", id_col: str = "event_id", expire: str | None = None) -> DataFrame:
+def session_stream(events: DataFrame, key: str, gap: str = "30 minutes", ts: str = "ts", id_col: str = "event_id", expire: str | None = None, delay: str | None = None) -> DataFrame:
     """``session`` and ``mode`` of each event: full for a session's first one, instant for later ones."""
     pause = int(pd.Timedelta(gap).total_seconds() * 1_000_000)
 
@@ -102,10 +195,10 @@ def session_stream(events: DataFrame, key: str, gap: str = "30 minutes", ts: str
             session += 1
         return (session, time), (session, "full" if new else "instant")
 
-    return _keyed(events, key, ts, id_col, id_col, "session long, mode string", "session long, before long", (-1, None), step, expire)
+    return _keyed(events, key, ts, id_col, id_col, "session long, mode string", "session long, before long", (-1, None), step, expire, delay)
 
 
-def cross_stream(events: DataFrame, key: str, value: str, cut: float, ts: str = "ts", id_col: str = "event_id", expire: str | None = None) -> DataFrame:
+def cross_stream(events: DataFrame, key: str, value: str, cut: float, ts: str = "ts", id_col: str = "event_id", expire: str | None = None, delay: str | None = None) -> DataFrame:
     """``above`` (strictly), ``crossing`` (above now and not before) and ``first_crossing`` of each event; a null value is not above."""
 
     def step(now, x, _):
@@ -114,10 +207,10 @@ def cross_stream(events: DataFrame, key: str, value: str, cut: float, ts: str =
         crossing = above and not before
         return (above, crossed or crossing), (above, crossing, crossing and not crossed)
 
-    return _keyed(events, key, ts, id_col, value, "above boolean, crossing boolean, first_crossing boolean", "before boolean, crossed boolean", (False, False), step, expire)
+    return _keyed(events, key, ts, id_col, value, "above boolean, crossing boolean, first_crossing boolean", "before boolean, crossed boolean", (False, False), step, expire, delay)
 
 
-def ema_stream(events: DataFrame, key: str, value: str, alpha: float = 0.2, init: float | None = None, ts: str = "ts", id_col: str = "event_id", expire: str | None = None) -> DataFrame:
+def ema_stream(events: DataFrame, key: str, value: str, alpha: float = 0.2, init: float | None = None, ts: str = "ts", id_col: str = "event_id", expire: str | None = None, delay: str | None = None) -> DataFrame:
     """``ema`` after each event with a value."""
 
     def step(now, x, _):
@@ -125,7 +218,7 @@ def ema_stream(events: DataFrame, key: str, value: str, alpha: float = 0.2, init
         r = float(x) if r is None else r + (x - r) * alpha
         return (r,), (r,)
 
-    return _keyed(events.where(F.col(value).isNotNull()), key, ts, id_col, value, "ema double", "r double", (init,), step, expire)
+    return _keyed(events, key, ts, id_col, value, "ema double", "r double", (init,), step, expire, delay, True)
 
 
 def first_stream(events: DataFrame, key: str, ts: str = "ts", delay: str = "30 minutes") -> DataFrame:
@@ -133,15 +226,26 @@ def first_stream(events: DataFrame, key: str, ts: str = "ts", delay: str = "30 m
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs ``stream`` over all that is there and gives what it wrote, in the folder that all machines share. The checkpoint is deleted at the end."""
+def drained(stream: DataFrame, mode: str = "append", clock: Clock | None = None) -> DataFrame:
+    """Runs ``stream`` over all that is there and gives what it wrote, in the folder that all machines share. With a ``clock`` the stream runs on until nothing waits any more. The checkpoint is deleted at the end."""
     spark = stream.sparkSession
     place = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
-    writer = stream.writeStream.option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", f"{place}/out").start()
-    else:
-        query = writer.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{place}/out")).start()
-    query.awaitTermination()
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for again in (False, True) if clock else (False,):
+            if again:
+                clock.stop()
+            writer = stream.writeStream.option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
+            if mode == "append":
+                query = writer.format("parquet").option("path", f"{place}/out").start()
+            else:
+                query = writer.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{place}/out")).start()
+            query.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
     delete(spark, f"{place}/state")
+    if clock:
+        delete(spark, clock.place)
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
