@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,15 +47,20 @@ def extract_pairs(pages: DataFrame, tag: str, attr: str, id_col: str = "page_id"
     return pages.select(id_col, F.posexplode(both).alias("pos", "pair")).select(id_col, "pos", F.col("pair.value").alias("value"), F.col("pair.content").alias("content"))
 
 
+#: Elements without content.
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
+
 class _Pairs(HTMLParser):
-    """Elements with an attribute, markup inside included; an element within another names it as its parent."""
+    """Elements with an attribute, markup inside included; an element within another names it as its parent. One way through the source, whatever is left open."""
 
     def __init__(self, attr: str, source: str):
         super().__init__(convert_charrefs=False)
-        self.attr, self.source, self.rows, self.open = attr, source, [], []
-        self.lines = [0]
-        for line in source.splitlines(keepends=True):
-            self.lines.append(self.lines[-1] + len(line))
+        self.attr, self.source, self.rows = attr, source, []
+        self.open: list[tuple[str, dict | None]] = []
+        self.often: Counter[str] = Counter()  # of the open elements' names
+        self.above: list[dict] = []  # the open elements that have the attribute
+        self.lines = [0, *accumulate(len(line) + 1 for line in source.split("\n"))]
 
     def place(self) -> int:
         line, column = self.getpos()
@@ -63,11 +70,13 @@ class _Pairs(HTMLParser):
         value = dict(attrs).get(self.attr)
         row = None
         if value is not None:
-            above = next((r for _, r in reversed(self.open) if r is not None), None)
-            row = {"pos": len(self.rows), "tag": tag, "value": value, "parent_pos": above["pos"] if above else None, "start": self.place() + len(self.get_starttag_text()), "content": None}
+            row = {"pos": len(self.rows), "tag": tag, "value": value, "parent_pos": self.above[-1]["pos"] if self.above else None, "start": self.place() + len(self.get_starttag_text()), "content": "" if tag in _VOID else None}
             self.rows.append(row)
-        if tag not in ("br", "img", "input", "hr", "meta", "link"):
+        if tag not in _VOID:
             self.open.append((tag, row))
+            self.often[tag] += 1
+            if row:
+                self.above.append(row)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -75,17 +84,18 @@ class _Pairs(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if any(t == tag for t, _ in self.open):
-            while True:
-                name, row = self.open.pop()
-                if row is not None:
-                    row["content"] = self.source[row["start"] : max(row["start"], self.place())]
-                if name == tag:
-                    return
+        while self.often[tag]:
+            name, row = self.open.pop()
+            self.often[name] -= 1
+            if row is not None:
+                self.above.pop()
+                row["content"] = self.source[row["start"] : max(row["start"], self.place())]
+            if name == tag:
+                return
 
 
 def nested_pairs(pages: DataFrame, attr: str, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Every element with ``attr``, whatever markup is in it: id, pos, tag, value (references decoded), content (markup kept), parent_pos. Null html gives no rows; an element never closed goes on to the end."""
+    """Every element with ``attr``, whatever markup is in it: id, pos, tag, value (references decoded), content (markup kept), parent_pos. Null html gives no rows; an element never closed goes on to the end, one that can't have content (img, input ...) has none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
@@ -166,32 +176,36 @@ def missing_targets(links: DataFrame, targets: DataFrame, path: str) -> DataFram
 
 
 def price_with_tax(df: DataFrame, text: str, rate: float = 0.15) -> DataFrame:
-    """Adds net, tax and gross (two decimals), and whether the price is for a month; a text without a price gives nulls."""
-    digits = F.replace(F.regexp_extract(F.col(text), r"([0-9][0-9,]*(?:\.[0-9]+)?)", 1), F.lit(","), F.lit(""))
-    net = digits.try_cast("decimal(12,2)")
-    tax = F.round(net * F.lit(rate).cast("decimal(4,2)"), 2).cast("decimal(12,2)")
-    return df.withColumn("net", net).withColumn("tax", tax).withColumn("gross", (net + tax).cast("decimal(13,2)")).withColumn("monthly", F.regexp_like(F.col(text), F.lit("/ *(شهري|month)")))
+    """Adds net, tax and gross (two decimals), and whether the price is for a month. A minus before the number, at the text's begin or after a space, counts; a text without a price, or with one of more than 20 digits before the point, gives nulls."""
+    digits = F.replace(F.regexp_extract(F.col(text), r"((?:(?<!\S)[-\u2212])?[0-9][0-9,]*(?:\.[0-9]+)?)", 1), F.lit(","), F.lit(""))
+    net = F.replace(digits, F.lit("\u2212"), F.lit("-")).try_cast("decimal(22,2)")
+    tax = F.round(net * F.lit(rate).cast("decimal(4,2)"), 2).cast("decimal(22,2)")
+    return df.withColumn("net", net).withColumn("tax", tax).withColumn("gross", (net + tax).cast("decimal(23,2)")).withColumn("monthly", F.regexp_like(F.col(text), F.lit("/ *(شهري|month)")))
 
 
 def expand_tiers(own: DataFrame, includes: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Features of each tier, its own and those of all tiers it includes, directly or through others; those the tier itself excludes are left out.
+    """Features of each tier: its own and all that the tiers it includes have, but for those it excludes.
 
-    ``own`` (tier, feature), ``includes`` (tier, part), ``excluded`` (tier, feature). Inclusion is
-    followed until nothing new is reached, in a number of rounds logarithmic in the longest chain;
-    cycles are harmless. Rows with a null name nothing, repeated rows count once, and empty tables
-    give what is left.
+    What a tier excludes it hasn't got, so a tier that includes it doesn't get that from it either,
+    though it may from elsewhere. ``own`` (tier, feature), ``includes`` (tier, part), ``excluded``
+    (tier, feature). Each round hands on what the round before has found new, as many rounds as the
+    longest chain that still brings something; cycles are harmless. Rows with a null name nothing,
+    repeated rows count once, and empty tables give what is left.
     """
     known = lambda df, *names: df.select(*names).dropna().distinct()
-    reach = written(known(includes, "tier", "part"), "reach")
-    n = reach.count()
-    while n:
-        further = reach.join(reach.select(F.col("tier").alias("part"), F.col("part").alias("next")), "part").select("tier", F.col("next").alias("part"))
-        before, reach = reach, written(reach.unionByName(further).distinct(), "reach")
-        released(before)
-        more = reach.count()
-        if more == n:
-            break
-        n = more
-    features = known(own, "tier", "feature")
-    below = reach.join(features.select(F.col("tier").alias("part"), "feature"), "part").select("tier", "feature")
-    return features.unionByName(below).distinct().join(known(excluded, "tier", "feature"), ["tier", "feature"], "left_anti")
+    upward = written(known(includes, "tier", "part").select(F.col("tier").alias("__ql_up"), F.col("part").alias("tier")), "includes")
+    barred = written(known(excluded, "tier", "feature"), "excluded")
+    new = written(known(own, "tier", "feature").join(barred, ["tier", "feature"], "left_anti"), "features")
+    found, rounds = new, [new]
+    while new.head(1):
+        reached = new.join(upward, "tier").select(F.col("__ql_up").alias("tier"), "feature").distinct()
+        new = written(reached.join(barred, ["tier", "feature"], "left_anti").join(found, ["tier", "feature"], "left_anti"), "features")
+        rounds.append(new)
+        if len(rounds) < 16:
+            found = found.unionByName(new)
+        else:  # many small tables become one
+            found = written(found.unionByName(new), "features")
+            released(*rounds[:-1])
+            rounds = [found, new]
+    released(upward, barred)
+    return found

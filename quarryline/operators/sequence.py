@@ -176,6 +176,24 @@ def rotation_slot(events: DataFrame, n: int, period_ms: int = 6500, ts: str = "t
     return events.withColumn("slot", F.pmod(F.floor(ms / period_ms), F.lit(n)))
 
 
+def session_totals(events: DataFrame, key: str, gap: str = "30 minutes", ts: str = "ts", **totals: Column) -> DataFrame:
+    """A row for each session of each key: first_at, last_at, ``n`` events and the aggregates ``totals``. A pause of ``gap`` or more ends a session.
+
+    Sessions are merged from part to part, so a key's events needn't meet in order; on a stream with
+    a watermark a session is given once the watermark has passed its end. Events without time are in
+    no session; those without key have sessions of their own.
+    """
+    found = events.groupBy(key, F.session_window(ts, gap).alias("__ql_span")).agg(F.min(ts).alias("first_at"), F.max(ts).alias("last_at"), F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in totals.items()])
+    return found.drop("__ql_span")
+
+
+def slot_totals(events: DataFrame, n: int, period_ms: int = 6500, ts: str = "ts", **totals: Column) -> DataFrame:
+    """A row for each period with events: start_ms, ``slot`` (which of ``n`` items shows), ``n`` events and the aggregates ``totals``. On a stream with a watermark a period is given once it is over. Events without time are in none."""
+    found = events.groupBy(F.window(ts, f"{period_ms} milliseconds").alias("__ql_span")).agg(F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in totals.items()])
+    start = F.unix_millis(F.col("__ql_span.start").cast("timestamp"))
+    return found.select(start.alias("start_ms"), F.pmod(F.floor(start / period_ms), F.lit(n)).alias("slot"), "n", *totals)
+
+
 def ema(events: DataFrame, key: str, value: str, alpha: float = 0.2, init: float | None = None, ts: str = "ts", id_col: str = "event_id", bucket: str = "day") -> DataFrame:
     """The smoothed value of each key after its last event, ``ema``, and ``n`` values: r += (x - r) * alpha, from ``init`` or the first value.
 

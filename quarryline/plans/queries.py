@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import corpus, leads, manifest, sequence
+from ..sources.shared import written
 from ..sources.tables import table
 from ..streaming import state
 
@@ -167,15 +168,20 @@ def c14_price_with_tax(spark, d):
     return corpus.price_with_tax(priced, "price").groupBy("month").agg(F.count(F.lit(1)).alias("n"), total("net"), total("tax"), total("gross"))
 
 
-@query("""WITH n AS (SELECT DISTINCT 'N' || c_nationkey AS tier, c_mktsegment AS feature FROM customer), r AS (SELECT 'R' || n_regionkey AS tier, 'N' || n_nationkey AS part FROM nation),
-w AS (SELECT 'W' AS tier, 'R' || r_regionkey AS part FROM region)
-SELECT tier, feature FROM n UNION SELECT r.tier, feature FROM r JOIN n ON n.tier = part WHERE feature <> 'MACHINERY' UNION SELECT w.tier, feature FROM w JOIN r ON r.tier = w.part JOIN n ON n.tier = r.part""")
+@query("""WITH RECURSIVE own AS (SELECT DISTINCT 'N' || c_nationkey AS tier, c_mktsegment AS feature FROM customer),
+inc AS (SELECT 'R' || n_regionkey AS tier, 'N' || n_nationkey AS part FROM nation UNION SELECT 'W', 'R' || r_regionkey FROM region UNION SELECT * FROM (VALUES ('A', 'W'), ('B', 'A'), ('W', 'B'))),
+exc AS (SELECT 'R' || r_regionkey AS tier, 'MACHINERY' AS feature FROM region UNION SELECT 'A', 'BUILDING'),
+f AS (SELECT tier, feature FROM own ANTI JOIN exc USING (tier, feature)
+  UNION SELECT inc.tier, f.feature FROM f JOIN inc ON inc.part = f.tier LEFT JOIN exc ON exc.tier = inc.tier AND exc.feature = f.feature WHERE exc.tier IS NULL)
+SELECT tier, feature FROM f""")
 def c15_expand_tiers(spark, d):
-    nation = table(spark, d, "nation")
+    """Nations in regions in the world, which is in A, A in B and B in the world again; regions leave out one feature and A another."""
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
     name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     own = table(spark, d, "customer").select(name("N", "c_nationkey").alias("tier"), F.col("c_mktsegment").alias("feature")).distinct()
-    includes = nation.select(name("R", "n_regionkey").alias("tier"), name("N", "n_nationkey").alias("part")).unionByName(table(spark, d, "region").select(F.lit("W").alias("tier"), name("R", "r_regionkey").alias("part")))
-    excluded = table(spark, d, "region").select(name("R", "r_regionkey").alias("tier"), F.lit("MACHINERY").alias("feature"))
+    includes = nation.select(name("R", "n_regionkey").alias("tier"), name("N", "n_nationkey").alias("part")).unionByName(region.select(F.lit("W").alias("tier"), name("R", "r_regionkey").alias("part")))
+    includes = includes.unionByName(spark.createDataFrame([("A", "W"), ("B", "A"), ("W", "B")], "tier string, part string"))
+    excluded = region.select(name("R", "r_regionkey").alias("tier"), F.lit("MACHINERY").alias("feature")).unionByName(spark.createDataFrame([("A", "BUILDING")], "tier string, feature string"))
     return corpus.expand_tiers(own, includes, excluded)
 
 
@@ -310,19 +316,27 @@ def s1_latest_stream(spark, d):
     return state.drained(latest, "complete")
 
 
+def _in_order(spark, d, make, *args):
+    """A stream over the events in shuffled files, one a micro-batch, applied in order of event time."""
+    mixed = written(table(spark, d, "events").repartition(3, "event_id"), "shuffled")
+    clock = state.Clock(spark)
+    events = spark.readStream.schema(mixed.schema).option("maxFilesPerTrigger", 1).parquet(mixed._quarryline_path).withColumn("ts", F.col("ts").cast("timestamp"))
+    return state.drained(make(clock.beside(events), "user_id", *args, delay="60 days"), clock=clock)
+
+
 @query(f"SELECT event_id, user_id, {_S2} FROM events")
 def s2_toggle_stream(spark, d):
-    return state.drained(state.toggle_stream(state.file_stream(spark, d, "events"), "user_id", "event_type", "click", "dark", "light")).select("event_id", "user_id", "state")
+    return _in_order(spark, d, state.toggle_stream, "event_type", "click", "dark", "light").select("event_id", "user_id", "state")
 
 
 @query(_S3)
 def s3_exclusive_stream(spark, d):
-    return state.drained(state.exclusive_stream(state.file_stream(spark, d, "events"), "user_id", "event_type")).select("event_id", "user_id", "open_item")
+    return _in_order(spark, d, state.exclusive_stream, "event_type").select("event_id", "user_id", "open_item")
 
 
 @query(_S4)
 def s4_first_stream(spark, d):
-    return state.drained(state.session_stream(state.file_stream(spark, d, "events"), "user_id")).select("event_id", "user_id", "session", "mode")
+    return _in_order(spark, d, state.session_stream).select("event_id", "user_id", "session", "mode")
 
 
 @query("SELECT user_id, count(*)::BIGINT AS n FROM (SELECT DISTINCT user_id FROM events) GROUP BY user_id")
@@ -333,11 +347,53 @@ def s4_once_stream(spark, d):
 
 @query(_S5)
 def s5_cross_stream(spark, d):
-    return state.drained(state.cross_stream(state.file_stream(spark, d, "events"), "user_id", "value", 30.0)).select("event_id", "above", "crossing", "first_crossing")
+    return _in_order(spark, d, state.cross_stream, "value", 30.0).select("event_id", "above", "crossing", "first_crossing")
 
 
 @query("SELECT user_id, round(list_reduce(list(value ORDER BY ts, event_id), lambda r, x: r + (x - r) * 0.2), 6) AS ema FROM events GROUP BY user_id")
 def s8_ema_stream(spark, d):
-    steps = state.drained(state.ema_stream(state.file_stream(spark, d, "events"), "user_id", "value"))
+    steps = _in_order(spark, d, state.ema_stream, "value")
     order = table(spark, d, "events").select("event_id", "ts")
     return steps.join(order, "event_id").groupBy("user_id").agg(F.round(F.max_by("ema", F.struct("ts", "event_id")), 6).alias("ema"))
+
+
+_SESSIONS = """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_at, count(*)::BIGINT AS n, (count(*) FILTER (WHERE event_type = 'click'))::BIGINT AS n_clicks
+FROM (SELECT *, sum(CASE WHEN ts >= p + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session
+  FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id, session"""
+_SLOTS = """SELECT start_ms, (start_ms // 6500 % 4)::BIGINT AS slot, count(*)::BIGINT AS n, sum(value::DECIMAL(20,4))::DOUBLE AS total
+FROM (SELECT *, epoch_ms(ts) // 6500 * 6500 AS start_ms FROM events) GROUP BY start_ms"""
+
+
+def _sessions(events):
+    said = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    found = sequence.session_totals(events, "user_id", "30 minutes", n_clicks=F.count_if(F.col("event_type") == "click"))
+    return found.select("user_id", "first_at", "last_at", "n", "n_clicks"), lambda df: df.select("user_id", said("first_at"), said("last_at"), "n", "n_clicks")
+
+
+@query(_SESSIONS)
+def s4_session_totals(spark, d):
+    found, shown = _sessions(table(spark, d, "events"))
+    return shown(found)
+
+
+@query(_SESSIONS)
+def s4_session_totals_stream(spark, d):
+    clock = state.Clock(spark)
+    found, shown = _sessions(clock.beside(state.file_stream(spark, d, "events")).withWatermark("ts", "1 hour"))
+    return shown(state.drained(found, clock=clock).where("user_id IS NOT NULL"))
+
+
+def _slots(events):
+    return sequence.slot_totals(events, 4, 6500, total=F.sum(F.col("value").cast("decimal(20,4)")).cast("double"))
+
+
+@query(_SLOTS)
+def s7_slot_totals(spark, d):
+    return _slots(table(spark, d, "events"))
+
+
+@query(_SLOTS)
+def s7_slot_totals_stream(spark, d):
+    clock = state.Clock(spark)
+    found = _slots(clock.beside(state.file_stream(spark, d, "events")).withWatermark("ts", "1 hour"))
+    return state.drained(found, clock=clock)
