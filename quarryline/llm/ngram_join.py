@@ -8,8 +8,9 @@ product of the matrix with its transpose counts what two sets share, and it is n
    with more entries alone than their size allows are discarded, and with them all their pairs.
 2. For the rows left all columns are counted, block by block. Rows are discarded by what is alone in
    them, and the others' columns are put in order, the least frequent first.
-3. Rows that share enough meet in the first columns of each. These entries are multiplied, overlap
-   counts are added up by pair, and pairs are discarded that the sizes of their rows and ranges rule out.
+3. Rows that share enough meet in the first columns of each. These entries are multiplied, in blocks
+   of columns and rows; overlap counts are added up by pair, and pairs are discarded whose count, with
+   all that can follow in the columns after, stays below what their sizes ask for.
 4. For the pairs left the overlap over all columns is counted.
 
 Only components are asked for, so not all pairs need their overlap: each row is first compared with
@@ -185,6 +186,65 @@ def _short(node: np.ndarray) -> np.ndarray:
     return np.maximum(node.view(np.uint64) >> np.uint64(16), np.uint64(1))
 
 
+def _block(h: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of each column of the first half."""
+    return ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(31)).astype(np.int64)
+
+
+def _packed(sets: list[np.ndarray], nodes: list[int], blocks: int) -> dict[str, list]:
+    """Entries of several sets by blocks of columns: an entry of each column, with its row if no other set here has the column, and for the other rows how many of their entries here are in columns that several sets have.
+
+    Each block has its own counts. So a task that runs again with its rows in another order changes
+    nothing: a block gets its entries and counts from one packing, whichever that is.
+    """
+    h = np.concatenate(sets)
+    own = np.repeat(_short(np.array(nodes, dtype=np.int64)), [len(s) for s in sets])
+    order = np.argsort(h, kind="stable")
+    h, own = h[order], own[order]
+    again = np.zeros(len(h), dtype=bool)
+    again[1:] = h[1:] == h[:-1]
+    several = again.copy()
+    several[:-1] |= again[1:]
+    known, where = own[several], _block(h[several], blocks)
+    order = np.lexsort((known, where))
+    known, where = known[order], where[order]
+    begins = np.flatnonzero(np.r_[True, (known[1:] != known[:-1]) | (where[1:] != where[:-1])]) if len(known) else np.zeros(0, dtype=np.int64)
+    known, where, times = known[begins], where[begins], np.diff(np.r_[begins, len(known)])
+    own[several] = 0
+    h, own = h[~again], own[~again]
+    block = _block(h, blocks)
+    spans = _cut(block)
+    counts = [slice(*np.searchsorted(where, [block[a], block[a] + 1])) for a, _ in spans]
+    entries = {"h": h.astype(np.uint32), "low": own.astype(np.uint32), "high": (own >> np.uint64(32)).astype(np.uint16)}
+    more = {"known_low": known.astype(np.uint32), "known_high": (known >> np.uint64(32)).astype(np.uint16), "times": times.astype(np.uint32)}
+    cells = {name: [x[a:b].tobytes() for a, b in spans] for name, x in entries.items()} | {name: [x[c].tobytes() for c in counts] for name, x in more.items()}
+    return {"block": [int(block[a]) for a, _ in spans]} | cells
+
+
+def _counted(rows: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """For the packed entries of a block: rows and how many of their entries are in columns that another row has too, packed by the part that adds them up."""
+    read = lambda c, t: np.frombuffer(b"".join(rows[c]), dtype=t)
+    joined = lambda low, high: read(low, np.uint32).astype(np.uint64) | read(high, np.uint16).astype(np.uint64) << np.uint64(32)
+    h, own = read("h", np.uint32), joined("low", "high")
+    order = np.argsort(h, kind="stable")
+    h, own = h[order], own[order]
+    begins = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    column = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(h)]))
+    several = (np.minimum.reduceat(own, begins) != np.maximum.reduceat(own, begins))[column] & (own > 0)
+    column, own = column[several], own[several]
+    order = np.lexsort((column, own))  # copies of a set from several packs count once
+    column, own = column[order], own[order]
+    new = np.ones(len(own), dtype=bool)
+    new[1:] = (own[1:] != own[:-1]) | (column[1:] != column[:-1])
+    short, n = np.unique(own[new], return_counts=True)
+    short, n = np.concatenate([short, joined("known_low", "known_high")]), np.concatenate([n, read("times", np.uint32)])
+    part = (short % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    short, n, part = short[order], n[order].astype(np.int32), part[order]
+    spans = _cut(part)
+    return pd.DataFrame({"part": [part[a] for a, _ in spans], "short": [short[a:b].tobytes() for a, b in spans], "n": [n[a:b].tobytes() for a, b in spans]})
+
+
 def _shared_entries(docs: DataFrame, size: int, total: int, n_nodes: int) -> DataFrame:
     """For the first half of the columns, block by block: how many of a row's entries are in columns that another row has too.
 
@@ -195,27 +255,12 @@ def _shared_entries(docs: DataFrame, size: int, total: int, n_nodes: int) -> Dat
     counts, packed again, to the parts that add them up by node.
     """
     blocks, parts = max(1, total // 2 // BLOCK), 1 + n_nodes // NODES
+    kinds = {"block": pa.int64()} | {c: pa.binary() for c in ("h", "low", "high", "known_low", "known_high", "times")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(sets: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
-            h = np.concatenate(sets)
-            own = np.repeat(_short(np.array(nodes, dtype=np.int64)), [len(s) for s in sets])
-            order = np.argsort(h, kind="stable")
-            h, own = h[order], own[order]
-            again = np.zeros(len(h), dtype=bool)
-            again[1:] = h[1:] == h[:-1]
-            several = again.copy()
-            several[:-1] |= again[1:]
-            known, times = np.unique(own[several], return_counts=True)
-            sent = ~again
-            own[several] = 0
-            h, own = h[sent], own[sent]
-            block = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(31)).astype(np.int64)
-            spans = _cut(block)
-            parts = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), (own & np.uint64(0xFFFFFFFF)).astype(np.uint32), (own >> np.uint64(32)).astype(np.uint16)
-            first = [True, *[False] * (len(spans) - 1)]
-            extra = [[x.tobytes() if f else b"" for f in first] for x in (known, times.astype(np.int64))]
-            return pa.RecordBatch.from_arrays([pa.array([block[a] for a, _ in spans], type=pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in spans], type=pa.binary()) for x in parts), *(pa.array(x, type=pa.binary()) for x in extra)], ["block", "h", "low", "high", "known", "times"])
+        def packed() -> pa.RecordBatch:
+            cells = _packed(held, nodes, blocks)
+            return pa.RecordBatch.from_arrays([pa.array(cells[c], type=kind) for c, kind in kinds.items()], list(kinds))
 
         held, nodes, n_held, seen = [], [], 0, set()
         for _, sets in _in_groups(batches, size):
@@ -229,39 +274,18 @@ def _shared_entries(docs: DataFrame, size: int, total: int, n_nodes: int) -> Dat
                 nodes.append(node)
                 n_held += len(s_half)
             if n_held >= PACK:
-                yield packed(held, nodes)
+                yield packed()
                 held, nodes, n_held, seen = [], [], 0, set()
         if n_held:
-            yield packed(held, nodes)
-
-    def counted(rows: pd.DataFrame) -> pd.DataFrame:
-        read = lambda c, t: np.frombuffer(b"".join(rows[c]), dtype=t)
-        h, own = read("h", np.uint32), read("low", np.uint32).astype(np.uint64) | read("high", np.uint16).astype(np.uint64) << np.uint64(32)
-        order = np.argsort(h, kind="stable")
-        h, own = h[order], own[order]
-        begins = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        column = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(h)]))
-        several = (np.minimum.reduceat(own, begins) != np.maximum.reduceat(own, begins))[column] & (own > 0)
-        column, own = column[several], own[several]
-        order = np.lexsort((column, own))  # copies of a set from several packs count once
-        column, own = column[order], own[order]
-        new = np.ones(len(own), dtype=bool)
-        new[1:] = (own[1:] != own[:-1]) | (column[1:] != column[:-1])
-        short, n = np.unique(own[new], return_counts=True)
-        short, n = np.concatenate([short, read("known", np.uint64)]), np.concatenate([n, read("times", np.int64)])
-        part = (short % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        short, n, part = short[order], n[order].astype(np.int32), part[order]
-        spans = _cut(part)
-        return pd.DataFrame({"part": [part[a] for a, _ in spans], "short": [short[a:b].tobytes() for a, b in spans], "n": [n[a:b].tobytes() for a, b in spans]})
+            yield packed()
 
     def added(rows: pd.DataFrame) -> pd.DataFrame:
         short, n = (np.frombuffer(b"".join(rows[c]), dtype=t) for c, t in (("short", np.int64), ("n", np.int32)))
         names, place = np.unique(short, return_inverse=True)
         return pd.DataFrame({"short": names, "n": np.bincount(place, weights=n).astype(np.int64)})
 
-    cells = docs.mapInArrow(run, "block long, h binary, low binary, high binary, known binary, times binary")
-    counts = cells.groupBy("block").applyInPandas(counted, "part long, short binary, n binary")
+    cells = docs.mapInArrow(run, ", ".join(f"{c} {'long' if c == 'block' else 'binary'}" for c in kinds))
+    counts = cells.groupBy("block").applyInPandas(lambda rows: _counted(rows, parts), "part long, short binary, n binary")
     return counts.groupBy("part").applyInPandas(added, "short long, n long")
 
 
@@ -383,7 +407,10 @@ def _labels(rows: DataFrame, percent: int) -> DataFrame:
     a, b = dealt.select("h", F.col("deal").alias("i"), other.alias("j"), *side("a")), dealt.select("h", other.alias("i"), F.col("deal").alias("j"), *side("b"))
     least = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) DIV {100 + percent}")
     meet = (F.col("pos_a") <= F.col("n_a") - least) & (F.col("pos_b") <= F.col("n_b") - least)
-    apart = a.join(b, ["h", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & meet).select("a", "b").distinct()
+    met = a.join(b, ["h", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & meet)
+    # Columns are in one order in all rows: after the last that both have here, each can share what it has left at most.
+    summed = met.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
+    apart = summed.where(F.col("c") + F.least(F.expr("n_a - pos_a - 1"), F.expr("n_b - pos_b - 1")) >= least).select("a", "b")
     more = _overlaps(apart.join(tested, ["a", "b"], "left_anti"), rows, percent)
     used = [posts, leaders, tested, named, mixed, linked, more]
     if more.isEmpty():

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 pytest.importorskip("quarryline.llm")
@@ -73,3 +74,26 @@ def test_hot_columns_are_paired_in_blocks(spark, monkeypatch, rows_of_a_column):
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(df).collect()}
     assert got == brute.jaccard(docs)
+
+
+def test_blocks_of_different_packings(monkeypatch):
+    """A task that runs again may pack its rows in another order; blocks read before and after still add up to no less than what rows share."""
+    rows = [t for t in texts(24, seed=8) if t]
+    sets = {ngram_join.node_of(s): s[s < ngram_join.HALF] for s in ngram_join.shingle_sets(rows)}
+    columns, often = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    want = {int(ngram_join._short(np.array([n]))[0]): int((often[np.searchsorted(columns, s)] > 1).sum()) for n, s in sets.items()}
+    for seed in range(4):
+        orders = []
+        for _ in range(2):
+            nodes = list(sets)
+            random.Random(seed).shuffle(nodes)
+            seed += 100
+            cut = len(nodes) // 2
+            orders.append([ngram_join._packed([sets[n] for n in part], part, 7) for part in (nodes[:cut], nodes[cut:])])
+        got = {}
+        for block in range(7):
+            cells = [{k: v[cell["block"].index(block)] for k, v in cell.items()} for cell in orders[block > 0] if block in cell["block"]]
+            for r in ngram_join._counted(pd.DataFrame(cells), 1).itertuples():
+                for short, n in zip(np.frombuffer(r.short, np.uint64), np.frombuffer(r.n, np.int32), strict=True):
+                    got[int(short)] = got.get(int(short), 0) + int(n)
+        assert all(got.get(k, 0) >= n for k, n in want.items()) and sum(want.values()) > 500
