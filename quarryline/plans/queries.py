@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import corpus, leads, manifest, sequence
+from ..operators import chunks, corpus, leads, manifest, sequence
 from ..sources.shared import written
 from ..sources.tables import table
 from ..streaming import state
@@ -397,3 +397,30 @@ def s7_slot_totals_stream(spark, d):
     clock = state.Clock(spark)
     found = _slots(clock.beside(state.file_stream(spark, d, "events")).withWatermark("ts", "1 hour"))
     return state.drained(found, clock=clock)
+
+
+def _in_chunks(whole: str, key: str, chunk: int) -> str:
+    return f"SELECT {key}, chunk, chunk * {chunk} AS offset, substr(html, chunk * {chunk} + 1, {chunk}) AS text FROM (SELECT {key}, html, unnest(range(greatest(1, (length(html) + {chunk} - 1) // {chunk}))) AS chunk FROM ({whole}))"
+
+
+@query(_in_chunks(ORACLE_SQL["c1_assemble_ordered"], "conv_id", 700))
+def c1_assemble_chunks(spark, d):
+    return chunks.assemble_chunks(table(spark, d, "conversations"), "conv_id", "turn", "text", wrap="div", head="<main>", foot="</main>", chunk=700)
+
+
+@query(_in_chunks(ORACLE_SQL["c5_render_rows"], "n_regionkey", 64))
+def c5_render_chunks(spark, d):
+    row = F.concat(F.lit('<li title="'), S.escape_attribute(F.col("n_name")), F.lit('">'), "n_name", F.lit("</li>"))
+    return chunks.render_chunks(table(spark, d, "nation"), row, "n_regionkey", ["n_nationkey"], twice=True, chunk=64)
+
+
+@query("""SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'left_only' WHEN a.o_orderkey IS NULL THEN 'right_only' ELSE 'changed' END AS status
+FROM (SELECT o_orderkey, o_orderstatus AS v FROM orders WHERE o_orderkey % 501 <> 7) a
+FULL OUTER JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 997 = 5 THEN '?' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 701 <> 9) b ON a.o_orderkey = b.o_orderkey
+WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.v IS DISTINCT FROM b.v""")
+def c13_differences_by_digest(spark, d):
+    """Two states of the orders, of which few rows differ."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    before = orders.where("o_orderkey % 501 <> 7").withColumnRenamed("o_orderstatus", "v")
+    after = orders.where("o_orderkey % 701 <> 9").select("o_orderkey", F.when(F.col("o_orderkey") % 997 == 5, "?").otherwise(F.col("o_orderstatus")).alias("v"))
+    return chunks.differences(before, after, "o_orderkey", "v")
