@@ -13,6 +13,8 @@ from ..sources.shared import released, written
 
 #: A key with more rows than this is split into so many segments of its time; so many keys at most are split.
 ROWS, SEGMENTS, MOST_HOT = 1_000_000, 256, 1000
+#: A cell with more points than this is joined in parts.
+DENSE = 10_000
 
 
 def _split(events: DataFrame, key: str, ts: str, rows: int) -> tuple[DataFrame, bool]:
@@ -221,22 +223,57 @@ def ramp(value: Column, height: Column) -> tuple[Column, Column, Column]:
     return share * 100, early, S.clamp((early - 0.22) / 0.5)
 
 
-def proximity_pairs(points: DataFrame, id_col: str, x: str, y: str, d_max: float, w: float = 0.15) -> DataFrame:
+def proximity_pairs(points: DataFrame, id_col: str, x: str, y: str, d_max: float, w: float = 0.15, dense: int = DENSE) -> DataFrame:
     """Unordered pairs of points closer than ``d_max``, and their weight w * (1 - d / d_max).
 
     Points are put in cells of that size and joined with those in their own and the eight cells
-    around; there is no pair of all points. Points with a null coordinate have no partner.
+    around; there is no pair of all points. Where a cell has more than ``dense`` points, cells are
+    split as their counts ask for, and parts of cells are joined that may hold a pair. Points with a
+    null coordinate have no partner.
     """
     p = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(id_col).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), F.floor(F.col(x) / d_max).alias("cx"), F.floor(F.col(y) / d_max).alias("cy"))
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    q = p.select(F.col("a").alias("b"), F.col("ax").alias("bx"), F.col("ay").alias("by"), "cx", "cy", F.explode(near).alias("d")).select("b", "bx", "by", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
+    if p.groupBy("cx", "cy").count().where(F.col("count") > dense).head(1):
+        near = _dense_candidates(p, d_max, dense)
+    else:
+        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        q = p.select(F.col("a").alias("b"), F.col("ax").alias("bx"), F.col("ay").alias("by"), "cx", "cy", F.explode(around).alias("d")).select("b", "bx", "by", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
+        near = p.join(q, ["cx", "cy"]).where("a < b")
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    close = p.join(q, ["cx", "cy"]).where("a < b").withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") < d_max)
+    close = near.withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") < d_max)
     return close.select("a", "b", "distance", (w * (1 - F.col("distance") / d_max)).alias("weight"))
 
 
+def _dense_candidates(p: DataFrame, d_max: float, dense: int) -> DataFrame:
+    """Pairs of points (a < b) in parts of cells that may hold near ones. A cell of more than ``dense`` points is a grid of parts with about so many each; a part that still has more, as where points coincide, is dealt to several by a hash."""
+    cells = p.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")).select("cx", "cy", F.least(F.ceil(F.sqrt(F.col("n") / dense)), F.lit(64)).cast("long").alias("side"))
+    within = lambda v, c: F.greatest(F.lit(0), F.least(F.floor((F.col(v) / d_max - F.col(c)) * F.col("side")), F.col("side") - 1))
+    split = p.join(cells, ["cx", "cy"]).withColumn("gx", within("ax", "cx")).withColumn("gy", within("ay", "cy"))
+    part = ["cx", "cy", "side", "gx", "gy"]
+    parts = split.groupBy(*part).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{f.__name__}") for c in ("ax", "ay") for f in (F.min, F.max)])
+    parts = written(parts.withColumn("deals", F.ceil(F.col("n") / dense)).withColumn("part", F.xxhash64(*part)), "parts")
+    placed = split.join(parts.select(*part, "part", "deals"), part).select("part", F.pmod(F.xxhash64("a", "ax", "ay"), F.col("deals")).alias("deal"), "a", "ax", "ay")
+    placed = written(placed, "placed")
+    pieces = parts.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)))
+    side = lambda t: [F.col(c).alias(f"{t}{c}") for c in ("part", "deal", "ax_min", "ax_max", "ay_min", "ay_max")]
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    other = pieces.select(*side("r"), "cx", "cy", F.explode(around).alias("d")).select(*[f"r{c}" for c in ("part", "deal", "ax_min", "ax_max", "ay_min", "ay_max")], (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
+    apart = lambda c: F.greatest(F.lit(0.0), F.col(f"l{c}_min") - F.col(f"r{c}_max"), F.col(f"r{c}_min") - F.col(f"l{c}_max"))
+    # Of two pieces one order is enough; bounds are a little wide, as the distance is tested later.
+    meet = pieces.select("cx", "cy", *side("l")).join(other, ["cx", "cy"]).where("(lpart, ldeal) <= (rpart, rdeal)").where(apart("ax") * apart("ax") + apart("ay") * apart("ay") <= d_max * d_max * (1 + 1e-9))
+    meet = written(meet.select("lpart", "ldeal", "rpart", "rdeal").distinct(), "meet")
+    left = placed.withColumnsRenamed({"part": "lpart", "deal": "ldeal"}).join(meet, ["lpart", "ldeal"])
+    right = placed.withColumnsRenamed({"part": "rpart", "deal": "rdeal", "a": "b", "ax": "bx", "ay": "by"})
+    right = right.join(meet, ["rpart", "rdeal"])
+    both = left.join(right, ["lpart", "ldeal", "rpart", "rdeal"])
+    same = (F.col("lpart") == F.col("rpart")) & (F.col("ldeal") == F.col("rdeal"))
+    both = both.where(F.when(same, F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
+    turned = F.col("a") > F.col("b")
+    pick = lambda yes, no, name: F.when(turned, F.col(yes)).otherwise(F.col(no)).alias(name)
+    return both.select(*[pick(q, p, p) for p, q in (("a", "b"), ("ax", "bx"), ("ay", "by"))], *[pick(p, q, q) for p, q in (("a", "b"), ("ax", "bx"), ("ay", "by"))])
+
+
 def near_point(points: DataFrame, id_col: str, x: str, y: str, at: tuple[float, float], d_max: float, w: float = 0.28) -> DataFrame:
-    """Points closer than ``d_max`` to the point ``at``, their distance and weight w * (1 - d / d_max). Points with a null coordinate are never near. The bounds on each coordinate reach the scan."""
+    """Points closer than ``d_max`` to the point ``at``, their distance and weight w * (1 - d / d_max). Points with a null coordinate are never near. Bounds on each coordinate reach the scan where it is a column of the table."""
     dx, dy = F.col(x) - at[0], F.col(y) - at[1]
     box = F.col(x).between(at[0] - d_max, at[0] + d_max) & F.col(y).between(at[1] - d_max, at[1] + d_max)
     close = points.where(box).withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") < d_max)

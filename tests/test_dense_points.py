@@ -1,0 +1,41 @@
+"""Pairs of near points where half of all lie in one cell."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarryline.operators import sequence
+
+
+@pytest.fixture(scope="module")
+def points(spark):
+    r = random.Random(6)
+    rows = [(k, r.uniform(0, 0.1), r.uniform(0, 0.1)) for k in range(300)] + [(300 + k, r.uniform(-2, 2), r.uniform(-2, 2)) for k in range(250)]
+    rows += [(600 + k, 0.05, 0.05) for k in range(60)] + [(700, -0.1, 0.0), (701, 0.1, 0.1), (702, None, 1.0), (600, 0.05, 0.05)]
+    return spark.createDataFrame([(*x, 1, "x") for x in rows], "id long, x double, y double, part long, a string").repartition(4)
+
+
+def test_dense_cells_give_the_same_pairs(spark, points):
+    rows = lambda df: sorted((r.a, r.b, round(r.distance, 12), round(r.weight, 12)) for r in df.collect())
+    want = rows(sequence.proximity_pairs(points, "id", "x", "y", 0.1))
+    assert len(want) > 40_000
+    for dense in (100, 16):
+        assert rows(sequence.proximity_pairs(points, "id", "x", "y", 0.1, dense=dense)) == want
+
+
+def test_work_is_spread(spark, points):
+    """No task joins more than a small part of the pairs of a dense cell."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        pairs = sequence.proximity_pairs(points, "id", "x", "y", 0.1, dense=16)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        tasks = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("task"), F.col("weight") > 0).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert len(tasks) > 16 and max(tasks) < sum(tasks) / 5

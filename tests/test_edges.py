@@ -124,6 +124,69 @@ def test_tiers_of_any_depth_and_cycles(spark):
     assert got == want
 
 
+def test_exclusions_on_the_way(spark):
+    """Everything in a tier is what that tier has: what it excludes doesn't come through it, but may come another way."""
+    frame = lambda rows, names: spark.createDataFrame(rows, f"{names[0]} string, {names[1]} string")
+    chain = [(f"t{k}", f"t{k - 1}") for k in range(1, 24)] + [("t5", "side"), ("t9", "t11"), ("t2", "t2")]
+    own = [("t0", "f"), ("t0", "g"), ("side", "g"), ("t3", "x"), ("t3", "g")]
+    excluded = [("t3", "g"), ("t7", "x"), ("t20", "f"), ("t20", "f"), (None, "f"), ("t1", None)]
+    got = {tuple(r) for r in corpus.expand_tiers(frame(own, ("tier", "feature")), frame(chain, ("tier", "part")), frame(excluded, ("tier", "feature"))).collect()}
+    has, parts = {}, {}
+    for t, p in chain:
+        parts.setdefault(t, set()).add(p)
+    for _ in range(60):
+        for t in {t for t, _ in own} | set(parts):
+            has[t] = ({f for o, f in own if o == t} | {f for p in parts.get(t, ()) for f in has.get(p, ())}) - {f for e, f in excluded if e == t}
+    assert got == {(t, f) for t, fs in has.items() for f in fs}
+    assert ("t4", "g") not in got and ("t5", "g") in got and ("t19", "f") in got and ("t20", "f") not in got and ("t23", "f") not in got
+
+
+def nested(spark, *sources):
+    df = spark.createDataFrame(list(enumerate(sources)), "page_id long, html string")
+    out = {}
+    for r in corpus.nested_pairs(df, "data-x").orderBy("page_id", "pos").collect():
+        out.setdefault(r.page_id, []).append((r.tag, r.value, r.content, r.parent_pos))
+    return [out.get(k, []) for k in range(len(sources))]
+
+
+def test_nested_pairs_with_other_line_ends(spark):
+    for end in ("\r", "\x0b", "\x0c", "\x1c", "\x85", "\u2028", "\u2029", "\r\n", "\n"):
+        assert nested(spark, f'<p>z{end}y</p>\n<p data-x="1">a{end}bc</p>') == [[("p", "1", f"a{end}bc", None)]]
+
+
+def test_nested_pairs_of_void_elements(spark):
+    for tag in "area base br col embed hr img input link meta param source track wbr".split():
+        got = nested(spark, f'<div data-x="o">a<{tag} data-x="v">b<{tag} data-x="w"/>c</div>d')
+        assert got == [[("div", "o", f'a<{tag} data-x="v">b<{tag} data-x="w"/>c', None), (tag, "v", "", 0), (tag, "w", "", 0)]]
+
+
+def test_nested_pairs_take_linear_time():
+    import time
+
+    n = 100_000
+    for source in ("<p>" * n, "<p><b></i>" * (n // 2), '<p data-x="1">' * (n // 4) + "</q>" * (n // 4), "<a></b>" * n):
+        start = time.process_time()
+        p = corpus._Pairs("data-x", source)
+        p.feed(source)
+        p.close()
+        assert time.process_time() - start < 2
+
+
+def test_prices_with_signs_and_many_digits(spark):
+    df = spark.createDataFrame([("-5.10 SAR",), ("from \u22121,000",), ("10-20",), ("A-7 costs 3",), ("123,456,789,012.34 / month",), ("9" * 30,), ("none",), (None,)], "price string")
+    got = [(str(r.net) if r.net is not None else None, str(r.gross) if r.gross is not None else None, r.monthly) for r in corpus.price_with_tax(df, "price").collect()]
+    assert got[:4] == [("-5.10", "-5.87", False), ("-1000.00", "-1150.00", False), ("10.00", "11.50", False), ("7.00", "8.05", False)]
+    assert got[4][0] == "123456789012.34" and got[4][2] and got[5][0] is None and got[6][0] is None and got[7][0] is None
+
+
+def test_session_and_slot_totals(spark, events):
+    got = {(r.k, r.first_at.minute, r.n) for r in sequence.session_totals(events.drop("n"), "k").collect()}
+    assert got == {(1, 0, 3), (1, 50, 1), (None, 0, 1), (2, 0, 1)}
+    slots = sequence.slot_totals(events.drop("n"), 4, 60_000, most=F.max("value")).orderBy("start_ms").collect()
+    assert [(r.n, r.most) for r in slots] == [(4, 3.0), (1, 40.0), (1, 50.0)] and all(r.slot == r.start_ms // 60_000 % 4 for r in slots)
+    assert sequence.session_totals(events.limit(0).drop("n"), "k").count() == sequence.slot_totals(events.limit(0).drop("n"), 4).count() == 0
+
+
 def test_long_keys_are_spread_by_time(spark):
     rows = [(1, TS[0] + datetime.timedelta(hours=5 * i), i, float(i % 7)) for i in range(300)]
     df = spark.createDataFrame(rows, "k long, ts timestamp, event_id long, value double")
