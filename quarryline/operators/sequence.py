@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -272,6 +273,42 @@ def _dense_candidates(p: DataFrame, d_max: float, dense: int) -> DataFrame:
     return both.select(*[pick(q, p, p) for p, q in (("a", "b"), ("ax", "bx"), ("ay", "by"))], *[pick(p, q, q) for p, q in (("a", "b"), ("ax", "bx"), ("ay", "by"))])
 
 
+def _tables(vec: Column, dim: int, d_max: float, tables: int, projections: int, width: float, seed: int) -> list[list[Column]]:
+    """For each table the places of a vector along ``projections`` random directions, in steps of ``width`` times ``d_max``."""
+    r = random.Random(seed)
+    step = width * d_max
+    along = lambda: F.aggregate(F.zip_with(vec, F.array(*[F.lit(r.gauss(0, 1) / step) for _ in range(dim)]), lambda x, y: x * y), F.lit(r.random()), lambda s, x: s + x)
+    return [[along() for _ in range(projections)] for _ in range(tables)]
+
+
+def near_pairs(points: DataFrame, id_col: str, vector_col: str, dim: int, d_max: float, w: float = 0.15, tables: int = 8, projections: int = 6, width: float = 4.0, seed: int = 1) -> DataFrame:
+    """Unordered pairs of points in ``dim`` dimensions closer than ``d_max``, and their weight w * (1 - d / d_max): most of them, not all.
+
+    Each of several tables puts points into buckets by where they fall along random directions. A
+    point is compared with those in its bucket and in the bucket next to it along each direction, on
+    the nearer side. All that is found is true; more ``tables``, fewer ``projections`` or a larger
+    ``width`` miss less and compare more. Vectors that are null, of another length, or hold a null or
+    a number that isn't finite have no partner.
+    """
+    vec = F.col("v")
+    p = points.select(F.col(id_col).alias("a"), F.col(vector_col).cast("array<double>").alias("v"))
+    p = p.where((F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    places = F.array(*[F.array(*t) for t in _tables(vec, dim, d_max, tables, projections, width, seed)])
+    placed = written(p.withColumn("at", places), "placed")
+    home = lambda t: F.transform(t, lambda x: F.floor(x))
+    beside = lambda x: F.floor(x) + F.when(x - F.floor(x) < 0.5, -1).otherwise(1)
+    moved = lambda t, j: F.transform(t, lambda x, k: F.when(k == j, beside(x)).otherwise(F.floor(x)))
+    key = lambda number, cells: F.xxhash64(number, cells)
+    homes = F.transform("at", lambda t, n: key(n, home(t)))
+    probes = F.flatten(F.transform("at", lambda t, n: F.array(key(n, home(t)), *[key(n, moved(t, j)) for j in range(projections)])))
+    left, right = placed.select("a", F.explode(F.array_distinct(homes)).alias("key")), placed.select(F.col("a").alias("b"), F.explode(F.array_distinct(probes)).alias("key"))
+    met = left.join(right, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = met.join(placed.select("a", "v"), "a").join(placed.select(F.col("a").alias("b"), F.col("v").alias("u")), "b")
+    distance = F.sqrt(F.aggregate(F.zip_with("v", "u", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    close = both.withColumn("distance", distance).where(F.col("distance") < d_max)
+    return close.select("a", "b", "distance", (w * (1 - F.col("distance") / d_max)).alias("weight"))
+
+
 def near_point(points: DataFrame, id_col: str, x: str, y: str, at: tuple[float, float], d_max: float, w: float = 0.28) -> DataFrame:
     """Points closer than ``d_max`` to the point ``at``, their distance and weight w * (1 - d / d_max). Points with a null coordinate are never near. Bounds on each coordinate reach the scan where it is a column of the table."""
     dx, dy = F.col(x) - at[0], F.col(y) - at[1]

@@ -424,3 +424,18 @@ def c13_differences_by_digest(spark, d):
     before = orders.where("o_orderkey % 501 <> 7").withColumnRenamed("o_orderstatus", "v")
     after = orders.where("o_orderkey % 701 <> 9").select("o_orderkey", F.when(F.col("o_orderkey") % 997 == 5, "?").otherwise(F.col("o_orderstatus")).alias("v"))
     return chunks.differences(before, after, "o_orderkey", "v")
+
+
+def shifted_points(spark, d):
+    """The embeddings, and each of them once more with every component moved by up to 0.04; moved ones have odd ids."""
+    points = table(spark, d, "embeddings").select("vec_id", "embedding")
+    noise = lambda k: (F.pmod(F.xxhash64("vec_id", k), F.lit(2001)) - 1000) / 25_000
+    moved = points.select((F.col("vec_id") * 2 + 1).alias("vec_id"), F.transform("embedding", lambda x, k: x.cast("double") + noise(k)).alias("v"))
+    return points.select((F.col("vec_id") * 2).alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).unionByName(moved)
+
+
+@query()
+def s10_near_pairs(spark, d):
+    """Approximate, so without SQL: the tests measure how many pairs are found."""
+    found = sequence.near_pairs(shifted_points(spark, d), "vec_id", "v", 64, 0.3)
+    return found.select("a", "b", F.round("distance", 9).alias("distance"), F.round("weight", 9).alias("weight"))
