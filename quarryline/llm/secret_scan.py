@@ -47,6 +47,8 @@ RULES = BASE_RULES + MORE_RULES
 
 #: Candidates (a key and a few kinds each) that are broadcast.
 MOST_BROADCAST = 200_000
+#: Spans that are put together at a time, and characters in a piece of a text that is cut up.
+RUN, PIECE = 256, 1024
 #: Above so many alternatives a part of a regex counts as unknown text.
 MOST_WORDINGS = 32
 
@@ -108,6 +110,17 @@ def candidates(docs: DataFrame, rules: Sequence[SecretRule]) -> DataFrame:
     return full.groupBy("__ql_key").agg(F.collect_set("kind").alias("__ql_kinds"))
 
 
+def _with(value: Column, use) -> Column:
+    """``use(value)``, with the value made once, however often it is read."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _in_runs(items: Column, start: Column, run, join) -> Column:
+    """Goes through an array in runs of RUN items: ``run(state, items of a run)`` gives what a run makes, ``join(state, that)`` the state after it. A state grows by whole runs, so an array of any length takes little more than linear time."""
+    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / RUN).cast("int"))
+    return F.aggregate(starts, start, lambda acc, k: _with(run(acc, F.slice(items, k * RUN + 1, F.lit(RUN))), lambda made: join(acc, made)))
+
+
 def _spans(text: Column, rule: SecretRule, order: int) -> Column:
     """Start, kind and end of the rule's matches, from the matches and the text between them."""
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
@@ -122,7 +135,12 @@ def _spans(text: Column, rule: SecretRule, order: int) -> Column:
         good = x["1"].isNotNull() & (F.char_length(checked) >= rule.least)
         return F.struct(F.coalesce(end, start).alias("at"), F.when(good, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(F.arrays_zip(between.alias("0"), matches.alias("1")), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    def run(acc: Column, items: Column) -> Column:
+        return F.aggregate(items, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    join = lambda acc, made: F.struct(made["at"].alias("at"), F.concat(acc["out"], made["out"]).alias("out"))
+    found = _with(F.arrays_zip(between.alias("0"), matches.alias("1")), lambda parts: _in_runs(parts, start, run, join)["out"])
     return F.when(F.regexp_like(text, F.lit(rule.pattern)), found).otherwise(none)
 
 
@@ -148,15 +166,30 @@ def find_secrets(docs: DataFrame, rules: Sequence[SecretRule] = RULES, id_col: s
 def redact(found: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
     """Replaces each span of ``secrets`` in the text by ``mark``; spans that overlap are replaced once. A null text stays null."""
     text = F.col(f"`{text_col}`")
-
-    def step(acc: Column, x: Column) -> Column:
-        clear = x["start"] >= acc["at"]
-        part = F.concat(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(clear, F.concat(acc["out"], F.array(part))).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text)))
-    return found.withColumn(text_col, F.when(F.size("secrets") > 0, F.aggregate("secrets", start, step, rest)).otherwise(text))
+    empty = F.array().cast("array<string>")
+
+    def part(pieces: Column, start: Column, end: Column) -> Column:
+        """The text from ``start`` to ``end``, out of pieces of PIECE characters: a character is found by its piece, not from the text's begin."""
+        i, j = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+        first = F.substring(F.get(pieces, i), F.pmod(start, F.lit(PIECE)) + 1, F.lit(PIECE))
+        last = F.substring(F.get(pieces, j), F.lit(1), F.pmod(end - 1, F.lit(PIECE)) + 1)
+        one = F.substring(F.get(pieces, i), F.pmod(start, F.lit(PIECE)) + 1, end - start)
+        several = F.concat(first, F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), last)
+        return F.when(start >= end, "").when(i == j, one).otherwise(several)
+
+    def marked(pieces: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            clear = x["start"] >= acc["at"]
+            said = F.array(F.concat(part(pieces, acc["at"], x["start"]), F.lit(mark)))
+            return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(clear, F.concat(acc["out"], said)).otherwise(acc["out"]).alias("out"))
+
+        run = lambda acc, spans: F.aggregate(spans, F.struct(acc["at"].alias("at"), empty.alias("out")), step)
+        join = lambda acc, made: F.struct(made["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(made["out"], ""))).alias("out"))
+        done = _in_runs(F.col("secrets"), F.struct(F.lit(0).alias("at"), empty.alias("out")), run, join)
+        return _with(done, lambda acc: F.concat(F.array_join(acc["out"], ""), part(pieces, acc["at"], F.char_length(text))))
+
+    redacted = _with(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), marked)
+    return found.withColumn(text_col, F.when(F.size("secrets") > 0, redacted).otherwise(text))
 
 
 def span_list(spans: Column) -> Column:
