@@ -25,7 +25,7 @@ from .common import written
 #: Length classes; a class is this share of a sequence.
 CLASSES = 256
 #: Words whose ids a Python worker keeps, in each of two generations.
-MOST_WORDS = 350_000
+MOST_WORDS = 150_000
 END_ID = 1
 
 _PLAIN = frozenset('.,!?;:|#$%&*"=()')
@@ -176,7 +176,7 @@ class WordIds:
         return ids, ends[first]
 
 
-def _groups(texts: pa.Array, most: int = 8_000_000) -> list[tuple[int, int]]:
+def _groups(texts: pa.Array, most: int = 3_000_000) -> list[tuple[int, int]]:
     """Cuts a batch into spans of texts with about ``most`` bytes; a longer text comes alone."""
     size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     at = np.flatnonzero(np.diff(size // most)) + 1
