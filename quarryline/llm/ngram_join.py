@@ -37,7 +37,7 @@ HALF = np.uint64(1 << 63)
 #: Ranges of columns of which a bit says whether a row has entries there.
 BIT_BLOCKS = 1024
 #: Entries that are packed together, entries in a block of columns, and rows of a column that are paired in one task.
-PACK, BLOCK, ROWS = 1_000_000, 500_000, 512
+PACK, BLOCK, ROWS = 500_000, 500_000, 512
 #: Rows whose counts are added up in one task.
 NODES = 100_000
 #: Sets up to this number are looked up by a broadcast of their documents' ids; more are joined by a shuffle.
@@ -58,10 +58,10 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     known = _powers.get(base)
     if known is None or len(known) < n:
-        steps = np.full(max(n, 1 << 19), base % (1 << 64), dtype=np.uint64)
+        steps = np.full(max(n, 1 << 18), base % (1 << 64), dtype=np.uint64)
         steps[0] = 1
         known = np.multiply.accumulate(steps)
-        if len(known) <= 1 << 22:
+        if len(known) <= 1 << 20:
             _powers[base] = known
     return known[:n]
 
