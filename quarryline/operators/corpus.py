@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from html.parser import HTMLParser
@@ -175,6 +176,45 @@ def missing_targets(links: DataFrame, targets: DataFrame, path: str) -> DataFram
     return links.join(targets.select(path).distinct(), path, "left_anti")
 
 
+#: Bits of a filter for each path, bits that a path sets, bits in a row of the filter, and rows that are broadcast at most (4 KB each).
+BITS, HASHES, ROW_BITS, MOST_ROWS = 16, 4, 32_768, 4096
+
+
+def _bits(path: Column, rows: int) -> tuple[Column, list[Column]]:
+    """The filter's row of a path, and its places there."""
+    places = [F.pmod(F.xxhash64(F.lit(k), path), F.lit(ROW_BITS)) for k in range(HASHES)]
+    return F.pmod(F.xxhash64(path), F.lit(rows)), places
+
+
+def path_filter(targets: DataFrame, path: str) -> DataFrame | None:
+    """A filter that tells paths that surely are no target's: ``__ql_row`` and ``__ql_bits``, a bitmap. Each task sets the bits of its own targets, and only bitmaps are shuffled. None where the filter would be too large to broadcast."""
+    n = targets.agg(F.approx_count_distinct(path)).first()[0]
+    rows = max(1, -(-n * BITS // ROW_BITS))
+    if rows > MOST_ROWS:
+        return None
+    row, places = _bits(F.col(path), rows)
+    bits = targets.where(F.col(path).isNotNull()).select(row.alias("__ql_row"), F.explode(F.array(*places)).alias("__ql_bit"))
+    made = bits.groupBy("__ql_row").agg(F.bitmap_construct_agg("__ql_bit").alias("__ql_bits"))
+    return made.withColumn("__ql_rows", F.lit(rows))
+
+
+def missing_targets_filtered(links: DataFrame, targets: DataFrame, path: str) -> DataFrame:
+    """The rows of ``missing_targets``. A filter of the targets' paths goes to where the links are; those that it doesn't know are missing and stay there, and only others are joined with the targets."""
+    made = path_filter(targets, path)
+    if made is None:
+        return missing_targets(links, targets, path)
+    made = written(made, "filter")
+    first = made.head(1)
+    rows = first[0]["__ql_rows"] if first else 1
+    row, places = _bits(F.col(path), rows)
+    byte = lambda p: F.conv(F.hex(F.substring("__ql_bits", (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    has = [F.getbit(byte(p), (p % 8).cast("int")) == 1 for p in places]
+    known = F.coalesce(F.col(path).isNotNull() & functools.reduce(lambda x, y: x & y, has), F.lit(False))
+    tested = links.join(F.broadcast(made.drop("__ql_rows")), row == F.col("__ql_row"), "left").withColumn("__ql_known", known).select(*links.columns, "__ql_known")
+    surely = tested.where(~F.col("__ql_known")).drop("__ql_known")
+    return surely.unionByName(missing_targets(tested.where("__ql_known").drop("__ql_known"), targets, path).select(*links.columns))
+
+
 def price_with_tax(df: DataFrame, text: str, rate: float = 0.15) -> DataFrame:
     """Adds net, tax and gross (two decimals), and whether the price is for a month. A minus before the number, at the text's begin or after a space, counts; a text without a price, or with one of more than 20 digits before the point, gives nulls."""
     digits = F.replace(F.regexp_extract(F.col(text), r"((?:(?<!\S)[-\u2212])?[0-9][0-9,]*(?:\.[0-9]+)?)", 1), F.lit(","), F.lit(""))

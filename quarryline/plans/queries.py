@@ -439,3 +439,9 @@ def s10_near_pairs(spark, d):
     """Approximate, so without SQL: the tests measure how many pairs are found."""
     found = sequence.near_pairs(shifted_points(spark, d), "vec_id", "v", 64, 0.3)
     return found.select("a", "b", F.round("distance", 9).alias("distance"), F.round("weight", 9).alias("weight"))
+
+
+@query(ORACLE_SQL["c13_missing_targets"])
+def c13_missing_filtered(spark, d):
+    links = _links(spark, d).select(S.normalise_path(F.col("value"), strip_index=False).alias("path"))
+    return corpus.missing_targets_filtered(links, table(spark, d, "pages").select(S.normalise_path(F.col("url")).alias("path")), "path").groupBy("path").agg(F.count(F.lit(1)).alias("n_links"))

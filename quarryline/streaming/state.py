@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.shared import delete, shared_folder
+from ..sources.shared import delete, own_folder
 
 _NO_TIME = -(1 << 63)
 
@@ -114,7 +114,7 @@ class Clock:
     """Rows of time alone, beside a stream's own: they let event time move on where no more rows come, so that all that waits falls due."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.place, self.schema, self.ts = spark, f"{shared_folder(spark)}/streams/clock-{uuid.uuid4().hex}", None, None
+        self.spark, self.place, self.schema, self.ts = spark, f"{own_folder(spark)}/clock-{uuid.uuid4().hex}", None, None
 
     def beside(self, events: DataFrame, ts: str = "ts") -> DataFrame:
         """``events`` with the clock's rows, in which all but ``ts`` is null."""
@@ -229,7 +229,7 @@ def first_stream(events: DataFrame, key: str, ts: str = "ts", delay: str = "30 m
 def drained(stream: DataFrame, mode: str = "append", clock: Clock | None = None) -> DataFrame:
     """Runs ``stream`` over all that is there and gives what it wrote, in the folder that all machines share. With a ``clock`` the stream runs on until nothing waits any more. The checkpoint is deleted at the end."""
     spark = stream.sparkSession
-    place = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    place = f"{own_folder(spark)}/stream-{uuid.uuid4().hex}"
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

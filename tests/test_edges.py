@@ -278,3 +278,21 @@ def test_shared_folder(spark):
     shared.released(df)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(path).count()
+
+
+@pytest.mark.parametrize("end", ["", "spark.stop()"])
+def test_shared_tables_go_with_the_driver(tmp_path, end):
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+from quarryline.sources import shared
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+assert shared.written(spark.range(3), "three").count() == 3
+import os
+assert os.listdir("{tmp_path}/quarryline")
+{end}
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True)
+    assert list((tmp_path / "quarryline").iterdir()) == []
