@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .vectors import LARGEST, best, grid, matrix, packed, products, real, whole
+from .vectors import LARGEST, best, grid, matrix, packed, products, real, sampled, whole
 
 #: Rows from which split points are chosen; split points of a node; rows wanted in a leaf; leaves at most, about.
 SAMPLE, ARITY, LEAF, LEAVES = 8192, 8, 64, 1024
@@ -78,7 +78,7 @@ class Tree:
         """Each leaf from ``first`` to ``last`` that may hold a vector whose score with an anchor is in one of the anchor's windows, and which anchors. ``low`` and ``high``: a line for each anchor, a column for each window; a window with low > high holds nothing."""
         norms = (anchors * anchors).sum(axis=1)[:, None] + self.most
         slack = SLACK * np.sqrt(self.most) + 1e-9
-        near, far = (np.sqrt(np.maximum(0, norms - 2 * s))[:, :, None] for s in (high, low))
+        near, far = (np.sqrt(np.maximum(0, norms - 2 * s.astype(np.float64)))[:, :, None] for s in (high, low))
         point = np.column_stack([anchors, np.zeros(len(anchors))])
         todo = [(self.root, low <= high)]
         while todo:
@@ -114,8 +114,7 @@ def _planted(rows: DataFrame) -> tuple[Tree, int]:
     """The tree and the length of the longest vector."""
     norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + F.floor(x).cast("double") * F.floor(x).cast("double"))
     total, most, dim = rows.agg(F.count(F.lit(1)), F.max(norm), F.max(F.size("vec"))).first()
-    sample = rows.select("vec", F.xxhash64("id", "row").alias("h"), "id").orderBy("h", "id").limit(SAMPLE).select("vec").collect()
-    return Tree(matrix(pd.Series([r["vec"] for r in sample], dtype=object), dim or 0), most or 0.0, total), dim or 0
+    return Tree(matrix(sampled(rows, total, SAMPLE)["vec"], dim or 0), most or 0.0, total), dim or 0
 
 
 def _blocks(rows: DataFrame, tree: Tree, dim: int) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
@@ -173,6 +172,8 @@ def _anchors(blocks: DataFrame, dim: int, k: int) -> DataFrame:
             for b in df.itertuples():
                 ids, labels, rows, vecs = whole(b.ids), whole(b.labels), whole(b.rows), real(b.vecs, dim)
                 at = np.flatnonzero(whole(b.marks))
+                if not len(at):
+                    continue
                 low = np.full(len(at), -LARGEST)
                 for s in range(0, len(at), SLICE):
                     q = at[s : s + SLICE]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .vectors import LARGEST, best, grid, matrix, packed, products, real, whole
+from .vectors import LARGEST, best, grid, matrix, packed, products, real, sampled, whole
 
 #: Rows that give each query its first bound; rows and queries in a block, and queries compared at a time.
 SAMPLE, BLOCK, QUERIES, SLICE = 2048, 4096, 2048, 64
@@ -75,8 +75,8 @@ def nearest(vectors: DataFrame, query: Column, k: int = 5, scale: float = 256.0,
     spark = vectors.sparkSession
     rows = written(grid(vectors, id_col, vector_col, scale, query=F.coalesce(query, F.lit(False))), "vectors")
     total, asked, dim = (x or 0 for x in rows.agg(F.count(F.lit(1)), F.count_if("query"), F.max(F.size("vec"))).first())
-    sample = rows.select("row", "vec", F.xxhash64("id", "row").alias("h")).orderBy("h", "row").limit(SAMPLE).collect()
-    seeds = spark.sparkContext.broadcast((np.array([r["row"] for r in sample], dtype=np.int64), matrix(pd.Series([r["vec"] for r in sample], dtype=object), dim)))
+    sample = sampled(rows, total, SAMPLE)
+    seeds = spark.sparkContext.broadcast((sample["row"].to_numpy(), matrix(sample["vec"], dim)))
     n_blocks, n_groups = max(1, -(-total // BLOCK)), max(1, -(-asked // QUERIES))
 
     def pack(df: pd.DataFrame) -> pd.DataFrame:

@@ -20,6 +20,14 @@ def grid(vectors: DataFrame, id_col: str, vector_col: str, scale: float, **more:
     return made.where(F.col("id").isNotNull() & F.col("vec").isNotNull() & sound).withColumn("row", F.monotonically_increasing_id())
 
 
+def sampled(rows: DataFrame, total: int, most: int) -> pd.DataFrame:
+    """At most ``most`` of ``total`` rows (row, vec), those first by a hash. A bound on the hash lets about twice as many through, so tasks send few rows whatever their number."""
+    share = min(1.0, 2 * most / max(1, total))
+    h = F.pmod(F.xxhash64("id", "row"), F.lit(1 << 30))
+    found = rows.select("row", "vec", h.alias("h")).where(F.col("h") < int(share * (1 << 30))).orderBy("h", "row").limit(most).collect()
+    return pd.DataFrame({"row": np.array([r["row"] for r in found], dtype=np.int64), "vec": pd.Series([r["vec"] for r in found], dtype=object)})
+
+
 def matrix(vecs: pd.Series, dim: int) -> np.ndarray:
     """Vectors rounded down to whole numbers, a row each; shorter ones end in zeros."""
     if all(len(v) == dim for v in vecs):
