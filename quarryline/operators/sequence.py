@@ -26,10 +26,10 @@ def _split(events: DataFrame, key: str, ts: str, rows: int) -> tuple[DataFrame,
     has a MOST_HOT-th of all rows, keys stay whole.
     """
     sizes = events.groupBy(F.col(key).alias("__ql_key")).agg(F.count(F.lit(1)).alias("__ql_n"))
-    hot = written(sizes.where(F.col("__ql_n") > rows).orderBy(F.desc("__ql_n")).limit(MOST_HOT), "hot")
-    if not hot.head(1):
-        released(hot)
+    large = sizes.where(F.col("__ql_n") > rows)
+    if not large.head(1):
         return events.withColumns({"__ql_seg": F.lit(0), "__ql_hot": F.lit(False)}), False
+    hot = written(large.orderBy(F.desc("__ql_n")).limit(MOST_HOT), "hot")
     same = F.col(key).eqNullSafe(F.col("__ql_key"))
     shares = [k / SEGMENTS for k in range(1, SEGMENTS)]
     cuts = events.join(F.broadcast(hot), same).groupBy("__ql_key").agg(F.percentile_approx(ts, shares, 20 * SEGMENTS).alias("__ql_cuts"))
