@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .vectors import LARGEST, best, grid, matrix, packed, products, real, sampled, whole
 
-#: Rows from which split points are chosen; split points of a node; rows wanted in a leaf; leaves at most, about.
+#: Rows from which split points are chosen; split points of a node; rows wanted in a leaf, and at least so that leaves are in the thousands.
 SAMPLE, ARITY, LEAF, LEAVES = 8192, 8, 64, 1024
 #: Rows in a block of leaves, blocks whose anchors go together, and anchors that are scored at a time.
 BLOCK, SPAN, SLICE = 4096, 16, 256
