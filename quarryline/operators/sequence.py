@@ -63,6 +63,11 @@ def _segments():
     return Window.partitionBy("__ql_key").orderBy("__ql_at")
 
 
+def _kept(events: DataFrame, *made: str) -> list[str]:
+    """The columns of ``events`` that aren't replaced."""
+    return [f"`{c}`" for c in events.columns if c.lower() not in made]
+
+
 def _before(column: str) -> Column:
     """The sum over a key's earlier segments."""
     return F.coalesce(F.sum(column).over(_segments().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -88,7 +93,7 @@ def toggle_state(events: DataFrame, key: str, action: Column, first: str, second
     if hot:
         split = _entered(split, key, _summed(split, key, __ql_n=F.sum("__ql_act")).select("__ql_key", "__ql_at", _before("__ql_n").alias("__ql_flips")))
         flips = flips + F.coalesce("__ql_flips", F.lit(0))
-    return split.withColumn("state", F.when(flips % 2 == 0, first).otherwise(second)).select(*events.columns, "state")
+    return split.withColumn("state", F.when(flips % 2 == 0, first).otherwise(second)).select(*_kept(events, "state"), "state")
 
 
 def exclusive_toggle(events: DataFrame, key: str, item: str, initial: str | None = None, ts: str = "ts", id_col: str = "event_id", rows: int = ROWS) -> DataFrame:
@@ -115,7 +120,7 @@ def exclusive_toggle(events: DataFrame, key: str, item: str, initial: str | None
         split = _entered(split, key, ends)
         opened = F.when(F.coalesce("__ql_first", F.lit(True)), opened).otherwise(F.coalesce(F.col("__ql_entry") == F.col(item), F.lit(False)))
     place = F.col("__ql_place") + F.when((F.col("__ql_run") == 0) & opened, 1).otherwise(0)
-    return split.withColumn("open_item", F.when(place % 2 == 1, F.col(item))).select(*events.columns, "open_item")
+    return split.withColumn("open_item", F.when(place % 2 == 1, F.col(item))).select(*_kept(events, "open_item"), "open_item")
 
 
 def first_per_session(events: DataFrame, key: str, gap: str = "30 minutes", ts: str = "ts", id_col: str = "event_id", rows: int = ROWS) -> DataFrame:
@@ -137,7 +142,7 @@ def first_per_session(events: DataFrame, key: str, gap: str = "30 minutes", ts:
         carried = F.coalesce("__ql_sessions", F.lit(0))
     new = F.coalesce(F.col(ts) >= F.col("__ql_last") + pause, F.lit(False))
     found = split.withColumn("__ql_new", new).withColumn("session", F.sum(F.col("__ql_new").cast("int")).over(_upto(w)) + carried)
-    return found.withColumn("mode", F.when(F.col("__ql_new") | F.col("__ql_top"), "full").otherwise("instant")).select(*events.columns, "session", "mode")
+    return found.withColumn("mode", F.when(F.col("__ql_new") | F.col("__ql_top"), "full").otherwise("instant")).select(*_kept(events, "session", "mode"), "session", "mode")
 
 
 def threshold_cross(events: DataFrame, key: str, value: str, cut: float, ts: str = "ts", id_col: str = "event_id", rows: int = ROWS) -> DataFrame:
@@ -159,7 +164,7 @@ def threshold_cross(events: DataFrame, key: str, value: str, cut: float, ts: str
         carried = F.coalesce("__ql_crossed", F.lit(0))
     crossed = split.withColumn("crossing", F.col("above") & ~F.coalesce("__ql_was", F.lit(False)))
     count = F.sum(F.col("crossing").cast("int")).over(_upto(w)) + carried
-    return crossed.withColumn("first_crossing", F.col("crossing") & (count == 1)).select(*[c for c in events.columns if c not in ("above", "crossing", "first_crossing")], "above", "crossing", "first_crossing")
+    return crossed.withColumn("first_crossing", F.col("crossing") & (count == 1)).select(*_kept(events, "above", "crossing", "first_crossing"), "above", "crossing", "first_crossing")
 
 
 def ring_nav(df: DataFrame, group: str, order: str, name: str) -> DataFrame:

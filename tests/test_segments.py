@@ -52,7 +52,9 @@ def test_segments_give_the_same_rows(spark, monkeypatch, rows, seed, initial):
     assert got == {i: w[0] for i, w in want.items()}
     got = {r.event_id: (r.open_item,) for r in sequence.exclusive_toggle(df, "k", "item", initial, rows=rows).collect()}
     assert got == {i: w[1] for i, w in want.items() if w[1]}
-    got = {r.event_id: (r.session, r["mode"]) for r in sequence.first_per_session(df.drop("session"), "k", rows=rows).collect()}
+    out = sequence.first_per_session(df, "k", rows=rows)
+    assert out.columns == ["k", "ts", "event_id", "item", "value", "state", "session", "mode"]
+    got = {r.event_id: (r.session, r["mode"]) for r in out.collect()}
     assert got == {i: w[2:4] for i, w in want.items()}
     got = {r.event_id: (r.above, r.crossing, r.first_crossing) for r in sequence.threshold_cross(df, "k", "value", 30.0, rows=rows).collect()}
     assert got == {i: w[4:] for i, w in want.items()}
