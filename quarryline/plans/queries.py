@@ -255,7 +255,11 @@ def s6_ring_nav(spark, d):
     return sequence.ring_nav(table(spark, d, "nation"), "n_regionkey", "n_nationkey", "n_name").select("n_nationkey", "next", "previous", "label")
 
 
-@query("SELECT event_id, (epoch_ms(ts) // 6500 % 4)::BIGINT AS slot FROM events")
+# epoch_ms rounds to the nearest millisecond, which may be in the next period; // and % go towards zero before the epoch.
+_PERIOD = "((epoch_us(ts) - (epoch_us(ts) % 6500000 + 6500000) % 6500000) // 6500000)"
+
+
+@query(f"SELECT event_id, (({_PERIOD} % 4 + 4) % 4)::BIGINT AS slot FROM events")
 def s7_rotation_slot(spark, d):
     return sequence.rotation_slot(table(spark, d, "events"), 4).select("event_id", "slot")
 
