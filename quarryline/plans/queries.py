@@ -364,8 +364,8 @@ def s8_ema_stream(spark, d):
 _SESSIONS = """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_at, count(*)::BIGINT AS n, (count(*) FILTER (WHERE event_type = 'click'))::BIGINT AS n_clicks
 FROM (SELECT *, sum(CASE WHEN ts >= p + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session
   FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id, session"""
-_SLOTS = """SELECT start_ms, (start_ms // 6500 % 4)::BIGINT AS slot, count(*)::BIGINT AS n, sum(value::DECIMAL(20,4))::DOUBLE AS total
-FROM (SELECT *, epoch_ms(ts) // 6500 * 6500 AS start_ms FROM events) GROUP BY start_ms"""
+_SLOTS = f"""SELECT period * 6500 AS start_ms, ((period % 4 + 4) % 4)::BIGINT AS slot, count(*)::BIGINT AS n, sum(value::DECIMAL(20,4))::DOUBLE AS total
+FROM (SELECT *, {_PERIOD} AS period FROM events WHERE ts IS NOT NULL) GROUP BY period"""
 
 
 def _sessions(events):
