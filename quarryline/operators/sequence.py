@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import random
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from ..sources.shared import released, written
 ROWS, SEGMENTS, MOST_HOT = 1_000_000, 256, 1000
 #: A cell with more points than this is joined in parts.
 DENSE = 10_000
+#: How many directions a key of near points may have, and what share of the pairs just within the distance may be missed.
+PROJECTIONS, MISSED = range(4, 17), 0.0002
 
 
 def _split(events: DataFrame, key: str, ts: str, rows: int) -> tuple[DataFrame, bool]:
@@ -278,40 +282,100 @@ def _dense_candidates(p: DataFrame, d_max: float, dense: int) -> DataFrame:
     return both.select(*[pick(q, p, p) for p, q in (("a", "b"), ("ax", "bx"), ("ay", "by"))], *[pick(p, q, q) for p, q in (("a", "b"), ("ax", "bx"), ("ay", "by"))])
 
 
-def _tables(vec: Column, dim: int, d_max: float, tables: int, projections: int, width: float, seed: int) -> list[list[Column]]:
-    """For each table the places of a vector along ``projections`` random directions, in steps of ``width`` times ``d_max``."""
-    r = random.Random(seed)
-    step = width * d_max
-    along = lambda: F.aggregate(F.zip_with(vec, F.array(*[F.lit(r.gauss(0, 1) / step) for _ in range(dim)]), lambda x, y: x * y), F.lit(r.random()), lambda s, x: s + x)
-    return [[along() for _ in range(projections)] for _ in range(tables)]
+def _same(width: float) -> float:
+    """How likely two points at the distance d_max fall into one step of ``width`` times d_max along a random direction."""
+    tail = math.erfc(width / math.sqrt(2))
+    return 1 - tail - math.sqrt(2 / math.pi) / width * (1 - math.exp(-width * width / 2))
 
 
-def near_pairs(points: DataFrame, id_col: str, vector_col: str, dim: int, d_max: float, w: float = 0.15, tables: int = 8, projections: int = 6, width: float = 4.0, seed: int = 1) -> DataFrame:
+def _steps(dim: int, d_max: float, n: int, width: float, seed: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Whole numbers: in which step each row of a matrix falls along each of ``n`` random directions."""
+    r = np.random.default_rng(seed)
+    along, shift = r.standard_normal((dim, n)) / (width * d_max), r.random(n)
+
+    def steps(x: np.ndarray) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            return np.clip(np.nan_to_num(np.floor(x @ along + shift)), -(2.0**62), 2.0**62).astype(np.int64)
+
+    return steps
+
+
+def _keyed(reps: DataFrame, dim: int, made: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Of each vector: c, and what ``made`` gives for a matrix of them: two numbers of 64 bits (s1, s2) and any number of keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                sketch, keys = made(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+                lists = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1], keys.ravel())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), lists], ["c", "s1", "s2", "keys"])
+
+    return reps.select("c", "v").mapInArrow(run, "c long, s1 long, s2 long, keys array<long>")
+
+
+def _factors(shape: tuple[int, ...], seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(-(2**63), 2**63 - 1, shape, dtype=np.int64) | 1
+
+
+def _projections(reps: DataFrame, n: int, dim: int, d_max: float, width: float, seed: int) -> int:
+    """How many directions make a key, so that sorting all keys and comparing the points that share one take least together. One table counts the pairs that share a key."""
+    steps, factors = _steps(dim, d_max, max(PROJECTIONS), width, seed), _factors((max(PROJECTIONS),), seed)
+
+    def made(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros((len(x), 2), dtype=np.int64), np.cumsum(steps(x) * factors, axis=1)[:, [k - 1 for k in PROJECTIONS]]
+
+    sizes = _keyed(reps, dim, made).select(F.posexplode("keys").alias("k", "key")).groupBy("k", "key").count()
+    pairs = {PROJECTIONS[r["k"]]: r["pairs"] for r in sizes.groupBy("k").agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs")).collect()}
+    return min(PROJECTIONS, key=lambda k: _same(width) ** -k * (20 * n + pairs.get(k, 0)))
+
+
+def near_candidates(reps: DataFrame, dim: int, d_max: float, tables: int | None = None, projections: int | None = None, width: float = 4.0, seed: int = 1) -> DataFrame:
+    """Pairs (c, e) of the vectors ``v`` with different numbers ``c``, once each, that may be closer than ``d_max``.
+
+    Vectors that share a key are compared by sketches of 128 bits before anything else is done with
+    them; a pair closer than ``d_max`` has too many different bits once in ten million times.
+    """
+    n = reps.count()
+    projections = projections or _projections(reps, n, dim, d_max, width, seed)
+    tables = tables or math.ceil(math.log(MISSED) / math.log1p(-(_same(width) ** projections)))
+    steps, factors = _steps(dim, d_max, tables * projections, width, seed + 1), _factors((tables, projections), seed + 1)
+    marks, table = _steps(dim, d_max, 128, 8.0, seed + 2), _factors((tables,), seed + 2)
+    differ = 1 - _same(8.0)
+    most = math.ceil(128 * differ + 6 * math.sqrt(128 * differ * (1 - differ)))
+
+    def made(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bits = np.packbits((marks(x) & 1).astype(np.uint8), axis=1)
+        return bits.view("<i8"), (steps(x).reshape(len(x), tables, projections) * factors).sum(axis=2) + table
+
+    left = _keyed(reps, dim, made).select("c", "s1", "s2", F.explode("keys").alias("key"))
+    right = left.select(F.col("c").alias("e"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), "key")
+    unlike = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
+    return left.join(right, "key").where((F.col("c") < F.col("e")) & (unlike <= most)).select("c", "e").distinct()
+
+
+def near_pairs(points: DataFrame, id_col: str, vector_col: str, dim: int, d_max: float, w: float = 0.15, tables: int | None = None, projections: int | None = None, width: float = 4.0, seed: int = 1) -> DataFrame:
     """Unordered pairs of points in ``dim`` dimensions closer than ``d_max``, and their weight w * (1 - d / d_max): most of them, not all.
 
-    Each of several tables puts points into buckets by where they fall along random directions. A
-    point is compared with those in its bucket and in the bucket next to it along each direction, on
-    the nearer side. All that is found is true; more ``tables``, fewer ``projections`` or a larger
-    ``width`` miss less and compare more. Vectors that are null, of another length, or hold a null or
-    a number that isn't finite have no partner.
+    Each of several tables gives points a key, by where they fall along random directions; points
+    that share a key are compared. The more points there are, the more directions a key has
+    (``projections``), so that few points share one that aren't near, and the more ``tables`` there
+    are, so that of the pairs just within ``d_max`` one in 5,000 is missed, of nearer ones fewer.
+    Points with equal vectors are compared once. All that is found is true. Vectors that are null, of
+    another length, or hold a null or a number that isn't finite have no partner.
     """
-    vec = F.col("v")
     p = points.select(F.col(id_col).alias("a"), F.col(vector_col).cast("array<double>").alias("v"))
     p = p.where((F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    places = F.array(*[F.array(*t) for t in _tables(vec, dim, d_max, tables, projections, width, seed)])
-    placed = written(p.withColumn("at", places), "placed")
-    home = lambda t: F.transform(t, lambda x: F.floor(x))
-    beside = lambda x: F.floor(x) + F.when(x - F.floor(x) < 0.5, -1).otherwise(1)
-    moved = lambda t, j: F.transform(t, lambda x, k: F.when(k == j, beside(x)).otherwise(F.floor(x)))
-    key = lambda number, cells: F.xxhash64(number, cells)
-    homes = F.transform("at", lambda t, n: key(n, home(t)))
-    probes = F.flatten(F.transform("at", lambda t, n: F.array(key(n, home(t)), *[key(n, moved(t, j)) for j in range(projections)])))
-    left, right = placed.select("a", F.explode(F.array_distinct(homes)).alias("key")), placed.select(F.col("a").alias("b"), F.explode(F.array_distinct(probes)).alias("key"))
-    met = left.join(right, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = met.join(placed.select("a", "v"), "a").join(placed.select(F.col("a").alias("b"), F.col("v").alias("u")), "b")
+    placed = written(p.withColumn("c", F.xxhash64("v")), "placed")
+    reps = written(placed.groupBy("c").agg(F.first("v").alias("v"), (F.count("a") > 1).alias("several")), "reps")
+    met = near_candidates(reps, dim, d_max, tables, projections, width, seed)
+    both = met.join(reps.select("c", "v"), "c").join(reps.select(F.col("c").alias("e"), F.col("v").alias("u")), "e")
     distance = F.sqrt(F.aggregate(F.zip_with("v", "u", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    close = both.withColumn("distance", distance).where(F.col("distance") < d_max)
-    return close.select("a", "b", "distance", (w * (1 - F.col("distance") / d_max)).alias("weight"))
+    apart = both.select("c", "e", distance.alias("distance")).where(F.col("distance") < d_max)
+    close = apart.unionByName(reps.where("several").select("c", F.col("c").alias("e"), F.lit(0.0).alias("distance")).where(F.col("distance") < d_max))
+    named = close.join(placed.select("c", "a"), "c").join(placed.select(F.col("c").alias("e"), F.col("a").alias("b")), "e")
+    named = named.where(F.when(F.col("c") == F.col("e"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
+    return named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance", (w * (1 - F.col("distance") / d_max)).alias("weight"))
 
 
 def near_point(points: DataFrame, id_col: str, x: str, y: str, at: tuple[float, float], d_max: float, w: float = 0.28) -> DataFrame:

@@ -35,3 +35,26 @@ def test_odd_rows(spark):
     got = {(r.a, r.b) for r in sequence.near_pairs(df, "id", "vec", 2, 0.3).collect()}
     assert got == {(1, 2), (1, 8), (2, 8)}
     assert sequence.near_pairs(df.limit(0), "id", "vec", 2, 0.3).count() == 0
+
+
+def test_candidates_follow_the_pairs(spark):
+    """Points that aren't near are hardly ever compared, however many there are; of pairs just within the distance next to none are missed."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    move = r.normal(size=(3000, 64))
+    move *= 0.2999 / np.linalg.norm(move, axis=1)[:, None]
+    rows = [(2 * k, v.tolist()) for k, v in enumerate(x)] + [(2 * k + 1, v.tolist()) for k, v in enumerate(x + move)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    reps = df.select(df.id.alias("c"), df.vec.alias("v"))
+    assert sequence.near_candidates(reps, 64, 0.3).count() <= 20_000  # of 18 million pairs
+    got = {(p.a, p.b) for p in sequence.near_pairs(df, "id", "vec", 64, 0.3).collect()}
+    assert got <= {(2 * k, 2 * k + 1) for k in range(3000)} and len(got) >= 2970
+
+
+def test_many_copies(spark):
+    """Copies of a vector are one point until the end."""
+    df = spark.createDataFrame([(k, [float(k // 60), 0.5]) for k in range(180)] + [(900, [0.05, 0.5])], "id long, vec array<double>")
+    got = [(p.a, p.b, round(p.distance, 9)) for p in sequence.near_pairs(df, "id", "vec", 2, 0.3).collect()]
+    same = [(a, b, 0.0) for a in range(180) for b in range(a + 1, 180) if a // 60 == b // 60]
+    assert sorted(got) == sorted(same + [(k, 900, 0.05) for k in range(60)])
