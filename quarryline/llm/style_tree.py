@@ -2,8 +2,8 @@
 
 The pages of a host are merged into one tree: a style node is a path of elements with their class
 and id. For each style node two entropies over the host's pages say how much it varies: of the
-sequences of its child elements (presentation) and of the features of its own text, runs of up to
-three words (content). Nodes whose words come again from page to page have low importance; a
+sequences of its child elements (presentation) and of the features of its own text, runs of words
+that hold all of it (content). Nodes whose words come again from page to page have low importance; a
 branch's importance is the mean of its nodes', weighted by their text, times that of its role (a
 menu, a notice, an advert ... has little, text outside an article less than in it). Branches of low
 importance are removed from each page.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import html
+import math
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -56,8 +57,8 @@ _WHOLE = frozenset({"html", "body"})
 ROLE, OUTSIDE, CENTRAL = 0.25, 0.5, 8.0
 #: So many pages are added to those that have a node: few pages that agree, or differ, say little.
 PRIOR = 2.0
-#: Texts of up to so many words have all their features, others about one for so many words.
-SHORT, CHOSEN = 12, 16
+#: Texts of up to so many words have all runs of three as features; others, by length, in the end one for so many words (a power of two).
+SHORT, CHOSEN = 12, ((24, 2), (48, 4), (math.inf, 32))
 _NAME_PARTS = re.compile(r"[-_]+")
 
 
@@ -132,12 +133,22 @@ def _raw_end(name: str) -> re.Pattern:
 
 
 def features(text: str) -> set[str]:
-    """Runs of three words: all of a short text, of a longer one those whose first word a hash chooses, so that equal passages have equal features. A text of up to three words is one."""
+    """Runs of words that hold every word of a text. A text of up to three words is one run, one of up to SHORT words is all its runs of three. A longer one is cut before words that a hash chooses, so that equal passages have equal runs: at every other word or so at its start, then ever more seldom, as CHOSEN has it for its length; what stands before the first cut is runs of three."""
     words = text.split(" ")
     if len(words) <= 3:
         return {text}
-    starts = range(len(words) - 2)
-    return {" ".join(words[k : k + 3]) for k in starts if k == 0 or len(words) <= SHORT or crc32(words[k].encode()) % CHOSEN == 0}
+    if len(words) <= SHORT:
+        return {" ".join(words[k : k + 3]) for k in range(len(words) - 2)}
+    cuts, mask = [], 1
+    most = next(seldom for n, seldom in CHOSEN if len(words) <= n)
+    for k, word in enumerate(words):
+        h = crc32(word.encode())
+        if h & mask == 0:
+            cuts.append(k)
+            while mask < most - 1 and h & (2 * mask + 1) == 0:
+                mask = 2 * mask + 1
+    head = range(cuts[0] if cuts else len(words) - 2)
+    return {" ".join(words[k : k + 3]) for k in head} | {" ".join(words[a:b]) for a, b in zip(cuts, [*cuts[1:], len(words)], strict=False)}
 
 
 class Page:
@@ -276,10 +287,10 @@ def host_of(url_col: str):
 
 
 def _shapes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """host, page (a hash of its source) and parts, once for each source of a host: (node, kind, value) with a hash of child elements (kind 0), of each feature of own text (1) and of each block of it (2), and 0 where there is own text (3)."""
+    """host, page (a hash of its source) and parts, once for each source of a host: (node, kind, values) with a hash of child elements (kind 0), of each feature of own text (1) and of each block of it (2), and 0 where there is own text (3)."""
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = pa.list_(pa.struct([("node", pa.int64()), ("kind", pa.int32()), ("value", pa.int64())]))
+        part = pa.list_(pa.struct([("node", pa.int64()), ("kind", pa.int32()), ("values", pa.list_(pa.int64()))]))
         seen: set[tuple[str, int]] = set()
         for batch in batches:
             hosts, keys, parts = [], [], []
@@ -296,15 +307,20 @@ def _shapes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
                     shapes.setdefault(path, []).extend(page.children[k])
                 for k, t in page.blocks:
                     texts.setdefault(page.path[k], []).append(t)
-                found = [(p, 0, _hash(",".join(c))) for p, c in shapes.items()] + [(p, 1, v) for p, ts in texts.items() for v in {_hash(f) for t in ts for f in features(t)}]
-                found += [(p, 2, _hash(t)) for p, ts in texts.items() for t in set(ts)] + [(p, 3, 0) for p in texts]
+                found = [(p, 0, [_hash(",".join(c))]) for p, c in shapes.items()] + [(p, 1, list({_hash(f) for t in ts for f in features(t)})) for p, ts in texts.items()]
+                found += [(p, 2, [_hash(t) for t in set(ts)]) for p, ts in texts.items()] + [(p, 3, [0]) for p in texts]
                 hosts.append(host)
                 keys.append(key)
-                parts.append([{"node": p, "kind": k, "value": v} for p, k, v in found])
+                parts.append([{"node": p, "kind": k, "values": v} for p, k, v in found])
             yield pa.RecordBatch.from_arrays([pa.array(hosts, type=pa.string()), pa.array(keys, type=pa.int64()), pa.array(parts, type=part)], ["host", "page", "parts"])
 
     sources = pages.select(host_of(url_col).alias("host"), F.xxhash64(html_col).alias("page"), html_col).where("host <> ''")
-    return sources.mapInArrow(shapes, "host string, page long, parts array<struct<node:long,kind:int,value:long>>").dropDuplicates(["host", "page"])
+    return sources.mapInArrow(shapes, "host string, page long, parts array<struct<node:long,kind:int,values:array<long>>>").dropDuplicates(["host", "page"])
+
+
+def _values(shapes: DataFrame) -> DataFrame:
+    """A row for each value: host, page, node, kind, value."""
+    return shapes.select("host", "page", F.inline("parts")).select("host", "page", "node", "kind", F.explode("values").alias("value"))
 
 
 def _counts(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
@@ -312,7 +328,7 @@ def _counts(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
     Only hashes and counts are shuffled, and a host with many pages is counted in many tasks.
     """
-    values = _shapes(pages, url_col, html_col).select("host", F.inline("parts")).groupBy("host", "node", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    values = _values(_shapes(pages, url_col, html_col)).groupBy("host", "node", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
     block = F.when(F.col("kind") == 2, F.col("value")).otherwise(0).alias("block")
     return values.where("kind <> 2 OR n > 1").groupBy("host", "node", "kind", block).agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
 
@@ -366,7 +382,7 @@ def main_text(pages: DataFrame, least: float = 0.3, url_col: str = "url", html_c
         joined = joined.withColumn("__ql_worth", F.lit(None).cast("array<struct<node:long,block:long,worth:double,pages:long>>"))
     else:
         # Each page gets the entries of its own nodes, so none has those of its whole host.
-        part = _shapes(pages, url_col, html_col).select("host", "page", F.inline("parts")).where("kind > 0").select("host", "page", "node", F.when(F.col("kind") == 2, F.col("value")).otherwise(0).alias("block"))
+        part = _values(_shapes(pages, url_col, html_col)).where("kind > 0").select("host", "page", "node", F.when(F.col("kind") == 2, F.col("value")).otherwise(0).alias("block"))
         own = part.join(judged, ["host", "node", "block"]).groupBy(F.col("host").alias("__ql_host"), F.col("page").alias("__ql_page")).agg(F.collect_list(F.struct("node", "block", "worth", "pages")).alias("__ql_worth"))
         joined = joined.withColumn("__ql_page", F.xxhash64("__ql_html")).join(own, ["__ql_host", "__ql_page"], "left")
     joined = joined.select(*[f"`{c}`" for c in keep], "__ql_html", "__ql_host", "__ql_worth")

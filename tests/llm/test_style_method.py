@@ -108,3 +108,14 @@ def test_a_footer_that_differs_by_a_word_goes():
 def test_nearly_equal_text_goes(spark, most_broadcast):
     page = lambda k: f"<div class='a1'><p>Story {k} tells of {k * 7} and {k * 3} more</p></div><div class='z9'>All of this is ours and is made for you by us in {1900 + k} here</div>"
     assert texts(spark, [("http://near.example/", page(k)) for k in range(12)], most_broadcast=most_broadcast) == [f"Story {k} tells of {k * 7} and {k * 3} more" for k in range(12)]
+
+
+@pytest.mark.parametrize("n", [1, 3, 4, 12, 13, 40, 700])
+def test_features_hold_every_word(n):
+    """No part of a text goes unlooked at: a word changed anywhere changes the features, but only few of a long text's."""
+    words = [f"w{k * k % 9973}" for k in range(n)]
+    found = style_tree.features(" ".join(words))
+    assert {w for f in found for w in f.split(" ")} == set(words)
+    for k in range(n):
+        other = style_tree.features(" ".join([*words[:k], "changed", *words[k + 1 :]]))
+        assert other != found and (n < 100 or len(found - other) <= 8)
