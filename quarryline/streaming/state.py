@@ -1,10 +1,10 @@
 """Streaming forms of the jobs that keep state.
 
 With ``delay``, rows are applied in order of event time, then id, whatever their order of arrival: a
-row waits in its key's state until the watermark, which stands ``delay`` behind the latest time seen,
+row waits in the state of its group of keys until the watermark, which stands ``delay`` behind the latest time seen,
 has passed it. Results are then those of the batch jobs; only rows behind the watermark on arrival
-are too late, and are dropped and counted by Spark. Waiting rows are on disk, in RocksDB; a key's
-rows that fall due together are sorted in one task. A row without time goes before all that wait.
+are too late, and are dropped and counted by Spark. Waiting rows are on disk, in RocksDB; those of a
+group of keys are read when one falls due, and sorted in one task. A row without time goes before all that wait.
 
 Without ``delay``, rows are applied as they arrive, those of a micro-batch in order; a row without
 time comes first. A row older than the last one its key has applied comes too late: it is returned
@@ -17,10 +17,12 @@ on by so much.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -29,6 +31,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..sources.shared import delete, own_folder
 
 _NO_TIME = -(1 << 63)
+#: Keys are dealt to so many groups; a group's waiting rows are in one task's memory when some fall due.
+GROUPS = 1024
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -48,65 +52,95 @@ def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
 
 
 class _Waiting(StatefulProcessor):
-    """Holds a key's rows until the watermark has passed them, then applies ``step`` to them in order."""
+    """Holds the rows of a group of keys until the watermark has passed them, then applies ``step`` to each key's in order.
 
-    def __init__(self, id_kind: str, value_kind: str, state: str, start: tuple, step: Callable, columns: list[str], expire: str | None, needed: bool):
-        self.schemas = f"at long, id {id_kind}, value {value_kind}", f"last long, {state}"
+    Rows that come in one micro-batch are kept as one piece of Arrow data, and the states of the
+    group's keys as one value, so that Spark's state is asked a few times for each group, not for
+    each row or key.
+    """
+
+    def __init__(self, start: tuple, step: Callable, columns: list[str], expire: str | None, needed: bool):
         self.start, self.step, self.columns, self.needed = start, step, columns, needed
         self.keep = int(pd.Timedelta(expire).total_seconds() * 1000) if expire else None
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.rows, self.now = handle.getListState("rows", self.schemas[0]), handle.getValueState("now", self.schemas[1])
+        self.rows, self.now = handle.getListState("rows", "first long, data binary"), handle.getValueState("now", "data binary")
+
+    @staticmethod
+    def _piece(rows: list[tuple]) -> tuple[int, bytes]:
+        """The first time of the rows (key, time, id, value), and the rows."""
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["key", "at", "id", "value"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as to:
+            to.write_batch(batch)
+        return min(r[1] for r in rows), sink.getvalue().to_pybytes()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        found: list[tuple] = []
         for df in rows:
-            df = df.set_axis(["__ql_key", "__ql_ts", "__ql_id", "__ql_value"], axis=1)  # names may be lost on the way
+            df = df.set_axis(["group", "key", "ts", "at", "id", "value"], axis=1)  # names may be lost on the way
             # The clock's rows have no key; they may not be left out any earlier, or event time would not move on.
-            df = df[df["__ql_value"].notna()] if self.needed else df
-            if pd.isna(key[0]) or not len(df):
-                continue
-            at = [_NO_TIME if pd.isna(t) else t.value // 1000 for t in df["__ql_ts"]]
-            plain = lambda v: None if pd.isna(v) else v.item() if hasattr(v, "item") else v
-            found = list(zip(at, map(plain, df["__ql_id"]), map(plain, df["__ql_value"]), strict=True))
-            self.rows.appendList(found)
-            first = min(at) if first is None else min(first, *at)
-        if first is not None:
+            df = df[df["key"].notna() & df["value"].notna()] if self.needed else df[df["key"].notna()]
+            found += zip(*[c.astype(object).where(c.notna(), None).tolist() for c in (df["key"], df["at"], df["id"], df["value"])], strict=True)
+        if found:
+            first, data = self._piece(found)
+            self.rows.appendValue((first, data))
             self.handle.registerTimer(max(0, -(-first // 1000)))
         yield pd.DataFrame(columns=self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        due, rest = [], []
-        for row in self.rows.get():
-            (due if row[0] <= mark * 1000 else rest).append(row)
-        last, *now = self.now.get() if self.now.exists() else (None, *self.start)
-        now, out = tuple(now), []
-        for at, i, value in sorted(due, key=lambda r: (r[0], r[1] is not None, r[1])):
-            now, found = self.step(now, value, None if at == _NO_TIME else at)
-            last = at
-            out.append((key[0], i, *found))
+        due: dict[object, list[tuple]] = {}
+        rest: list[tuple] = []
+        later: list[tuple[int, bytes]] = []
+        for first, data in self.rows.get():
+            if first > mark * 1000:
+                later.append((first, bytes(data)))
+                continue
+            for k, *row in zip(*[c.to_pylist() for c in pa.ipc.open_stream(bytes(data)).read_all().columns], strict=True):
+                if row[0] <= mark * 1000:
+                    due.setdefault(k, []).append(row)
+                else:
+                    rest.append((k, *row))
+        states: dict[object, tuple] = pickle.loads(bytes(self.now.get()[0])) if self.now.exists() else {}
+        out = []
+        for k, own in due.items():
+            last, *now = states.get(k, (None, *self.start))
+            now = tuple(now)
+            for at, i, value in sorted(own, key=lambda r: (r[0], r[1] is not None, r[1])):
+                now, made = self.step(now, value, None if at == _NO_TIME else at)
+                last = at
+                out.append((k, i, *made))
+            states[k] = (last, *now)
         if due:
-            self.rows.put(rest) if rest else self.rows.clear()
-            self.now.update((last, *now))
-        if rest:
-            self.handle.registerTimer(max(0, -(-min(r[0] for r in rest) // 1000)))
-        elif self.keep is not None and last is not None:
-            end = max(last, 0) // 1000 + self.keep
-            self.handle.registerTimer(end) if end > mark else self.now.clear()
-        yield pd.DataFrame(out, columns=self.columns)
+            later += [self._piece(rest)] if rest else []
+            self.rows.put(later) if later else self.rows.clear()
+        nexts = [-(-first // 1000) for first, _ in later]
+        known = len(states)
+        if self.keep is not None:
+            waits = {k for _, data in later for k in pa.ipc.open_stream(data).read_all().column(0).to_pylist()}
+            ends = {k: max(s[0], 0) // 1000 + self.keep for k, s in states.items() if k not in waits}
+            states = {k: s for k, s in states.items() if ends.get(k, mark + 1) > mark}
+            nexts += [end for end in ends.values() if end > mark]
+        if due or len(states) < known:
+            self.now.update((pickle.dumps(states),)) if states else self.now.clear()
+        if nexts:
+            self.handle.registerTimer(max(0, min(nexts)))
+        yield pd.DataFrame(out, columns=self.columns, dtype=object)
 
     def close(self) -> None:
         pass
 
 
-def _in_order(events: DataFrame, key: str, ts: str, id_col: str, value: str, result: str, state: str, start: tuple, step: Callable, expire: str | None, delay: str, needed: bool) -> DataFrame:
-    """As ``_keyed``, in order of event time; result rows are key, id and the columns of ``result``."""
+def _in_order(events: DataFrame, key: str, ts: str, id_col: str, value: str, result: str, start: tuple, step: Callable, expire: str | None, delay: str, needed: bool) -> DataFrame:
+    """As ``_keyed``, in order of event time; result rows are key, id and the columns of ``result``. Keys are dealt to GROUPS groups, whose rows wait together."""
     names, kinds = [c.strip().split(" ")[0] for c in result.split(",")], dict(events.dtypes)
-    slim = events.withWatermark(ts, delay).select(F.col(key).alias("__ql_key"), F.col(ts).alias("__ql_ts"), F.col(id_col).alias("__ql_id"), F.col(value).alias("__ql_value"))
-    held = _Waiting(kinds[id_col], kinds[value], state, start, step, ["__ql_key", "__ql_id", *names], expire, needed)
-    made = slim.groupBy("__ql_key").transformWithStateInPandas(held, f"__ql_key {kinds[key]}, __ql_id {kinds[id_col]}, {result}", "Append", "EventTime")
+    group = F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(GROUPS))).otherwise(-1)  # rows without key by themselves
+    at = F.coalesce(F.unix_micros(ts), F.lit(_NO_TIME))
+    slim = events.withWatermark(ts, delay).select(group.alias("__ql_group"), F.col(key).alias("__ql_key"), F.col(ts).alias("__ql_ts"), at.alias("__ql_at"), F.col(id_col).alias("__ql_id"), F.col(value).alias("__ql_value"))
+    held = _Waiting(start, step, ["__ql_key", "__ql_id", *names], expire, needed)
+    made = slim.groupBy("__ql_group").transformWithStateInPandas(held, f"__ql_key {kinds[key]}, __ql_id {kinds[id_col]}, {result}", "Append", "EventTime")
     return made.select(F.col("__ql_key").alias(key), F.col("__ql_id").alias(id_col), *names)
 
 
@@ -132,7 +166,7 @@ def _keyed(events: DataFrame, key: str, ts: str, id_col: str, value: str, result
     """Applies ``step(state, value, time) -> (state, result)`` to each key's rows in order, if ``needed`` to those with a value; result rows are key, id, the columns of ``result`` and ``late``. Times are microseconds, or None."""
     names = [c.strip().split(" ")[0] for c in result.split(",")]
     if delay:
-        return _in_order(events, key, ts, id_col, value, result, state, start, step, expire, delay, needed)
+        return _in_order(events, key, ts, id_col, value, result, start, step, expire, delay, needed)
     events = events.where(F.col(value).isNotNull()) if needed else events
     columns = ["__ql_key", "__ql_id", *names, "late"]
 
